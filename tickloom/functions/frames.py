@@ -119,9 +119,11 @@ def pair_corr(x, y, n: int) -> Column:
     w = frame(-n + 1)
     both = x.isNotNull() & y.isNotNull()
     px, py = F.when(both, x), F.when(both, y)
-    ok = (F.count(px).over(w) == n) \
+    varies = (F.count(px).over(w) == n) \
         & (F.min(px).over(w) < F.max(px).over(w)) & (F.min(py).over(w) < F.max(py).over(w))
-    return F.when(ok, F.corr(px, py).over(w))
+    # corr() itself fails on a flat frame, so the quotient is guarded by hand
+    spread = F.stddev_pop(px).over(w) * F.stddev_pop(py).over(w)
+    return F.when(varies, F.covar_pop(px, py).over(w) / nz(spread))
 
 
 # --- the five "percentile" rules, kept apart on purpose -------------------------

@@ -105,9 +105,9 @@ def oscillators():
 @group("F005")
 def weekly_oscillators():
     return {
-        "_wk_rsi": weekly("rsi_daily"), "_wk_stochrsi": weekly("stochrsi_daily"),
-        "rsi_weekly": lambda c: ffill(c._wk_rsi),
-        "stochrsi_weekly": lambda c: ffill(c._wk_stochrsi),
+        "_week_rsi": weekly("rsi_daily"), "_week_stochrsi": weekly("stochrsi_daily"),
+        "rsi_weekly": lambda c: ffill(c._week_rsi),
+        "stochrsi_weekly": lambda c: ffill(c._week_stochrsi),
     }
 
 
