@@ -32,7 +32,7 @@ def queries() -> dict:
 
 
 # groups with large or averaged values are compared to fewer digits
-DIGITS = {"F013": 4, "F036": 3, "F044": 4, "F056": 3, "F087": 1, "F135": 3}
+DIGITS = {"F013": 4, "F036": 3, "F044": 4, "F056": 1, "F087": 1, "F135": 3}
 
 TITLES = {
     "F013": "volatility_index",

@@ -55,3 +55,24 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
             c = c.cast("string")
         out.append(c.alias(name))
     return df.select(*out)
+
+
+def predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """``run_id, sample_id, prob, label, actual_return``: every line is one
+    prediction of "returned"; seven runs of uneven size."""
+    li = table(spark, sf, "lineitem")
+    h = ((F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_linenumber") * 31) % 997) / 996.0
+    label = (F.col("l_returnflag") == "R").cast("int")
+    return li.select(
+        F.concat(F.lit("run_"), F.col("l_linenumber").cast("string")).alias("run_id"),
+        F.col("l_orderkey").alias("sample_id"),
+        F.round(0.05 + 0.7 * h + 0.2 * label, 3).alias("prob"), label.alias("label"),
+        (F.col("l_tax") - F.col("l_discount")).alias("actual_return"))
+
+
+def quality_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents scored by their length, against their quality label."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    n = F.col("n_chars")
+    return d.select(F.lit("length").alias("run_id"), F.col("doc_id").alias("sample_id"),
+                    F.round(n / (n + 1000.0), 4).alias("prob"), F.col("quality").alias("label"))
