@@ -5,6 +5,7 @@ Every order is one trial; its lines are the epochs of its learning curve."""
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,8 +69,9 @@ def _experiments(spark, sf):
                     F.col("n_params").cast("double").alias("params"))
 
 
-def _folder(spark, *parts):
-    return os.path.join(tables.shared_folder(spark), *parts)
+def _folder(spark, name):
+    """A folder of its own for every call, so that a repeated query starts afresh."""
+    return os.path.join(tables.shared_folder(spark), f"tickloom-{name}-{uuid.uuid4().hex[:12]}")
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.base import BARS, P, Q, rnd
+from oracles.base import P, Q, rnd
 from oracles.series_sql import QUALITY, prediction_sql, u
 
 PRED = prediction_sql()

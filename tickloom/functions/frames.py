@@ -12,6 +12,7 @@ holds ``n`` non-null values, and flags treat an unknown comparison as false.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark import SparkContext
@@ -44,6 +45,43 @@ def running():
     return frame(Window.unboundedPreceding, Window.currentRow)
 
 
+# While a plan collects, every window call becomes a named column of its own and
+# equal calls share it.  Spark computes each occurrence of a window expression
+# separately, so an expression that reads one frame three times would pay thrice.
+class SharedWindows:
+    """Window calls of one plan: text -> (column name, call)."""
+
+    def __init__(self):
+        self.calls: dict[str, tuple[str, Column]] = {}
+        self.used: set[str] = set()
+
+    def column(self, call: Column) -> Column:
+        name, _ = self.calls.setdefault(call._jc.toString(), (f"_w{len(self.calls)}", call))
+        self.used.add(name)
+        return F.col(name)
+
+    @contextmanager
+    def collecting(self):
+        """Names used inside the block are added to the yielded set."""
+        global _shared
+        outer, _shared, self.used = _shared, self, set()
+        try:
+            yield self.used
+        finally:
+            _shared = outer
+
+    def named(self, names) -> list[Column]:
+        return [call.alias(n) for n, call in self.calls.values() if n in names]
+
+
+_shared: SharedWindows | None = None
+
+
+def over(agg: Column, spec) -> Column:
+    call = agg.over(spec)
+    return call if _shared is None else _shared.column(call)
+
+
 def row_index() -> Column:
     return F.row_number().over(ordered())
 
@@ -51,28 +89,63 @@ def row_index() -> Column:
 # --- lookups -----------------------------------------------------------------
 
 def lag(x, k: int = 1) -> Column:
-    return F.lag(_col(x), k).over(ordered())
+    return over(F.lag(_col(x), k), ordered())
 
 
 def lead(x, k: int = 1) -> Column:
-    return F.lead(_col(x), k).over(ordered())
+    return over(F.lead(_col(x), k), ordered())
 
 
 # --- full trailing windows -----------------------------------------------------
+#
+# A sliding frame is recomputed row by row: its cost grows with its length.  A
+# frame that starts at the first row is not, so counts, and sums of long frames,
+# are differences of two running aggregates and cost the same for any length.
+# The two share every addition up to the frame's start, so only the frame's own
+# rounding is left in the difference, as in a running total.
+
+LONG_SUM, LONG_SPREAD = 40, 60
+
+
+def _running_diff(agg: Column, n: int, end: int = 0) -> Column:
+    upto = over(agg, frame(Window.unboundedPreceding, end))
+    before = over(agg, frame(Window.unboundedPreceding, end - n))
+    return upto - F.coalesce(before, F.lit(0))
+
+
+def is_full(x, n: int, end: int = 0) -> Column:
+    """Whether the frame holds n known values."""
+    if n < LONG_SUM:
+        return over(F.count(_col(x)), frame(end - n + 1, end)) == n
+    return _running_diff(F.count(_col(x)), n, end) == n
+
 
 def _full(agg: Column, x, n: int, end: int = 0) -> Column:
-    w = frame(end - n + 1, end)
-    return F.when(F.count(_col(x)).over(w) == n, agg.over(w))
+    return F.when(is_full(x, n, end), over(agg, frame(end - n + 1, end)))
 
 
 def mean(x, n: int, end: int = 0) -> Column:
+    if n >= LONG_SUM:
+        return F.when(is_full(x, n, end), _running_diff(F.sum(_col(x)), n, end) / n)
     return _full(F.avg(_col(x)), x, n, end)
 
 
 def total(x, n: int) -> Column:
+    if n >= LONG_SUM:
+        return F.when(is_full(x, n), _running_diff(F.sum(_col(x)), n))
     return _full(F.sum(_col(x)), x, n)
 
 
+def long_spread(x, n: int) -> Column:
+    """Sample sigma of the known values of a long frame, from running sums; a
+    spread below the rounding of the sums is none.  Null under two values."""
+    x = _col(x).cast("double")
+    m = _running_diff(F.count(x), n).cast("double")
+    s, q = _running_diff(F.sum(x), n), _running_diff(F.sum(x * x), n)
+    var = (q - s * s / F.when(m > 1, m)) / F.when(m > 1, m - 1)
+    return F.when(var <= q / F.when(m > 1, m) * 1e-13, 0.0).otherwise(F.sqrt(F.greatest(var, F.lit(0.0) * var)))
+
+
 def low(x, n: int, end: int = 0) -> Column:
     return _full(F.min(_col(x)), x, n, end)
 
@@ -82,6 +155,8 @@ def high(x, n: int, end: int = 0) -> Column:
 
 
 def sd(x, n: int) -> Column:
+    if n >= LONG_SPREAD:
+        return F.when(is_full(x, n), long_spread(x, n))
     return _full(F.stddev_samp(_col(x)), x, n)
 
 
@@ -104,12 +179,12 @@ def values(x, n: int, end: int = 0) -> Column:
 
 def over_rows(agg: Column, n: int, end: int = 0) -> Column:
     """Aggregate over up to ``n`` rows, without the full-window guard."""
-    return agg.over(frame(end - n + 1, end))
+    return over(agg, frame(end - n + 1, end))
 
 
 def over_full_rows(agg: Column, n: int) -> Column:
     """Aggregate over exactly ``n`` rows; nulls inside the frame are allowed."""
-    return F.when(F.col(ROW) >= n, agg.over(frame(-n + 1)))
+    return F.when(F.col(ROW) >= n, over(agg, frame(-n + 1)))
 
 
 def pair_corr(x, y, n: int) -> Column:
@@ -119,11 +194,9 @@ def pair_corr(x, y, n: int) -> Column:
     w = frame(-n + 1)
     both = x.isNotNull() & y.isNotNull()
     px, py = F.when(both, x), F.when(both, y)
-    varies = (F.count(px).over(w) == n) \
-        & (F.min(px).over(w) < F.max(px).over(w)) & (F.min(py).over(w) < F.max(py).over(w))
     # corr() itself fails on a flat frame, so the quotient is guarded by hand
-    spread = F.stddev_pop(px).over(w) * F.stddev_pop(py).over(w)
-    return F.when(varies, F.covar_pop(px, py).over(w) / nz(spread))
+    spread = over(F.stddev_pop(px), w) * over(F.stddev_pop(py), w)
+    return F.when(is_full(px, n), over(F.covar_pop(px, py), w) / nz(spread))
 
 
 # --- the five "percentile" rules, kept apart on purpose -------------------------
@@ -170,13 +243,13 @@ def streak(cond) -> Column:
 
     The run starts after the last false row, so one running max is enough."""
     cond = truth(_col(cond))
-    last_false = F.coalesce(F.max(F.when(~cond, F.col(ROW))).over(running()), F.lit(0))
+    last_false = F.coalesce(over(F.max(F.when(~cond, F.col(ROW))), running()), F.lit(0))
     return F.when(cond, F.col(ROW) - last_false).otherwise(0)
 
 
 def since_start(starts) -> Column:
     """Rows since the latest row where ``starts`` holds, counting that row as 1."""
-    return F.col(ROW) - F.max(F.when(truth(_col(starts)), F.col(ROW))).over(running()) + 1
+    return F.col(ROW) - over(F.max(F.when(truth(_col(starts)), F.col(ROW))), running()) + 1
 
 
 def side_streak(upper, lower) -> Column:
@@ -186,16 +259,16 @@ def side_streak(upper, lower) -> Column:
 
 
 def cum_sum(x) -> Column:
-    return F.sum(_col(x)).over(running())
+    return over(F.sum(_col(x)), running())
 
 
 def ffill(x) -> Column:
-    return F.last(_col(x), ignorenulls=True).over(running())
+    return over(F.last(_col(x), ignorenulls=True), running())
 
 
 def bfill(x) -> Column:
     w = frame(Window.currentRow, Window.unboundedFollowing)
-    return F.first(_col(x), ignorenulls=True).over(w)
+    return over(F.first(_col(x), ignorenulls=True), w)
 
 
 def latest_extreme(x, n: int, highest: bool, latest: bool = True) -> Column:
@@ -204,10 +277,33 @@ def latest_extreme(x, n: int, highest: bool, latest: bool = True) -> Column:
     x = _col(x)
     by_value = x if highest else -x
     by_row = F.col(ROW) if latest else -F.col(ROW)
-    best = F.max(F.struct(by_value.alias("v"), by_row.alias("r"))).over(frame(-n + 1))
+    best = over(F.max(F.struct(by_value.alias("v"), by_row.alias("r"))), frame(-n + 1))
     return F.abs(best["r"])
 
 
+# --- extremes of long frames ---------------------------------------------------------
+#
+# Rows are cut into blocks of n.  A frame of n rows is the tail of one block and
+# the head of the next, so its extreme is that of two running extremes, whatever n.
+
+def block(n: int) -> Column:
+    return F.floor((F.col(ROW) - 1) / n)
+
+
+def block_extreme(x, n: int, highest: bool, tail: bool) -> Column:
+    """Running extreme of the block's head up to this row, or of its tail from here."""
+    w = Window.partitionBy(KEY, F.col(f"_block_{n}")).orderBy(TS)
+    w = w.rowsBetween(Window.currentRow, Window.unboundedFollowing) if tail \
+        else w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return over((F.max if highest else F.min)(_col(x)), w)
+
+
+def frame_extreme(head, tail, n: int, highest: bool) -> Column:
+    """Extreme of the last n rows from the columns of ``block_extreme``."""
+    pick = F.greatest if highest else F.least
+    return F.when(F.col(ROW) >= n, pick(_col(head), lag(tail, n - 1)))
+
+
 # --- arithmetic --------------------------------------------------------------------
 
 def nz(x) -> Column:

@@ -185,19 +185,16 @@ def permutation_importance(model, df: DataFrame, columns: list[str], row_id: lis
     n = df.count()
     blocks = max(1, -(-n // block))
     h = F.pmod(F.xxhash64(F.lit(seed), *row_id), F.lit(blocks))
-    base = df.withColumn("_block", h)
-    own = Window.partitionBy("_block").orderBy(*row_id)
-    left = base.withColumn("_r", F.row_number().over(own))
-    parts = []
-    for c in columns:
-        for k in range(repeats):
-            mixed = Window.partitionBy("_block").orderBy(digest(f"{seed}:{c}:{k}", *[F.col(i) for i in row_id]))
-            other = base.select("_block", F.col(c).alias("_x"), F.row_number().over(mixed).alias("_r"))
-            shuffled = left.join(other, ["_block", "_r"]).withColumn(c, F.col("_x"))
-            parts.append(shuffled.select(*df.columns, F.lit(f"{c}:{k}").alias("_run")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    runs = F.explode(F.array(*[F.struct(F.lit(f"{c}:{k}").alias("_run"), F.lit(c).alias("_c"))
+                               for c in columns for k in range(repeats)]))
+    rows = df.withColumn("_block", h).withColumn("_e", runs).select("*", "_e.*").drop("_e")
+    group = Window.partitionBy("_block", "_run")
+    own = rows.withColumn("_r", F.row_number().over(group.orderBy(*row_id)))
+    value = F.coalesce(*[F.when(F.col("_c") == c, F.col(c).cast("double")) for c in columns])
+    mixed = rows.select("_block", "_run", value.alias("_x"), F.row_number().over(group.orderBy(
+        digest(seed, F.col("_run"), *[F.col(i) for i in row_id]))).alias("_r"))
+    rows = own.join(mixed, ["_block", "_run", "_r"]).withColumns(
+        {c: F.when(F.col("_c") == c, F.col("_x")).otherwise(F.col(c)) for c in columns})
     baseline = score(df.withColumn("_run", F.lit("all")), "_run").select(F.col("score").alias("baseline"))
     got = score(rows, "_run").join(F.broadcast(baseline))       # one row
     return got.groupBy(F.split("run_id", ":")[0].alias("feature")).agg(

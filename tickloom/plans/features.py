@@ -14,7 +14,7 @@ import tickloom.plans.tiers.a500_candles  # noqa: F401
 import tickloom.plans.tiers.a500_prices  # noqa: F401
 import tickloom.plans.tiers.a500_regimes  # noqa: F401
 from tickloom.operators.align import fill_gaps
-from tickloom.plans.registry import FEATURES, GROUPS, build, is_lookahead
+from tickloom.plans.registry import FEATURES, GROUPS, build
 
 
 def _span(first: int, last: int) -> list[str]:
@@ -56,4 +56,4 @@ def feature_table(bars: DataFrame, tier: str | Iterable[str], vix: DataFrame | N
 
 
 __all__ = ["A20", "A50", "A100", "A200", "A500", "TIERS", "VIX_TIER", "feature_table",
-           "is_lookahead", "tier_columns"]
+           "tier_columns"]

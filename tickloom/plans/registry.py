@@ -43,13 +43,14 @@ class Feature:
     weekly: str | None = None          # column of the weekly series to bring down
     lookahead: bool = False
 
-    def resolve(self) -> Node:
+    def resolve(self, windows: W.SharedWindows) -> Node:
         if self.step:
             return Node(self, tuple(self.step[1]))
         if self.define:
             reader = _Reader()
-            column = self.define(reader)
-            return Node(self, tuple(reader._seen), column)
+            with windows.collecting() as used:
+                column = self.define(reader)
+            return Node(self, tuple(reader._seen), column, used)
         return Node(self, ())
 
 
@@ -59,6 +60,7 @@ class Node:
     feature: Feature
     deps: tuple[str, ...]
     column: Column | None = None
+    windows: set[str] | None = None
 
 
 FEATURES: dict[str, Feature] = {}
@@ -97,14 +99,15 @@ def weekly(column: str) -> Feature:
     return Feature("", "", weekly=column)
 
 
-def closure(names: Iterable[str]) -> dict[str, Node]:
+def closure(names: Iterable[str], windows: W.SharedWindows | None = None) -> dict[str, Node]:
     """The wanted columns and everything they read, dependencies first."""
     out: dict[str, Node] = {}
+    windows = windows or W.SharedWindows()
 
     def visit(n: str):
         if n in BASE or n in out:
             return
-        node = FEATURES[n].resolve()
+        node = FEATURES[n].resolve(windows)
         for d in node.deps:
             visit(d)
         out[n] = node
@@ -118,16 +121,22 @@ def is_lookahead(name: str) -> bool:
     return any(n.feature.lookahead for n in closure([name]).values())
 
 
-def _emit(df: DataFrame, nodes: dict[str, Node]) -> DataFrame:
-    """Add plain definitions level by level; columns already present are skipped."""
+def _emit(df: DataFrame, nodes: dict[str, Node], windows: W.SharedWindows) -> DataFrame:
+    """Add plain definitions level by level; columns already present are skipped.
+
+    A level is two selects: its window calls, each once, and what is made of them."""
     have = set(df.columns)
     todo = {n: node for n, node in nodes.items() if n not in have}
     while todo:
         ready = [n for n, node in todo.items() if all(d in have for d in node.deps)]
         if not ready:
             raise ValueError(f"unresolved columns: {sorted(todo)}")
+        calls = set().union(*[todo[n].windows for n in ready]) - have
+        if calls:
+            df = df.select("*", *windows.named(calls))
         df = df.select("*", *[todo[n].column.alias(n) for n in ready])
         have.update(ready)
+        have.update(calls)
         for n in ready:
             del todo[n]
     return df
@@ -159,7 +168,8 @@ def build(bars: DataFrame, names: Iterable[str], vix: DataFrame | None = None) -
     from tickloom.operators.align import align_second_series, weekly_to_daily
 
     names = list(names)
-    nodes = closure(names)
+    windows = W.SharedWindows()
+    nodes = closure(names, windows)
     df = bars
     if any("vix" in node.deps for node in nodes.values()):
         if vix is None:
@@ -172,7 +182,7 @@ def build(bars: DataFrame, names: Iterable[str], vix: DataFrame | None = None) -
 
     steps = {n: node for n, node in nodes.items() if node.feature.step}
     if steps:
-        df = _emit(df, _feeding(nodes, steps))
+        df = _emit(df, _feeding(nodes, steps), windows)
         df = scan(df, [(n, *node.feature.step) for n, node in steps.items()])
-    df = _emit(df, {n: node for n, node in nodes.items() if node.column is not None})
+    df = _emit(df, {n: node for n, node in nodes.items() if node.column is not None}, windows)
     return df.select("key", "ts", *names)

@@ -5,10 +5,10 @@ from math import log
 from pyspark.sql import functions as F
 
 from tickloom.functions.frames import (
-    cum_sum, frame, high, lag, latest_extreme, low, mean, nearest_of, or_else, over_full_rows,
-    pct, quantile, rank_at_or_above, ratio, sd, sign, since_start, total, values)
+    LONG_SPREAD, cum_sum, frame, high, is_full, lag, latest_extreme, long_spread, low, mean,
+    nearest_of, or_else, over_full_rows, pct, quantile, rank_at_or_above, ratio, sd, sign,
+    since_start, total, values)
 from tickloom.plans.registry import group, step
-from tickloom.plans.tiers.a20 import stochastic
 from tickloom.plans.tiers.a50 import YEAR
 
 
@@ -86,8 +86,9 @@ def premium_extensions():
 
 def _sortino(c, n):
     """Mean over the spread of the losing days alone."""
-    spread = F.when(F.count(c._ret_pct).over(frame(-n + 1)) == n,
-                    F.stddev_samp(F.when(c._ret_pct < 0, c._ret_pct)).over(frame(-n + 1)))
+    losses = F.when(c._ret_pct < 0, c._ret_pct)
+    spread = F.when(is_full(c._ret_pct, n), long_spread(losses, n) if n >= LONG_SPREAD
+                    else F.stddev_samp(losses).over(frame(-n + 1)))
     return or_else(ratio(mean(c._ret_pct, n), spread) * YEAR, 0.0)
 
 
@@ -218,7 +219,7 @@ def expectancy():
 
     return {
         "win_rate_20d": lambda c: F.when(c._full_ret_20, wins(c)),
-        "_full_ret_20": lambda c: F.count(c._ret_pct).over(frame(-19)) == 20,
+        "_full_ret_20": lambda c: is_full(c._ret_pct, 20),
         "expectancy_20d": lambda c: F.when(
             c._full_ret_20, c.win_rate_20d * part(c, c._ret_pct > 0)
             - (1 - c.win_rate_20d) * F.abs(part(c, c._ret_pct < 0))),

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from tickloom.functions.frames import (
-    cum_sum, ffill, frame, high, lag, low, mean, or_else, pct, rank_below, ratio, sd,
-    sd_pop, sign, total)
+    block, block_extreme, cum_sum, ffill, frame_extreme, high,
+    is_full, lag, low, mean, or_else, pct, rank_below, ratio, sd, sd_pop, sign, total)
 from tickloom.plans.registry import group, step, weekly
 
 
@@ -78,6 +78,25 @@ def base():
     return d
 
 
+@group("base")
+def yearly_extremes():
+    """Highest and lowest close, high and low of 252 rows, and their earliest row."""
+    n = 252
+    d = {"_block_252": lambda c: block(n),
+         "_close_row": lambda c: F.struct(c.close.alias("v"), (-c._rn).alias("r")),
+         "_close_row_low": lambda c: F.struct(c.close.alias("v"), c._rn.alias("r"))}
+    for x, src, highest in (("close_high", "close", True), ("close_low", "close", False),
+                            ("high", "high", True), ("low", "low", False),
+                            ("high_row", "_close_row", True), ("low_row", "_close_row_low", False)):
+        d[f"_{x}_252_head"] = (lambda s, h: lambda c: (
+            c._block_252, block_extreme(c[s], n, h, False))[1])(src, highest)
+        d[f"_{x}_252_tail"] = (lambda s, h: lambda c: (
+            c._block_252, block_extreme(c[s], n, h, True))[1])(src, highest)
+        d[f"_{x}_252"] = (lambda x, h: lambda c: frame_extreme(
+            c[f"_{x}_252_head"], c[f"_{x}_252_tail"], n, h))(x, highest)
+    return d
+
+
 def stochastic(x, n):
     """Position of x in its own n-row range, 0..100, 0 on a flat window."""
     lo, hi = low(x, n), high(x, n)
@@ -94,7 +113,7 @@ def moving_averages():
 
 def _stoch_rsi(c):
     # published once its 3-row companion average exists, two rows later
-    return F.when(F.count(c._rsi_14).over(frame(-6)) == 7, stochastic(c._rsi_14, 5))
+    return F.when(is_full(c._rsi_14, 7), stochastic(c._rsi_14, 5))
 
 
 @group("F003")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import kernels as K
 from tickloom.functions.frames import (
-    clip, flag, high, lag, latest_extreme, low, mean, nz, or_else, over_full_rows, over_rows, pct,
+    clip, flag, high, lag, low, mean, nz, or_else, over_full_rows, over_rows, pct,
     rank_at_or_below, ratio, sd, side_streak, since_start, streak, total, values)
 from tickloom.plans.registry import group, step
 from tickloom.plans.tiers.a100 import slope
@@ -112,20 +112,16 @@ def rsi_duration():
             "rsi_percentile_60d": lambda c: rank_at_or_below(c._rsi_14, 60)}
 
 
-def _age(c, n, highest):
-    return F.when(c._rn >= n, c._rn - latest_extreme(c.close, n, highest, latest=False)).otherwise(0)
-
-
 @group("F054")
 def mean_reversion():
     return {
         "zscore_from_20d_mean": lambda c: ratio(c.close - c._sma_20, sd(c.close, 20)),
         "zscore_from_50d_mean": lambda c: ratio(c.close - c._sma_50, sd(c.close, 50)),
         "percentile_in_52wk_range": lambda c: ratio(
-            c.close - low(c.close, 252), high(c.close, 252) - low(c.close, 252)),
-        "distance_from_52wk_high_pct": lambda c: pct(c.close, high(c.close, 252)),
-        "days_since_52wk_high": lambda c: _age(c, 252, True),
-        "days_since_52wk_low": lambda c: _age(c, 252, False),
+            c.close - c._close_low_252, c._close_high_252 - c._close_low_252),
+        "distance_from_52wk_high_pct": lambda c: pct(c.close, c._close_high_252),
+        "days_since_52wk_high": lambda c: or_else(c._rn - F.abs(c._high_row_252["r"]), 0),
+        "days_since_52wk_low": lambda c: or_else(c._rn - c._low_row_252["r"], 0),
     }
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tickloom.functions.frames import (
-    clip, flag, lag, mean, or_else, over_rows, sign, streak, truth)
+    clip, flag, lag, mean, or_else, over_rows, sign, streak)
 from tickloom.plans.registry import group
 
 EPS = 1e-8

@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from tickloom.functions.frames import (
-    clip, flag, frame, high, lag, latest_extreme, low, mean, nz, or_else,
+    clip, flag, frame, high, is_full, lag, latest_extreme, low, mean, nz, or_else,
     over_full_rows, pair_corr, pct, rank_below, ratio, sd, sign, since_start, streak,
     total, truth, variance)
 from tickloom.plans.registry import group, step
-from tickloom.plans.tiers.a100 import aroon, slope
+from tickloom.plans.tiers.a100 import slope
 from tickloom.plans.tiers.a200 import above_below, cross
 from tickloom.plans.tiers.a50 import YEAR
 
@@ -141,7 +141,7 @@ def volatility_regime():
             "_abs_ret": lambda c: F.abs(c._ret),
             "_abs_ret_before": lambda c: lag(c._abs_ret),
             "vol_clustering_score": lambda c: F.when(
-                F.count(c._abs_ret).over(frame(-19)) == 20,
+                is_full(c._abs_ret, 20),
                 pair_corr(c._abs_ret, c._abs_ret_before, 19))}
 
 
@@ -294,9 +294,12 @@ def aroon_extended():
 
 @group("F095")
 def range_position():
-    d = {f"range_position_{n}d": (lambda n: lambda c: or_else(clip(ratio(
-        c.close - low(c.low, n), high(c.high, n) - low(c.low, n)), 0, 1), 0.5))(n)
-        for n in (20, 50, 252)}
+    def place(c, lo, hi):
+        return or_else(clip(ratio(c.close - lo, hi - lo), 0, 1), 0.5)
+
+    d = {f"range_position_{n}d": (lambda n: lambda c: place(c, low(c.low, n), high(c.high, n)))(n)
+         for n in (20, 50)}
+    d["range_position_252d"] = lambda c: place(c, c._low_252, c._high_252)
     d["range_width_20d_pct"] = lambda c: (high(c.high, 20) - low(c.low, 20)) / c.close * 100
     return d
 
@@ -305,8 +308,8 @@ def range_position():
 def distance_from_extremes():
     return {"pct_from_20d_high": lambda c: pct(c.close, high(c.high, 20)),
             "pct_from_20d_low": lambda c: pct(c.close, low(c.low, 20)),
-            "pct_from_52w_high": lambda c: pct(c.close, high(c.high, 252)),
-            "pct_from_52w_low": lambda c: pct(c.close, low(c.low, 252))}
+            "pct_from_52w_high": lambda c: pct(c.close, c._high_252),
+            "pct_from_52w_low": lambda c: pct(c.close, c._low_252)}
 
 
 @group("F097")

@@ -2,11 +2,12 @@
 
 Kernel windows of this tier end at the row before the current one."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import kernels as K
 from tickloom.functions.frames import (
-    clip, ffill, frame, high, lag, lead, low, nz, pair_corr,
+    clip, ffill, frame, high, is_full, lag, lead, low, nz, pair_corr,
     quantile, range_share, ratio, running, sd, sign, since_start, streak, truth, values)
 from tickloom.plans.registry import group, step, weekly
 from tickloom.plans.tiers.a100 import aroon, slope
@@ -15,9 +16,7 @@ from tickloom.plans.tiers.a200 import changed
 
 def _with_20_weeks(name):
     """Null for a series that has fewer than 20 weeks in all."""
-    from pyspark.sql import Window
-    whole = Window.partitionBy("key")
-    return lambda c: F.when(F.count(F.lit(1)).over(whole) >= 20, c[name])
+    return lambda c: F.when(F.count(F.lit(1)).over(Window.partitionBy("key")) >= 20, c[name])
 
 
 def bring_down(**pairs):
@@ -109,7 +108,7 @@ def entropies():
 @group("F122")
 def complexity():
     def auto(k):
-        return lambda c: F.when(F.count(c._ret).over(frame(-19)) == 20,
+        return lambda c: F.when(is_full(c._ret, 20),
                                 pair_corr(c._ret, c[f"_ret_before_{k}"], 20 - k))
 
     return {
@@ -202,7 +201,7 @@ def entropy_dynamics():
         "_entropy_regime_moved": lambda c: (
             c._entropy_regime != lag(c._entropy_regime)).cast("double"),
         "entropy_regime_change_count_20d": lambda c: F.when(
-            F.count(c._entropy_regime_moved).over(frame(-19)) == 20,
+            is_full(c._entropy_regime_moved, 20),
             F.sum(c._entropy_regime_moved).over(frame(-19))),
         "perm_entropy_trend_5d": slope("_pe"),
         "perm_entropy_acceleration_5d": slope("perm_entropy_trend_5d"),

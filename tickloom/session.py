@@ -15,6 +15,8 @@ def local_session(cpus: int | None = None, partitions: int | None = None) -> Spa
         .config("spark.sql.shuffle.partitions", str(partitions or cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # no call-site capture: it doubles the round trips of building wide plans
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate())
