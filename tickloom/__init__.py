@@ -1 +1,8 @@
 """tickloom: keyed time-series features, labels and evaluation as Spark plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the job, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
