@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import curriculum, ngram_join, quality, shards
+from tickloom.llm import curriculum, decontaminate, licenses, ngram_join, quality, shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,16 @@ def op3_ngram_jaccard(spark, sf_dir):
     return ngram_join.link(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_license_scan(spark, sf_dir):
+    return licenses.scan(_table(spark, sf_dir, "documents"), licenses.notices(spark)).select(
+        "doc_id", "template_id", "license", F.round("containment", 6).alias("containment"), "first_word")
+
+
+def op7_decontamination(spark, sf_dir):
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start")
+
+
 def op9_quality_rules(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return quality.measure(docs, quality.fit(docs, _table(spark, sf_dir, "labels"))).select(
@@ -41,8 +51,16 @@ def op10_stratified_shards(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_curriculum_mix, op3_ngram_jaccard, op9_quality_rules, op10_stratified_shards)}
+    return {f.__name__: f for f in (
+        op2_curriculum_mix, op3_ngram_jaccard, op5_license_scan, op7_decontamination, op9_quality_rules,
+        op10_stratified_shards, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
