@@ -30,16 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import components, stored
+from tickloom.llm.shared import components, key_bits, rows_with_bits, stored
 from tickloom.llm.words import Slice, mix, shingle_sets, word_slices
 
 #: The similarity as a fraction.
 ABOVE, BELOW = 3, 4
 SKETCH = 1 << 20
 PARTS = 16
-#: Bits of the map that says which texts the verification needs.
-NEED_BITS = 1 << 23
-BITMAP_BITS = 32768
 #: Star rounds go on while more pairs than this many per posting are left.
 LEFT_PER_POSTING = 4
 
@@ -112,19 +109,6 @@ def prefixes(docs: DataFrame, levels: np.ndarray | None) -> DataFrame:
     return rows.mapInArrow(heads, "doc_id long, n long, parts array<int>, prefix array<long>")
 
 
-def _needed(nodes: DataFrame, bits: int = NEED_BITS) -> np.ndarray:
-    """A bit for each hash of a node; NEED_BITS bits, whatever the table.  More nodes
-    than bits would let more texts through, never fewer."""
-    at = F.pmod(F.xxhash64("node"), F.lit(bits)) + 1
-    got = nodes.select(at.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
-    out = np.zeros(bits, bool)
-    for r in got:
-        held = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
-        out[(r.k - 1) * BITMAP_BITS:r.k * BITMAP_BITS] = held.astype(bool)
-    return out
-
-
 def _overlap_needed(n: str, m: str):
     total = BELOW + ABOVE
     return F.expr(f"({ABOVE} * ({n} + {m}) + {total - 1}) div {total}")
@@ -137,18 +121,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     pairs = (pairs.join(side.toDF("a", "na", "pa"), "a").join(side.toDF("b", "nb", "pb"), "b")
              .filter(least >= _overlap_needed("na", "nb")).select("a", "b"))
     pairs = stored(pairs)
-    need = np.packbits(_needed(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))))
-    flag = F.pmod(F.xxhash64("doc_id"), F.lit(NEED_BITS))
-
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(need).astype(bool)
-        for batch in batches:
-            at = batch.column("at").to_numpy(zero_copy_only=False)
-            yield batch.select(["node", "text"]).filter(pa.array(held[at]))
-
-    texts = (docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-             .select(F.col("doc_id").alias("node"), "text", flag.alias("at"))
-             .mapInArrow(some, "node long, text string").groupBy("node").agg(F.min("text").alias("text")))
+    need = key_bits(pairs.select("a").unionAll(pairs.select("b")), "a")
+    texts = rows_with_bits(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text"),
+                           "node", need).groupBy("node").agg(F.min("text").alias("text"))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import curriculum, decontaminate, licenses, ngram_join, quality, shards
+from tickloom.llm import curriculum, decontaminate, licenses, ngram_join, quality, shards, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op7_decontamination(spark, sf_dir):
         "doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start")
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return substring.remove(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
 def op9_quality_rules(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return quality.measure(docs, quality.fit(docs, _table(spark, sf_dir, "labels"))).select(
@@ -59,8 +64,8 @@ def pipeline(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_curriculum_mix, op3_ngram_jaccard, op5_license_scan, op7_decontamination, op9_quality_rules,
-        op10_stratified_shards, pipeline)}
+        op2_curriculum_mix, op3_ngram_jaccard, op5_license_scan, op7_decontamination, op8_substring_dedup,
+        op9_quality_rules, op10_stratified_shards, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+#: Size of a key map: one megabyte, whatever the table.
+KEY_BITS = 1 << 23
+BITMAP_BITS = 32768
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -65,3 +71,26 @@ def components(edges: DataFrame) -> DataFrame:
     tops = edges.select(F.col("b").alias("node"), F.col("b").alias("root"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(tops).groupBy("node").agg(
         F.min("root").alias("root"))
+
+
+def key_bits(keys: DataFrame, key: str) -> bytes:
+    """A map with one of KEY_BITS bits set for the hash of each key.  Where there are
+    more keys than bits it lets more rows through, never fewer."""
+    at = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(KEY_BITS)) + 1
+    got = keys.select(at.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+    out = bytearray(KEY_BITS // 8)
+    for r in got:
+        out[(r.k - 1) * BITMAP_BITS // 8:r.k * BITMAP_BITS // 8] = r.bits
+    return bytes(out)
+
+
+def rows_with_bits(df: DataFrame, key: str, bits: bytes, present: bool = True) -> DataFrame:
+    """The rows whose key may be in the map; with present=False those that are not."""
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            yield batch.select(batch.schema.names[:-1]).filter(pa.array(held[at] == present))
+
+    return df.withColumn("__at", F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(KEY_BITS))).mapInArrow(chosen, df.schema)
