@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import curriculum, decontaminate, licenses, ngram_join, quality, shards, substring
+from tickloom.llm import brown, curriculum, decontaminate, licenses, ngram_join, quality, shards, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op3_ngram_jaccard(spark, sf_dir):
     return ngram_join.link(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_brown_lm(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model, words = brown.fit(docs.filter(~brown.held_out()))
+    return brown.score(docs, model, words)
+
+
 def op5_license_scan(spark, sf_dir):
     return licenses.scan(_table(spark, sf_dir, "documents"), licenses.notices(spark)).select(
         "doc_id", "template_id", "license", F.round("containment", 6).alias("containment"), "first_word")
@@ -64,7 +70,7 @@ def pipeline(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_curriculum_mix, op3_ngram_jaccard, op5_license_scan, op7_decontamination, op8_substring_dedup,
+        op2_curriculum_mix, op3_ngram_jaccard, op4_brown_lm, op5_license_scan, op7_decontamination, op8_substring_dedup,
         op9_quality_rules, op10_stratified_shards, pipeline)}
 
 
