@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import brown, curriculum, decontaminate, licenses, ngram_join, quality, shards, substring
+from tickloom.llm import brown, curriculum, decontaminate, licenses, ngram_join, quality, shards, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op5_license_scan(spark, sf_dir):
         "doc_id", "template_id", "license", F.round("containment", 6).alias("containment"), "first_word")
 
 
+def op6_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels"))).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
 def op7_decontamination(spark, sf_dir):
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select(
         "doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start")
@@ -70,7 +76,7 @@ def pipeline(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_curriculum_mix, op3_ngram_jaccard, op4_brown_lm, op5_license_scan, op7_decontamination, op8_substring_dedup,
+        op2_curriculum_mix, op3_ngram_jaccard, op4_brown_lm, op5_license_scan, op6_toxicity, op7_decontamination, op8_substring_dedup,
         op9_quality_rules, op10_stratified_shards, pipeline)}
 
 
