@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.fm_index import SEPARATOR, FMIndex, repeated_windows
 from tickloom.llm.shared import key_bits, rows_with_bits, stored
-from tickloom.llm.words import MULTIPLIER, Slice, mix, window_hashes, word_slices
+from tickloom.llm.words import MULTIPLIER, Slice, mix, text_slices, window_hashes, word_slices
 
 WINDOW = 35
 GRAM = 8
@@ -185,23 +185,22 @@ def _finish(docs: DataFrame, window: int, kind: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept of rows (doc_id, text, first, windows)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, removed, kept = [], [], []
-            runs = batch.column("runs")
-            for i in range(batch.num_rows):
-                words = (batch.column("text")[i].as_py() or "").encode().split()
-                n_words.append(len(words))
-                if runs[i].is_valid:
-                    run = runs[i].values
-                    first = run.field("first").to_numpy()
-                    step = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(step, first, 1)
-                    np.add.at(step, first + run.field("windows").to_numpy() + window - 1, -1)
-                    words = [words[j] for j in np.flatnonzero(np.cumsum(step)[:-1] == 0)]
-                removed.append(n_words[-1] - len(words))
-                kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()),
-                 pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            for rows in text_slices(batch):
+                n_words, removed, kept = [], [], []
+                for text, runs in zip(rows.column("text"), rows.column("runs")):
+                    words = (text.as_py() or "").encode().split()
+                    n_words.append(len(words))
+                    if runs.is_valid:
+                        first = runs.values.field("first").to_numpy()
+                        step = np.zeros(len(words) + 1, np.int64)
+                        np.add.at(step, first, 1)
+                        np.add.at(step, first + runs.values.field("windows").to_numpy() + window - 1, -1)
+                        words = [words[j] for j in np.flatnonzero(np.cumsum(step)[:-1] == 0)]
+                    removed.append(n_words[-1] - len(words))
+                    kept.append(b" ".join(words).decode())
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()),
+                     pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     return docs.mapInArrow(work, f"doc_id {kind}, n_words long, n_removed long, kept string")
 

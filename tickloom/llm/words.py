@@ -19,7 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Text bytes that one slice holds, one longer text excepted.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
