@@ -35,7 +35,8 @@ from tickloom.llm.words import Slice, mix, shingle_sets, word_slices
 
 #: The similarity as a fraction.
 ABOVE, BELOW = 3, 4
-SKETCH = 1 << 20
+SKETCH = 1 << 22
+BLOCK = 1 << 14
 PARTS = 16
 #: Star rounds go on while more pairs than this many per posting are left.
 LEFT_PER_POSTING = 4
@@ -51,21 +52,45 @@ def _bounds(part: Slice):
 
 
 def sketch(docs: DataFrame) -> np.ndarray:
-    """The level of each hash bucket: 8 times the binary logarithm of its count.
-    SKETCH bytes, whatever the table."""
+    """The level of each hash bucket: 8 times the binary logarithm of its count (counts
+    stop at 65,535 per task).  SKETCH bytes, whatever the table.
+
+    A task passes its counts on as blocks of BLOCK buckets, whole where most of them are
+    in use and as (bucket, count) where few are."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SKETCH, np.int64)
+        seen = np.zeros(SKETCH, np.int32)
         for part in word_slices(batches, lower=True):
-            seen += np.bincount((shingle_sets(part)[1] % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-        used = np.flatnonzero(seen)
-        for at in range(0, len(used), 1 << 16):
-            some = used[at:at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(seen[some])], ["bucket", "n"])
-
-    counts = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+            bucket, n = np.unique((shingle_sets(part)[1] % np.uint64(SKETCH)).astype(np.int32), return_counts=True)
+            seen[bucket] += n.astype(np.int32)
+        for block in range(SKETCH // BLOCK):
+            some = np.minimum(seen[block * BLOCK:(block + 1) * BLOCK], 65535).astype(np.uint16)
+            used = np.flatnonzero(some)
+            if len(used):
+                whole = 2 * len(used) > BLOCK
+                held = some.tobytes() if whole else np.concatenate((used.astype(np.uint16), some[used])).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([whole]),
+                                                  pa.array([held], pa.binary())], ["block", "whole", "held"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, whole, held in zip(*(batch.column(c).to_pylist() for c in ("block", "whole", "held"))):
+                into = seen.setdefault(block, np.zeros(BLOCK, np.int64))
+                values = np.frombuffer(held, np.uint16)
+                if whole:
+                    into += values
+                else:
+                    into[values[:len(values) // 2]] += values[len(values) // 2:]
+        for block, n in seen.items():
+            level = np.minimum(np.round(8 * np.log2(np.maximum(n, 1))), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())],
+                                             ["block", "level"])
+
+    got = (docs.select("text").mapInArrow(count, "block int, whole boolean, held binary").repartition("block")
+           .mapInArrow(total, "block int, level binary").toArrow())
     levels = np.zeros(SKETCH, np.uint8)
-    got = counts.select("bucket", F.round(8 * F.log2("n")).cast("int").alias("level")).toArrow()
-    levels[got["bucket"].to_numpy()] = np.minimum(got["level"].to_numpy(), 255)
+    for block, level in zip(got["block"].to_pylist(), got["level"].to_pylist()):
+        levels[block * BLOCK:(block + 1) * BLOCK] = np.frombuffer(level, np.uint8)
     return levels
 
 

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import brown, curriculum, decontaminate, licenses, ngram_join, quality, shards, substring, toxicity
+from tickloom.llm import brown, curriculum, decontaminate, licenses, main_text, ngram_join, quality, shards, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark, sf_dir):
+    return main_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_curriculum_mix(spark, sf_dir):
     from tickloom.llm.words import word_count
 
@@ -76,7 +80,7 @@ def pipeline(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_curriculum_mix, op3_ngram_jaccard, op4_brown_lm, op5_license_scan, op6_toxicity, op7_decontamination, op8_substring_dedup,
+        op1_html_extraction, op2_curriculum_mix, op3_ngram_jaccard, op4_brown_lm, op5_license_scan, op6_toxicity, op7_decontamination, op8_substring_dedup,
         op9_quality_rules, op10_stratified_shards, pipeline)}
 
 
