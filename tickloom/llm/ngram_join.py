@@ -7,15 +7,21 @@ Two texts link when 4 * |A and B| >= 3 * |A or B| over their sets of distinct
 2. Shingles get one global order, rare first: by the count of the hash bucket that
    a shingle falls into (counted over all texts), then by hash.  Any such order gives
    whole results; the counts only keep frequent shingles out of the prefixes.
-3. Two sets that link share a shingle in their prefixes, the first
-   n - ceil(0.75 n) + 1 shingles.  Postings of shingles that only one node has go.
-4. A pair that shares a prefix shingle is a candidate if its lengths, the positions
-   of the shared shingle and the sizes of the parts of the two sets (the suffix
-   filter: the hash range cut at 15 pivots) allow the overlap it needs.
-5. Rounds of stars compare each node with one other per shingle, chosen by a hash
-   that changes with the round, and join what links into components.  What is left is
-   every pair of nodes in different components; all of these are verified too, so no
-   component is missed, and a large group of near copies costs no pairs by the square.
+3. A set x links only with sets y of 0.75 to 4/3 of its size.  Let y be the smaller:
+   with the overlap o that the sizes ask for, a shingle stands in the first
+   n(x) - o + 1 of x and in the first n(y) - o + 1 of y.  So x is looked up by its
+   first n - ceil(3/4 n) + 1 shingles, y is listed under its first
+   n - ceil(6/7 n) + 1, and both meet on (shingle, size band): a shingle far back in x
+   is looked up only in the bands of sizes that could still link.  Postings of shingles
+   that only one node has go.
+4. A pair that meets is a candidate if its lengths and the positions of the shingle
+   allow the overlap, and if the sizes of the parts of the two sets do (the suffix
+   filter: the hash range cut at 15 pivots).
+5. Rounds of stars compare each node with one listed node per shingle and band, first
+   the one with the fewest rare shingles before it, and join what links into
+   components, while that halves what is left: the meetings of nodes in different
+   components.  All of these are verified then, so no component is missed, and a group
+   of near copies costs no pairs by the square.
 
 A document whose text is null or blank has an empty set and links with nothing.
 Rows with a null doc_id get component null.  Rows that share a doc_id share a
@@ -24,6 +30,7 @@ component.  Other columns are ignored by `link` and kept by `keep_one`."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +44,13 @@ from tickloom.llm.words import Slice, mix, shingle_sets, word_slices
 ABOVE, BELOW = 3, 4
 SKETCH = 1 << 22
 BLOCK = 1 << 14
+FIRST = ["doc_id", "n", "mark1", "mark2", "block", "whole", "held"]
 PARTS = 16
-#: Star rounds go on while more pairs than this many per posting are left.
-LEFT_PER_POSTING = 4
+#: Ratio of the sizes at the ends of a size band.
+BAND = 1.15
+#: Another star round is only worth its jobs while more meetings than this many per
+#: posting are left.
+LEFT_PER_POSTING = 16
 
 
 def _row_starts(row: np.ndarray, n: int) -> np.ndarray:
@@ -51,33 +62,52 @@ def _bounds(part: Slice):
     return row, value, _row_starts(row, part.rows.num_rows)
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
-    """The level of each hash bucket: 8 times the binary logarithm of its count (counts
-    stop at 65,535 per task).  SKETCH bytes, whatever the table.
+def first_pass(docs: DataFrame) -> DataFrame:
+    """Rows of two kinds from one reading of the texts: (doc_id, n, mark1, mark2), the
+    size and the fingerprint of each document's set; and (block, whole, held), each
+    task's counts of shingles per hash bucket.
 
-    A task passes its counts on as blocks of BLOCK buckets, whole where most of them are
-    in use and as (bucket, count) where few are."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Counts come in blocks of BLOCK buckets, whole where most buckets are in use and as
+    (bucket, count) where few are; a task's count stops at 65,535."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(SKETCH, np.int32)
         for part in word_slices(batches, lower=True):
-            bucket, n = np.unique((shingle_sets(part)[1] % np.uint64(SKETCH)).astype(np.int32), return_counts=True)
+            _, value, at = _bounds(part)
+            bucket, n = np.unique((value % np.uint64(SKETCH)).astype(np.int32), return_counts=True)
             seen[bucket] += n.astype(np.int32)
+            sums = []
+            with np.errstate(over="ignore"):
+                for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179):
+                    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(salt)), dtype=np.uint64)))
+                    sums.append(pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)))
+            rows = len(at) - 1
+            yield pa.RecordBatch.from_arrays(
+                [part.rows.column("doc_id"), pa.array(np.diff(at)), *sums, pa.nulls(rows, pa.int32()),
+                 pa.nulls(rows, pa.bool_()), pa.nulls(rows, pa.binary())], FIRST)
         for block in range(SKETCH // BLOCK):
             some = np.minimum(seen[block * BLOCK:(block + 1) * BLOCK], 65535).astype(np.uint16)
             used = np.flatnonzero(some)
             if len(used):
                 whole = 2 * len(used) > BLOCK
                 held = some.tobytes() if whole else np.concatenate((used.astype(np.uint16), some[used])).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([whole]),
-                                                  pa.array([held], pa.binary())], ["block", "whole", "held"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([block], pa.int32()), pa.array([whole]),
+                     pa.array([held], pa.binary())], FIRST)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        work, "doc_id long, n long, mark1 long, mark2 long, block int, whole boolean, held binary")
+
 
+def levels_of(counts: DataFrame) -> np.ndarray:
+    """The level of each hash bucket from (block, whole, held): 8 times the binary
+    logarithm of its count.  SKETCH bytes, whatever the table."""
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, whole, held in zip(*(batch.column(c).to_pylist() for c in ("block", "whole", "held"))):
-                into = seen.setdefault(block, np.zeros(BLOCK, np.int64))
-                values = np.frombuffer(held, np.uint16)
-                if whole:
+            for block, whole, held in zip(*(batch.column(c) for c in ("block", "whole", "held"))):
+                into = seen.setdefault(block.as_py(), np.zeros(BLOCK, np.int64))
+                values = np.frombuffer(held.as_py(), np.uint16)
+                if whole.as_py():
                     into += values
                 else:
                     into[values[:len(values) // 2]] += values[len(values) // 2:]
@@ -86,8 +116,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())],
                                              ["block", "level"])
 
-    got = (docs.select("text").mapInArrow(count, "block int, whole boolean, held binary").repartition("block")
-           .mapInArrow(total, "block int, level binary").toArrow())
+    got = counts.repartition("block").mapInArrow(total, "block int, level binary").toArrow()
     levels = np.zeros(SKETCH, np.uint8)
     for block, level in zip(got["block"].to_pylist(), got["level"].to_pylist()):
         levels[block * BLOCK:(block + 1) * BLOCK] = np.frombuffer(level, np.uint8)
@@ -98,20 +127,9 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (n * ABOVE + BELOW - 1) // BELOW + (n > 0)
 
 
-def prefixes(docs: DataFrame, levels: np.ndarray | None) -> DataFrame:
-    """One row per document: size and fingerprint of its set or, with levels, size,
-    sizes of the set's parts, and the shingles of its prefix in order."""
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in word_slices(batches, lower=True):
-            _, value, at = _bounds(part)
-            sums = []
-            with np.errstate(over="ignore"):
-                for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179):
-                    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(salt)), dtype=np.uint64)))
-                    sums.append(pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.rows.column("doc_id"), pa.array(np.diff(at)), *sums],
-                                             ["doc_id", "n", "mark1", "mark2"])
-
+def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+    """One row per document: size of its set, sizes of the set's parts, and the shingles
+    of its prefix in order."""
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in word_slices(batches, lower=True):
             row, value, at = _bounds(part)
@@ -128,10 +146,8 @@ def prefixes(docs: DataFrame, levels: np.ndarray | None) -> DataFrame:
                                           pa.array(value[order][first].view(np.int64)))],
                 ["doc_id", "n", "parts", "prefix"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if levels is None:
-        return rows.mapInArrow(marks, "doc_id long, n long, mark1 long, mark2 long")
-    return rows.mapInArrow(heads, "doc_id long, n long, parts array<int>, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        heads, "doc_id long, n long, parts array<int>, prefix array<long>")
 
 
 def _overlap_needed(n: str, m: str):
@@ -174,69 +190,99 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             .mapInArrow(linked, "a long, b long").distinct())
 
 
-def _possible(pairs: DataFrame) -> DataFrame:
-    """Length and positional filter on rows (x, nx, ix, y, ny, iy), then each pair once."""
+def _band(size: str):
+    return F.expr(f"cast(floor(ln({size}) / {log(BAND)!r}) as int)")
+
+
+def _sides(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings (token, node, n, i, root) as lookups (x, once per band of sizes that it
+    may link with) and as lists (y).  Both hold the largest size of the other that their
+    position allows."""
+    most = F.expr("(4 * n - 7 * i) div 3")
+    lookups = (postings.withColumn("most", most).withColumn("low", F.expr("(3 * n + 3) div 4"))
+               .withColumn("high", F.least("n", "most")).filter("high >= low")
+               .select("token", F.explode_outer(F.sequence(_band("low"), _band("high"))).alias("band"), F.col("node").alias("x"),
+                       F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("most").alias("mx"), F.col("root").alias("rx")))
+    lists = postings.withColumn("most", most).filter("most >= n").select(
+        "token", _band("n").alias("band"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"),
+        F.col("most").alias("my"), F.col("root").alias("ry"))
+    return lookups, lists
+
+
+def _meet(lookups: DataFrame, lists: DataFrame) -> DataFrame:
+    """The candidates: meetings that the length and positional filters allow."""
     room = F.least("ix", "iy") + 1 + F.least(F.expr("nx - ix - 1"), F.expr("ny - iy - 1"))
-    return (pairs.filter(f"x <> y and {BELOW} * least(nx, ny) >= {ABOVE} * greatest(nx, ny)")
+    return (lookups.join(lists, ["token", "band"])
+            .filter(f"rx <> ry and x <> y and ny <= nx and nx <= my and ny <= mx and {BELOW} * ny >= {ABOVE} * nx")
             .filter(room >= _overlap_needed("nx", "ny"))
             .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
 
 
 def _star(postings: DataFrame, turn: int) -> DataFrame:
-    """Each node of a shingle with the one whose component, then itself, hashes least."""
-    centre = postings.groupBy("token").agg(F.min(F.struct(
-        F.xxhash64(F.lit(turn), "root").alias("k"), F.xxhash64(F.lit(turn), "node").alias("j"),
-        F.col("node").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("root").alias("ry"))).alias("c"))
-    return _possible(postings.join(centre, "token").select(
-        F.col("node").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), "root", "c.*").filter("root <> ry"))
+    """Each lookup with one listed node: in the first turn the one with the fewest
+    shingles before, later one of a component that changes with the turn."""
+    lookups, lists = _sides(postings)
+    first = F.lit(0) if turn == 0 else F.xxhash64(F.lit(turn), "ry")
+    centre = lists.groupBy("token", "band").agg(F.min(F.struct(
+        first.alias("k"), "iy", F.xxhash64("y").alias("h"), "y", "ny", "my", "ry")).alias("c")).select("token", "band", "c.*")
+    return _meet(lookups, centre.drop("k", "h"))
 
 
 def _rest(postings: DataFrame) -> tuple[int, DataFrame]:
-    """How many pairs of a shingle are in different components, and those pairs.  The
-    largest component of a shingle stands on one side of the join only."""
-    cells = postings.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
-    tops = cells.groupBy("token").agg(F.sum("k").alias("all"), F.sum(F.expr("cast(k as double) * k")).alias("own"),
-                                      F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
-    tops = tops.filter("roots > 1").select("token", "all", "own", F.col("top.root").alias("top"))
-    left = tops.agg(F.sum(F.expr("(cast(all as double) * all - own) / 2"))).first()[0] or 0
-    marked = postings.join(tops.select("token", "top"), "token")
-    minor = marked.filter("root <> top").select("token", "top", F.col("node").alias("x"), F.col("n").alias("nx"),
-                                                F.col("i").alias("ix"), F.col("root").alias("rx"))
-    other = marked.select("token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"),
-                          F.col("root").alias("ry"))
-    return int(left), _possible(minor.join(other, "token").filter("rx <> ry and (ry = top or x < y)"))
+    """How many meetings there are between different components, and their candidates.
+    The largest component of a (token, band) stands on one side of a join only."""
+    lookups, lists = _sides(postings)
+    key = ["token", "band"]
+    cells = (lookups.select(*key, F.col("rx").alias("root"), F.lit(1).alias("p"), F.lit(0).alias("q"))
+             .unionAll(lists.select(*key, F.col("ry").alias("root"), F.lit(0).alias("p"), F.lit(1).alias("q")))
+             .groupBy(*key, "root").agg(F.sum("p").alias("p"), F.sum("q").alias("q")))
+    number = F.col("p").cast("double") * F.col("q")
+    tops = stored(cells.groupBy(*key).agg(
+        (F.sum("p").cast("double") * F.sum("q") - F.sum(number)).alias("left"),
+        F.max(F.struct((F.col("p") + F.col("q")).alias("k"), "root")).alias("top")).filter("left > 0").select(
+        *key, "left", F.col("top.root").alias("top")))
+    left = tops.agg(F.sum("left")).first()[0] or 0
+    x, y = lookups.join(tops.select(*key, "top"), key), lists.join(tops.select(*key, "top"), key)
+    minor = _meet(x.filter("rx <> top").drop("top"), y.drop("top"))
+    major = _meet(x.filter("rx = top").drop("top"), y.filter("ry <> top").drop("top"))
+    return int(left), minor.unionAll(major).distinct()
 
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row, and node: the least doc_id with
     the same set."""
-    marks = stored(prefixes(docs, None))
+    first = stored(first_pass(docs))
+    marks = first.filter("block is null").select("doc_id", "n", "mark1", "mark2")
     classes = stored(marks.filter("doc_id is not null and n > 0").groupBy("mark1", "mark2", "n").agg(
         F.min("doc_id").alias("node")))
-    nodes = (prefixes(docs, sketch(docs)).withColumnRenamed("doc_id", "node")
+    levels = levels_of(first.filter("block is not null").select("block", "whole", "held"))
+    nodes = (prefixes(docs, levels).withColumnRenamed("doc_id", "node")
              .join(classes.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     spread = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "token"))
-    several = spread.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
+    listed = F.max(F.expr("(4 * n - 7 * i) div 3 >= n"))
+    several = spread.groupBy("token").agg(F.count(F.lit(1)).alias("k"), listed.alias("listed")).filter(
+        "k > 1 and listed").select("token")
     postings = stored(spread.join(several, "token").select("token", "node", "n", "i"))
     size = postings.count()
     edges, roots = None, None
     if size:
         known = stored(nodes.select("node", F.col("n").cast("int").alias("n"), "parts").join(
             postings.select("node"), "node", "left_semi"))
-        turn, last, marked = 0, False, postings.withColumn("root", F.col("node"))
-        pairs = _star(marked, turn)
+        marked = postings.withColumn("root", F.col("node"))
+        pairs, turn, last, before = _star(marked, 0), 0, False, float("inf")
         while True:
             found = stored(_verify(pairs, docs, known))
-            grown = not found.isEmpty()
-            if grown:
+            if not found.isEmpty():
                 edges = found if edges is None else edges.unionAll(found)
                 roots = stored(components(edges))
                 marked = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             if last:
                 break
-            turn += 1
             left, pairs = _rest(marked)
-            last = left <= LEFT_PER_POSTING * size or not grown
+            if not left:
+                break
+            last = left <= LEFT_PER_POSTING * size or 2 * left > before
+            before, turn = left, turn + 1
             if not last:
                 pairs = _star(marked, turn)
     out = marks.join(classes, ["mark1", "mark2", "n"], "left")
