@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import brown, curriculum, decontaminate, licenses, main_text, ngram_join, quality, shards, substring, toxicity
+from tickloom.llm.shared import stored
+from tickloom.llm.words import word_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +21,9 @@ def op1_html_extraction(spark, sf_dir):
 
 
 def op2_curriculum_mix(spark, sf_dir):
-    from tickloom.llm.words import word_count
-
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return curriculum.plan(docs).select(
-        "doc_id", "size", "source_size", "target", "taken",
-        F.size("passes").cast("long").alias("copies"),
+    docs = stored(_table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words")))
+    return curriculum.plan(docs, size=F.col("words")).select("doc_id", "mix.*").select(
+        "doc_id", "size", "source_size", "target", "taken", F.size("passes").cast("long").alias("copies"),
         F.round(F.array_min(F.transform("passes", lambda p: p["position"])), 6).alias("first_position"))
 
 
