@@ -110,7 +110,7 @@ def queries() -> dict:
     @reg("Q09_permutation_importance")
     def _(spark, sf):
         r, model = _model(spark, sf)
-        return Q.permutation_importance(model, r, COLS[:3], ["key", "ts"], "y", "auc", repeats=2)
+        return Q.permutation_importance(model, r, COLS, ["key", "ts"], "y", "auc")
 
     reg("Q10_stability")(lambda s, sf: Q.stability(_by_part(s, sf)))
     reg("Q11_grades")(lambda s, sf: Q.assess(feature_metrics(s, sf)).select(
@@ -123,7 +123,7 @@ def queries() -> dict:
     reg("Q15_reduction_validation")(lambda s, sf: Q.validate_reduction(_reduction_runs(s, sf)).drop("base_precision", "base_recall", "base_auc"))
     reg("Q16_feature_check", 5)(lambda s, sf: Q.feature_check(rows(s, sf), "dist", "y", ["ret", "gap", "body"]))
     reg("Q17_boosted_baseline", 3)(lambda s, sf: Q.boosted_baseline(
-        rows(s, sf), COLS, "y", F.col("ts") < F.lit("2000-01-01").cast("date"), trees=5, depth=3))
+        rows(s, sf), COLS, "y", F.col("ts") < F.lit("2000-01-01").cast("date")))
 
     # --- validation --------------------------------------------------------------------
     reg("V01_columns")(lambda s, sf: V.columns_check(

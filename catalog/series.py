@@ -263,7 +263,7 @@ def queries() -> dict:
         b = _bars(spark, sf)
         lab = labels.threshold_labels(b, (1,), (0.01,))
         v = second_series(spark, sf)
-        return rounded(labels.combined_dataset(b, _features(spark, sf), lab, v, check=False), 4)
+        return rounded(labels.combined_dataset(b, _features(spark, sf), lab, v), 4)
 
     @reg("D21_split_statistics")
     def _(spark, sf):

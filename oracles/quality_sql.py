@@ -107,7 +107,7 @@ def removal():
 
 
 def md5sum(cols, src):
-    line = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in cols) + ")"
+    line = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')" for c in cols)
     return f"SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(md5({line}), 1, 7) AS BIGINT)) AS VARCHAR) AS checksum FROM {src}"
 
 

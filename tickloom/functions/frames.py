@@ -98,26 +98,16 @@ def lead(x, k: int = 1) -> Column:
 
 # --- full trailing windows -----------------------------------------------------
 #
-# A sliding frame is recomputed row by row: its cost grows with its length.  A
-# frame that starts at the first row is not, so counts, and sums of long frames,
-# are differences of two running aggregates and cost the same for any length.
-# The two share every addition up to the frame's start, so only the frame's own
-# rounding is left in the difference, as in a running total.
-
-LONG_SUM, LONG_SPREAD = 40, 60
-
-
-def _running_diff(agg: Column, n: int, end: int = 0) -> Column:
-    upto = over(agg, frame(Window.unboundedPreceding, end))
-    before = over(agg, frame(Window.unboundedPreceding, end - n))
-    return upto - F.coalesce(before, F.lit(0))
-
+# Sums, means and spreads are aggregates of the frame itself at every length: a
+# difference of running sums would carry an old value of another size, or a NaN,
+# into every later row.  Counts are whole numbers, so theirs is exact and costs
+# the same for any length.
 
 def is_full(x, n: int, end: int = 0) -> Column:
     """Whether the frame holds n known values."""
-    if n < LONG_SUM:
-        return over(F.count(_col(x)), frame(end - n + 1, end)) == n
-    return _running_diff(F.count(_col(x)), n, end) == n
+    upto = over(F.count(_col(x)), frame(Window.unboundedPreceding, end))
+    before = over(F.count(_col(x)), frame(Window.unboundedPreceding, end - n))
+    return upto - F.coalesce(before, F.lit(0)) == n
 
 
 def _full(agg: Column, x, n: int, end: int = 0) -> Column:
@@ -125,27 +115,13 @@ def _full(agg: Column, x, n: int, end: int = 0) -> Column:
 
 
 def mean(x, n: int, end: int = 0) -> Column:
-    if n >= LONG_SUM:
-        return F.when(is_full(x, n, end), _running_diff(F.sum(_col(x)), n, end) / n)
     return _full(F.avg(_col(x)), x, n, end)
 
 
 def total(x, n: int) -> Column:
-    if n >= LONG_SUM:
-        return F.when(is_full(x, n), _running_diff(F.sum(_col(x)), n))
     return _full(F.sum(_col(x)), x, n)
 
 
-def long_spread(x, n: int) -> Column:
-    """Sample sigma of the known values of a long frame, from running sums; a
-    spread below the rounding of the sums is none.  Null under two values."""
-    x = _col(x).cast("double")
-    m = _running_diff(F.count(x), n).cast("double")
-    s, q = _running_diff(F.sum(x), n), _running_diff(F.sum(x * x), n)
-    var = (q - s * s / F.when(m > 1, m)) / F.when(m > 1, m - 1)
-    return F.when(var <= q / F.when(m > 1, m) * 1e-13, 0.0).otherwise(F.sqrt(F.greatest(var, F.lit(0.0) * var)))
-
-
 def low(x, n: int, end: int = 0) -> Column:
     return _full(F.min(_col(x)), x, n, end)
 
@@ -155,8 +131,6 @@ def high(x, n: int, end: int = 0) -> Column:
 
 
 def sd(x, n: int) -> Column:
-    if n >= LONG_SPREAD:
-        return F.when(is_full(x, n), long_spread(x, n))
     return _full(F.stddev_samp(_col(x)), x, n)
 
 

@@ -1,10 +1,12 @@
 """Ranks and exact quantiles inside groups of any size.
 
 A window over a whole group would put a hot group into one task.  Here a value
-is mapped monotonically to [0, 1) and cut into two digits of base 65536; counts
-per digit give each bucket its offset, and only the values of one bucket are
-ever ordered together.  The digits decide nothing but the layout: the order
-inside a bucket is that of the value itself, so the result is exact."""
+gets two digits in its order: its sign, binary exponent and the next five bits
+make the first, the next sixteen bits the second, so values of any size are told
+apart to one part in two million.  Counts per digit give each bucket its offset,
+and only the values of one bucket are ever ordered together.  The digits decide
+nothing but the layout: the order inside a bucket is that of the value itself, so
+the result is exact."""
 
 from __future__ import annotations
 
@@ -16,9 +18,13 @@ BASE = 1 << 16
 
 def _digits(value: str) -> tuple[Column, Column]:
     v = F.col(value).cast("double")
-    t = F.lit(0.5) + 0.5 * v / (1 + F.abs(v))
-    first = F.least(F.floor(t * BASE), F.lit(BASE - 1))
-    return first, F.floor((t * BASE - first) * BASE)
+    size = F.least(F.abs(v), F.lit(1.7976931348623157e308))
+    power = F.floor(F.log2(F.when(size > 0, size)))
+    # grows with |v| without a gap: exponent and, between powers, the share of the way
+    place = (power + 1075) * 32 + (F.when(size > 0, size) / F.pow(F.lit(2.0), power) - 1) * 32
+    t = F.coalesce(F.when(v < 0, -place).otherwise(place), F.lit(0.0))
+    first = F.floor(t)
+    return first, F.floor((t - first) * BASE)
 
 
 def _earlier(by: list[str], order: str, what: str) -> Column:

@@ -72,14 +72,18 @@ def overlap(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.select(*on).distinct().join(right.select(*on).distinct(), on, "left_semi")
 
 
+def assert_overlap(left: DataFrame, right: DataFrame, on: list[str]) -> None:
+    if left.join(right, on, "left_semi").isEmpty():
+        raise ValueError("the two tables have no common " + ", ".join(on))
+
+
 def join_one_to_one(left: DataFrame, right: DataFrame, on: list[str],
                     check: bool = True) -> DataFrame:
     """Inner join that refuses duplicate keys and an empty overlap."""
     if check:
         assert_unique(left, on, "left table")
         assert_unique(right, on, "right table")
-        if not left.join(right, on, "left_semi").limit(1).count():
-            raise ValueError("the two tables have no common " + ", ".join(on))
+        assert_overlap(left, right, on)
     return left.join(right, on, "inner")
 
 
@@ -109,7 +113,7 @@ def panel(bars: DataFrame, use_returns: bool = True, exogenous: Iterable[str] =
 
     The first row of a key has no return and the last no next day; both go."""
     df = bars.select("*", W.lag("close").alias("_prev"), W.lead("high").alias("next_high"))
-    y = (F.col("close") / F.col("_prev") - 1) if use_returns else F.col("close")
+    y = (W.ratio("close", "_prev") - 1) if use_returns else F.col("close")
     df = df.filter(F.col("_prev").isNotNull() & F.col("next_high").isNotNull())
     out = df.select(F.col("key").alias("unique_id"), F.col("ts").alias("ds"), y.alias("y"),
                     (F.col("next_high") >= F.col("close") * (1 + threshold)).cast("int")

@@ -44,13 +44,15 @@ def bars_from_rows(rows: DataFrame, *, key: Column, ts: Column, order: Column,
 def normalise_bars(raw: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     """Select, rename and cast to the bar schema, with dates cut to midnight.
 
-    Bars with a missing key, date or price raise when the table is read: the
-    rule travels with the plan and needs no extra pass."""
+    Bars with a missing key, date or price, NaN included, raise when the table is
+    read: the rule travels with the plan and needs no extra pass."""
     names = names or {}
     df = raw.select([
         (F.to_date(F.col(names.get(f.name, f.name))) if f.name == "ts"
          else F.col(names.get(f.name, f.name)).cast(f.dataType)).alias(f.name)
         for f in BAR_SCHEMA])
+    for c in ("open", "high", "low", "close"):
+        df = df.withColumn(c, F.when(~F.isnan(c), F.col(c)))
     for c in ("key", "ts", "open", "high", "low", "close"):
         df = df.withColumn(c, F.coalesce(c, F.raise_error(
             F.lit(f"bar without {c}")).cast(BAR_SCHEMA[c].dataType)))

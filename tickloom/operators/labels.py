@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tickloom.functions import frames as W
 from tickloom.functions.hashing import digest
-from tickloom.operators.align import drop_incomplete, join_one_to_one
+from tickloom.operators.align import assert_overlap, assert_unique, drop_incomplete, join_one_to_one
 
 PRICE_COLUMNS = ("key", "ts", "open", "high", "low", "close", "volume")
 # columns that are never normalised: they already live on a fixed scale
@@ -64,7 +64,7 @@ def high_label(horizon: int, threshold: float, use_high: bool = True) -> Column:
 
 def next_return_label(threshold: float) -> Column:
     """1 when the next close gains more than ``threshold``; the last row is 0."""
-    return W.flag(W.lead("close") / F.col("close") - 1 > threshold)
+    return W.flag(W.ratio(W.lead("close"), "close") - 1 > threshold)
 
 
 # --- normalisation -----------------------------------------------------------------
@@ -281,9 +281,14 @@ def combined_dataset(bars: DataFrame, features: DataFrame, labels: DataFrame | N
     """Bars, features, volatility columns and labels joined one to one, without
     incomplete rows."""
     out = join_one_to_one(bars, features, ["key", "ts"], check)
-    for extra, on in ((vix, ["ts"]), (labels, ["key", "ts"])):
-        if extra is not None:
-            out = out.join(extra, on, "inner")
+    if vix is not None:
+        # one row per date stands beside every key: unique on its own side
+        if check:
+            assert_unique(vix, ["ts"], "second series")
+            assert_overlap(out, vix, ["ts"])
+        out = out.join(vix, ["ts"], "inner")
+    if labels is not None:
+        out = join_one_to_one(out, labels, ["key", "ts"], check)
     return drop_incomplete(out)
 
 

@@ -106,7 +106,7 @@ def lookahead_check(bars: DataFrame, compute: Callable[[DataFrame], DataFrame],
     short = short.withColumn("key", F.concat_ws("|", F.col("key").cast("string"), F.col("_cut").cast("string"))).drop("_cut")
     last = short.groupBy("key").agg(F.max("ts").alias("ts"))
     cut = compute(short).join(last, ["key", "ts"], "left_semi")
-    cut = cut.withColumn("key", F.split("key", r"\|")[0])
+    cut = cut.withColumn("key", F.regexp_replace("key", r"\|[^|]*$", ""))
     full = compute(bars).withColumn("key", F.col("key").cast("string"))
     # two cuts may end on the same row; it is compared once
     cut = cut.dropDuplicates(["key", "ts"])
@@ -190,7 +190,9 @@ def date_range(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """Row count and an order-free checksum: the sum of 28-bit row hashes."""
-    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns])
+    # a value is led by its length, so no two rows give one line
+    line = F.concat(*[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("~"))
+                      for v in (F.col(c).cast("string") for c in df.columns)])
     part = F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("checksum"))
 

@@ -5,9 +5,9 @@ from math import log
 from pyspark.sql import functions as F
 
 from tickloom.functions.frames import (
-    LONG_SPREAD, cum_sum, frame, high, is_full, lag, latest_extreme, long_spread, low, mean,
-    nearest_of, or_else, over_full_rows, pct, quantile, rank_at_or_above, ratio, sd, sign,
-    since_start, total, values)
+    cum_sum, high, is_full, lag, latest_extreme, low, mean, nearest_of, nz, or_else,
+    over_full_rows, over_rows, pct, quantile, rank_at_or_above, ratio, sd, sign, since_start,
+    total, values)
 from tickloom.plans.registry import group, step
 from tickloom.plans.tiers.a50 import YEAR
 
@@ -87,8 +87,7 @@ def premium_extensions():
 def _sortino(c, n):
     """Mean over the spread of the losing days alone."""
     losses = F.when(c._ret_pct < 0, c._ret_pct)
-    spread = F.when(is_full(c._ret_pct, n), long_spread(losses, n) if n >= LONG_SPREAD
-                    else F.stddev_samp(losses).over(frame(-n + 1)))
+    spread = F.when(is_full(c._ret_pct, n), over_rows(F.stddev_samp(losses), n))
     return or_else(ratio(mean(c._ret_pct, n), spread) * YEAR, 0.0)
 
 
@@ -147,11 +146,11 @@ def advanced_volatility():
     return {
         "atr_pct_percentile_60d": lambda c: 100 * rank_at_or_above(c.atr_pct, 60),
         "bb_width_percentile_60d": lambda c: 100 * rank_at_or_above(c.bb_width, 60),
-        "_log_range_sq": lambda c: F.pow(F.ln(c.high / c.low), 2),
+        "_log_range_sq": lambda c: F.pow(F.ln(c.high / nz(c.low)), 2),
         "parkinson_volatility": lambda c: F.sqrt(
             mean(c._log_range_sq, 20) / (4 * log(2)) * 252) * 100,
         "_gk": lambda c: 0.5 * c._log_range_sq
-        - (2 * log(2) - 1) * F.pow(F.ln(c.close / c.open), 2),
+        - (2 * log(2) - 1) * F.pow(F.ln(c.close / nz(c.open)), 2),
         "_gk_mean": lambda c: mean(c._gk, 20),
         "garman_klass_volatility": lambda c: F.sqrt(
             F.when(c._gk_mean < 0, 0.0).otherwise(c._gk_mean) * 252) * 100,

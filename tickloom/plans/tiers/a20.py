@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from tickloom.functions.frames import (
-    block, block_extreme, cum_sum, ffill, frame_extreme, high,
-    is_full, lag, low, mean, or_else, pct, rank_below, ratio, sd, sd_pop, sign, total)
+    block, block_extreme, cum_sum, ffill, frame_extreme, high, is_full, lag, low, mean, nz,
+    or_else, pct, rank_below, ratio, sd, sd_pop, sign, total)
 from tickloom.plans.registry import group, step, weekly
 
 
@@ -13,8 +13,8 @@ def base():
     """Per-row quantities that many groups read."""
     d = {
         "_prev_close": lambda c: lag(c.close),
-        "_ret": lambda c: c.close / c._prev_close - 1,
-        "_log_ret": lambda c: F.ln(c.close / c._prev_close),
+        "_ret": lambda c: c.close / nz(c._prev_close) - 1,
+        "_log_ret": lambda c: F.ln(c.close / nz(c._prev_close)),
         "_prev_high": lambda c: lag(c.high),
         "_prev_low": lambda c: lag(c.low),
         "_prev_open": lambda c: lag(c.open),

@@ -206,7 +206,7 @@ def candle():
         "_body_bottom": lambda c: F.least(c.open, c.close),
         "_upper_wick": lambda c: c.high - c._body_top,
         "_lower_wick": lambda c: c._body_bottom - c.low,
-        "candle_body_pct": lambda c: c._body / c.open * 100,
+        "candle_body_pct": lambda c: c._body / nz(c.open) * 100,
         "body_to_range_ratio": lambda c: _share(c._body, c, 0.5),
         "upper_wick_pct": lambda c: _share(c._upper_wick, c, 0.0),
         "lower_wick_pct": lambda c: _share(c._lower_wick, c, 0.0),
@@ -232,7 +232,7 @@ def ichimoku():
         "price_vs_cloud": lambda c: F.when(c.senkou_span_b.isNull(), 0)
         .when(c.close > F.greatest(c.senkou_span_a, c.senkou_span_b), 1)
         .when(c.close < F.least(c.senkou_span_a, c.senkou_span_b), -1).otherwise(0),
-        "cloud_thickness_pct": lambda c: (c.senkou_span_a - c.senkou_span_b) / c.close * 100,
+        "cloud_thickness_pct": lambda c: (c.senkou_span_a - c.senkou_span_b) / nz(c.close) * 100,
     }
 
 
@@ -244,11 +244,11 @@ def donchian():
         "_channel": lambda c: c.donchian_upper_20 - c.donchian_lower_20,
         "donchian_position": lambda c: F.when(c._channel > 0, clip(
             (c.close - c.donchian_lower_20) / nz(c._channel), 0, 1)).otherwise(0.5),
-        "donchian_width_pct": lambda c: c._channel / c.close * 100,
+        "donchian_width_pct": lambda c: c._channel / nz(c.close) * 100,
         "pct_to_donchian_breakout": lambda c: F.when(
             c.close >= (c.donchian_upper_20 + c.donchian_lower_20) / 2,
-            (c.donchian_upper_20 - c.close) / c.close * 100).otherwise(
-            -(c.close - c.donchian_lower_20) / c.close * 100),
+            (c.donchian_upper_20 - c.close) / nz(c.close) * 100).otherwise(
+            -(c.close - c.donchian_lower_20) / nz(c.close) * 100),
     }
 
 

@@ -5,7 +5,7 @@ from math import sqrt
 from pyspark.sql import functions as F
 
 from tickloom.functions.frames import (
-    cum_sum, ffill, lag, mean, nearest_of, or_else, pct, ratio, sd)
+    cum_sum, ffill, lag, mean, nearest_of, nz, or_else, pct, ratio, sd)
 from tickloom.plans.registry import group, step
 
 YEAR = sqrt(252)
@@ -38,9 +38,9 @@ def ma_derivatives():
 
 @group("F018")
 def volatility():
-    return {"atr_pct": lambda c: c._atr_14 / c.close * 100,
+    return {"atr_pct": lambda c: c._atr_14 / nz(c.close) * 100,
             "atr_pct_slope": lambda c: c.atr_pct - lag(c.atr_pct, 5),
-            "bb_width": lambda c: (c._bb_upper - c._bb_lower) / c._bb_mid * 100}
+            "bb_width": lambda c: (c._bb_upper - c._bb_lower) / nz(c._bb_mid) * 100}
 
 
 @group("F019")

@@ -3,9 +3,8 @@
 from pyspark.sql import functions as F
 
 from tickloom.functions.frames import (
-    clip, flag, frame, high, is_full, lag, latest_extreme, low, mean, nz, or_else,
-    over_full_rows, pair_corr, pct, rank_below, ratio, sd, sign, since_start, streak,
-    total, truth, variance)
+    clip, flag, frame, high, is_full, lag, latest_extreme, low, mean, nz, or_else, over_full_rows,
+    pair_corr, pct, rank_below, ratio, sd, sign, since_start, streak, total, truth, variance)
 from tickloom.plans.registry import group, step
 from tickloom.plans.tiers.a100 import slope
 from tickloom.plans.tiers.a200 import above_below, cross
@@ -83,8 +82,8 @@ def oscillator_derivatives():
 @group("F078")
 def atr_extended():
     return {"atr_5": lambda c: c._atr_5 + 0.0, "atr_21": lambda c: c._atr_21 + 0.0,
-            "atr_5_pct": lambda c: c._atr_5 / c.close * 100,
-            "atr_21_pct": lambda c: c._atr_21 / c.close * 100}
+            "atr_5_pct": lambda c: c._atr_5 / nz(c.close) * 100,
+            "atr_21_pct": lambda c: c._atr_21 / nz(c.close) * 100}
 
 
 @group("F079")
@@ -97,7 +96,7 @@ def atr_dynamics():
 
 @group("F080")
 def true_range():
-    return {"tr_pct": lambda c: c._tr / c.close * 100,
+    return {"tr_pct": lambda c: c._tr / nz(c.close) * 100,
             "_tr_mean": lambda c: mean(c.tr_pct, 20),
             "tr_pct_zscore_20d": lambda c: ratio(c.tr_pct - c._tr_mean, sd(c.tr_pct, 20)),
             "consecutive_high_vol_days": lambda c: streak(c.tr_pct > c._tr_mean * 1.5)}
@@ -106,13 +105,13 @@ def true_range():
 @group("F081")
 def volatility_estimators():
     return {
-        "_rs": lambda c: F.ln(c.high / c.open) * F.ln(c.high / c.close)
-        + F.ln(c.low / c.open) * F.ln(c.low / c.close),
+        "_rs": lambda c: F.ln(c.high / nz(c.open)) * F.ln(c.high / nz(c.close))
+        + F.ln(c.low / nz(c.open)) * F.ln(c.low / nz(c.close)),
         "_rs_mean": lambda c: mean(c._rs, 20),
         "rogers_satchell_volatility": lambda c: F.sqrt(
             F.when(c._rs_mean < 0, 0.0).otherwise(c._rs_mean)) * YEAR,
-        "_yz": lambda c: variance(F.ln(c.open / c._prev_close), 20)
-        + 0.34 * variance(F.ln(c.close / c.open), 20) + (1 - 0.34) * c._rs_mean,
+        "_yz": lambda c: variance(F.ln(c.open / nz(c._prev_close)), 20)
+        + 0.34 * variance(F.ln(c.close / nz(c.open)), 20) + (1 - 0.34) * c._rs_mean,
         "yang_zhang_volatility": lambda c: F.sqrt(F.when(c._yz < 0, 0.0).otherwise(c._yz)) * YEAR,
         "historical_volatility_10d": lambda c: sd(c._log_ret, 10) * YEAR,
     }
@@ -129,7 +128,7 @@ def band_dynamics():
 
 @group("F083")
 def keltner():
-    return {"kc_width": lambda c: 3.0 * c._atr_10 / c._ema_20 * 100,
+    return {"kc_width": lambda c: 3.0 * c._atr_10 / nz(c._ema_20) * 100,
             "kc_position": lambda c: ratio(c.close - (c._ema_20 - 1.5 * c._atr_10),
                                            3.0 * c._atr_10),
             "bb_kc_ratio": lambda c: ratio(c.bb_width, c.kc_width)}
@@ -256,7 +255,7 @@ def trend_regime():
     return {
         # an unknown ADX falls through to the top band
         "adx_regime": lambda c: F.when(c._adx < 20, 0).when(c._adx <= 25, 1).otherwise(2),
-        "_sma_50_change": lambda c: (c._sma_50 - lag(c._sma_50, 5)) / c._sma_50 * 100,
+        "_sma_50_change": lambda c: (c._sma_50 - lag(c._sma_50, 5)) / nz(c._sma_50) * 100,
         "price_trend_direction": lambda c: F.when(c._sma_50_change > 0.5, 1)
         .when(c._sma_50_change < -0.5, -1).otherwise(0),
         "trend_alignment_score": lambda c: flag(aligned(c)),
@@ -275,13 +274,13 @@ def trend_channel():
 
     return {
         "_fit_slope": line(F.regr_slope), "_fit_r2": line(F.regr_r2),
-        "linreg_slope_20d": lambda c: c._fit_slope * 252 / c.close * 100,
+        "linreg_slope_20d": lambda c: c._fit_slope * 252 / nz(c.close) * 100,
         "linreg_r_squared_20d": lambda c: F.when(sd(c.close, 20) == 0, 1.0).otherwise(c._fit_r2),
         # the line's value at the newest row: mean + slope * half the window
         "price_linreg_deviation": lambda c: (
-            c.close - (c._sma_20 + c._fit_slope * 9.5)) / c.close * 100,
+            c.close - (c._sma_20 + c._fit_slope * 9.5)) / nz(c.close) * 100,
         "channel_width_linreg_20d": lambda c: 2 * c._bb_sigma * F.sqrt(
-            F.greatest(1 - c.linreg_r_squared_20d, F.lit(0.0) * c._bb_sigma)) / c.close * 100,
+            F.greatest(1 - c.linreg_r_squared_20d, F.lit(0.0) * c._bb_sigma)) / nz(c.close) * 100,
     }
 
 
@@ -300,7 +299,7 @@ def range_position():
     d = {f"range_position_{n}d": (lambda n: lambda c: place(c, low(c.low, n), high(c.high, n)))(n)
          for n in (20, 50)}
     d["range_position_252d"] = lambda c: place(c, c._low_252, c._high_252)
-    d["range_width_20d_pct"] = lambda c: (high(c.high, 20) - low(c.low, 20)) / c.close * 100
+    d["range_width_20d_pct"] = lambda c: (high(c.high, 20) - low(c.low, 20)) / nz(c.close) * 100
     return d
 
 

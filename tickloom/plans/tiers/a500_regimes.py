@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import kernels as K
 from tickloom.functions.frames import (
-    clip, ffill, frame, high, is_full, lag, lead, low, nz, pair_corr,
-    quantile, range_share, ratio, running, sd, sign, since_start, streak, truth, values)
+    clip, ffill, frame, high, is_full, lag, lead, low, nz, pair_corr, quantile, range_share,
+    ratio, running, sd, sign, since_start, streak, truth, values)
 from tickloom.plans.registry import group, step, weekly
 from tickloom.plans.tiers.a100 import aroon, slope
 from tickloom.plans.tiers.a200 import changed
@@ -54,7 +54,7 @@ def weekly_rsi():
 @group("F116")
 def weekly_bands():
     return {
-        "_bb_ratio": lambda c: (c._bb_upper - c._bb_lower) / c._bb_mid,
+        "_bb_ratio": lambda c: (c._bb_upper - c._bb_lower) / nz(c._bb_mid),
         "_bb_ratio_change": slope("_bb_ratio"),
         **bring_down(bb_position="bb_percent_b", bb_width="_bb_ratio",
                      bb_width_slope="_bb_ratio_change"),
@@ -68,9 +68,9 @@ def weekly_bands():
 def alignment():
     return {
         "_trend_4": lambda c: sign(c._sma_4 - lag(c._sma_4)),
-        "_atr_share_4": lambda c: c._atr_4 / c.close,
+        "_atr_share_4": lambda c: c._atr_4 / nz(c.close),
         "_atr_place_4": lambda c: range_share(c._atr_share_4, 12),
-        "_atr_share": lambda c: c._atr_14 / c.close,
+        "_atr_share": lambda c: c._atr_14 / nz(c.close),
         "_atr_place": lambda c: range_share(c._atr_share, 60),
         "_trend_20": lambda c: sign(c._sma_20 - lag(c._sma_20, 5)),
         **bring_down(trend="_trend_4", rsi="_rsi_14", vol="_atr_place_4"),
