@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.shared import small_batches
 from tickloom.llm.words import Slice, row_sums, text_bytes, text_slices, window_hashes, word_slices
 
 ORDER = 3
@@ -54,6 +55,7 @@ def _grams(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) -> np.ndarray:
     """The ratio of each bucket in millionths: BUCKETS numbers, whatever the table."""
+    small_batches(docs.sparkSession)
     trusted = [r[0] for r in labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
                .orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows).collect()]
     known = np.sort(np.array(trusted, np.int64))

@@ -8,15 +8,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 #: Size of a key map: one megabyte, whatever the table.
 KEY_BITS = 1 << 23
 BITMAP_BITS = 32768
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows where the session has Spark's default of 10,000:
+    whole texts are wide, and a worker and its executor hold a batch several times."""
+    if spark.conf.get(BATCHES) == "10000":
+        spark.conf.set(BATCHES, str(BATCH_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where the
     session names none, as in tests on one machine."""
@@ -31,6 +40,7 @@ def stored(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder and read again: later jobs neither
     compute it anew nor lose it with an executor."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -73,11 +83,14 @@ def components(edges: DataFrame) -> DataFrame:
         F.min("root").alias("root"))
 
 
+def bit_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(KEY_BITS))
+
+
 def key_bits(keys: DataFrame, key: str) -> bytes:
     """A map with one of KEY_BITS bits set for the hash of each key.  Where there are
     more keys than bits it lets more rows through, never fewer."""
-    at = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(KEY_BITS)) + 1
-    got = keys.select(at.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(
+    got = keys.select((bit_of(key) + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
     out = bytearray(KEY_BITS // 8)
     for r in got:
@@ -85,12 +98,16 @@ def key_bits(keys: DataFrame, key: str) -> bytes:
     return bytes(out)
 
 
-def rows_with_bits(df: DataFrame, key: str, bits: bytes, present: bool = True) -> DataFrame:
-    """The rows whose key may be in the map; with present=False those that are not."""
+def bits_at(bits: bytes, at: pa.Array) -> np.ndarray:
+    at = at.to_numpy(zero_copy_only=False)
+    return (np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def rows_with_bits(df: DataFrame, key: str, bits: bytes) -> DataFrame:
+    """The rows whose key may be in the map."""
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
-            at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            yield batch.select(batch.schema.names[:-1]).filter(pa.array(held[at] == present))
+            held = bits_at(bits, batch.column(batch.num_columns - 1))
+            yield batch.select(batch.schema.names[:-1]).filter(pa.array(held))
 
-    return df.withColumn("__at", F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(KEY_BITS))).mapInArrow(chosen, df.schema)
+    return df.withColumn("__at", bit_of(key)).mapInArrow(chosen, df.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.fm_index import SEPARATOR, FMIndex, repeated_windows
-from tickloom.llm.shared import key_bits, rows_with_bits, stored
+from tickloom.llm.shared import bit_of, bits_at, key_bits, rows_with_bits, stored
 from tickloom.llm.words import MULTIPLIER, Slice, mix, text_slices, window_hashes, word_slices
 
 WINDOW = 35
@@ -181,10 +181,13 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     return whole.unionAll(few).unionAll(many)
 
 
-def _finish(docs: DataFrame, window: int, kind: str) -> DataFrame:
-    """doc_id, n_words, n_removed, kept of rows (doc_id, text, first, windows)."""
+def _finish(docs: DataFrame, window: int, kind: str, without: bytes | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept of rows (doc_id, text, runs, at), those that the
+    key map `without` names left out."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if without is not None:
+                batch = batch.filter(pa.array(~bits_at(without, batch.column("at"))))
             for rows in text_slices(batch):
                 n_words, removed, kept = [], [], []
                 for text, runs in zip(rows.column("text"), rows.column("runs")):
@@ -214,5 +217,5 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
     bits = key_bits(runs, "row_key")
     none = F.lit(None).cast("array<struct<first:int,windows:int>>")
     touched = rows_with_bits(rows, "row_key", bits).join(runs, "row_key", "left").select("doc_id", "text", "runs")
-    rest = rows_with_bits(rows, "row_key", bits, False).select("doc_id", "text", none.alias("runs"))
-    return _finish(touched, window, kind).unionAll(_finish(rest, window, kind))
+    rest = rows.select("doc_id", "text", none.alias("runs"), bit_of("row_key").alias("at"))
+    return _finish(touched, window, kind).unionAll(_finish(rest, window, kind, bits))

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.brown import held_out
 from tickloom.llm.deobfuscate import SYMBOLS, Restorer, cores, count_symbols, disguised, single, trigram_logs
+from tickloom.llm.shared import small_batches
 from tickloom.llm.words import Slice, window_hashes, word_slices
 
 SAMPLE = 20_000
@@ -149,6 +150,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    small_batches(docs.sparkSession)
     logs = character_model(docs)
     chosen = (labels.filter("doc_id is not null and toxic is not null").filter(~held_out(3, 1))
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow())
