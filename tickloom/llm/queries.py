@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import brown, curriculum, decontaminate, licenses, main_text, ngram_join, quality, shards, substring, toxicity
+from tickloom.llm import brown, curriculum, decontaminate, licenses, main_text, ngram_join, oracles, quality, shards, substring, toxicity
 from tickloom.llm.shared import stored
 from tickloom.llm.words import word_count
 
@@ -84,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
