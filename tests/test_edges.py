@@ -57,6 +57,26 @@ def test_temperature_of_a_separable_run(spark):
     assert 0.01 < got["one"] < 10
 
 
+def test_platt_is_fitted_per_run(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for run, slope, base in (("a", 6.0, -3.0), ("b", -4.0, 1.0)):
+        p = rng.random(400)
+        y = rng.random(400) < 1 / (1 + np.exp(-(slope * p + base)))
+        rows += [(run, float(x), int(v)) for x, v in zip(p, y)]
+    rows += [("one", 0.2, 1), ("one", 0.9, 1)]
+    got = E.platt(spark.createDataFrame(rows, "run_id string, prob double, label int")).toPandas()
+    for run in ("a", "b"):
+        g = got[got.run_id == run]
+        # at the minimum the residuals sum to 0, and against the score to minus the ridge's pull
+        w = np.polyfit(g.prob, np.log(g.calibrated / (1 - g.calibrated)), 1)[0]
+        assert abs((g.calibrated - g.label).sum()) < 1e-5
+        assert abs(((g.calibrated - g.label) * g.prob).sum() + w) < 1e-5
+    assert (got[got.run_id == "one"].calibrated > 0.99).all()
+
+
 def test_soft_auc_outside_the_unit_range(spark):
     rows = [("r", -0.5, 0), ("r", 1.7, 1)]
     got = E.soft_auc(spark.createDataFrame(rows, "run_id string, prob double, label int")).collect()

@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.sources.tables import stored
+
 RUN, PROB, LABEL = "run_id", "prob", "label"
 EPS = 1e-7
 SWEEP = tuple(round(0.10 + 0.05 * i, 2) for i in range(17))
@@ -225,22 +227,36 @@ def reliability(pred: DataFrame, n: int = 10) -> DataFrame:
         F.coalesce("confidence", (F.col("bin") + 0.5) / n).alias("confidence"))
 
 
-def _vector(df: DataFrame, inputs: list[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=inputs, outputCol="features").transform(df)
-
-
-def platt(pred: DataFrame) -> DataFrame:
-    """Logistic regression on the score, with unit ridge on the summed loss."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-
-    data = _vector(pred.withColumn("label", F.col(LABEL).cast("double")), [PROB])
-    n = max(pred.count(), 1)
-    model = LogisticRegression(regParam=1.0 / n, standardization=False, maxIter=100, tol=1e-9).fit(data)
-    out = model.transform(data)
-    return out.withColumn("calibrated", vector_to_array("probability")[1]) \
-        .select(*pred.columns, "calibrated")
+def platt(pred: DataFrame, tolerance: float = 1e-9, most_steps: int = 100) -> DataFrame:
+    """Logistic regression on the score per run, with unit ridge on the slope.
+
+    Newton steps for all runs at once, one aggregate over the distinct scores each,
+    until none moves more than the tolerance; a run of one class ends at an intercept
+    of 30 or -30.  A step is at most 5, so no run overshoots."""
+    c = score_counts(pred).select(RUN, F.col(PROB).alias("x"), "pos", (F.col("pos") + F.col("neg")).alias("n"))
+    state = c.select(RUN).distinct().select(RUN, F.lit(0.0).alias("w"), F.lit(0.0).alias("b"))
+    for _ in range(most_steps):
+        s = 1 / (1 + F.exp(-(F.col("w") * F.col("x") + F.col("b"))))
+        d, v = F.col("n") * s - F.col("pos"), F.col("n") * s * (1 - s)
+        sums = c.join(state, RUN).groupBy(RUN, "w", "b").agg(
+            (F.sum(d * F.col("x")) + F.col("w")).alias("gw"), F.sum(d).alias("gb"),
+            (F.sum(v * F.col("x") * F.col("x")) + 1).alias("hw"), F.sum(v * F.col("x")).alias("hx"),
+            F.greatest(F.sum(v), F.lit(1e-12)).alias("hb"))
+        det = F.col("hw") * F.col("hb") - F.col("hx") * F.col("hx")
+        step_w = (F.col("hb") * F.col("gw") - F.col("hx") * F.col("gb")) / F.when(det > 0, det)
+        step_b = (F.col("hw") * F.col("gb") - F.col("hx") * F.col("gw")) / F.when(det > 0, det)
+        moved = sums.withColumns({"sw": F.coalesce(step_w, F.lit(0.0)), "sb": F.coalesce(step_b, F.lit(0.0))})
+        cut = F.least(F.lit(1.0), 5 / F.greatest(F.abs("sw"), F.abs("sb"), F.lit(1e-12)))
+        moved = moved.select(RUN, (F.col("w") - F.col("sw") * cut).alias("w"), F.greatest(F.lit(-30.0), F.least(
+            F.lit(30.0), F.col("b") - F.col("sb") * cut)).alias("b"), F.col("w").alias("w0"), F.col("b").alias("b0"))
+        moved = stored(moved)
+        state = moved.select(RUN, "w", "b")
+        far = moved.agg(F.max(F.greatest(F.abs(F.col("w") - F.col("w0")), F.abs(F.col("b") - F.col("b0"))))).first()[0]
+        if far is None or far < tolerance:
+            break
+    z = F.col("_w") * F.col(PROB) + F.col("_b")
+    fitted = state.toDF(RUN, "_w", "_b")
+    return pred.join(fitted, RUN).withColumn("calibrated", 1 / (1 + F.exp(-z))).select(*pred.columns, "calibrated")
 
 
 def isotonic(pred: DataFrame) -> DataFrame:

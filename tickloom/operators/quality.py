@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.hashing import digest
-from tickloom.functions.ranking import value_ranks
+from tickloom.functions.hashing import uniform
+from tickloom.functions.ranking import row_positions, value_ranks
 
 # fixed grade limits: (pass, marginal)
 LIMITS = {"target_correlation": (0.02, 0.01), "mutual_information": (0.001, 0.0005),
@@ -161,13 +161,12 @@ def importance_report(df: DataFrame, columns: list[str], target: str) -> DataFra
 # --- model based ---------------------------------------------------------------------
 
 def permutation_importance(model, df: DataFrame, columns: list[str], row_id: list[str], target: str,
-                           metric: str = "precision", repeats: int = 5, seed: int = 42,
-                           block: int = 10_000) -> DataFrame:
-    """Mean drop of the metric when one feature is shuffled.
+                           metric: str = "precision", repeats: int = 5, seed: int = 42) -> DataFrame:
+    """Mean drop of the metric when one feature is shuffled over all rows.
 
-    Rows fall into hash blocks of about ``block`` rows and a feature is permuted
-    inside its block.  Blocks are drawn independently of the data, so this is a
-    random permutation and no task holds more than a block."""
+    Rows get two random orders by hashes of their identity; a row takes the value of
+    the row that stands at its place in the other order.  Positions come from counts
+    per digit (functions/ranking.py), so no task holds a whole order."""
     from pyspark.ml.functions import vector_to_array
 
     from tickloom.operators import evaluate as E
@@ -182,18 +181,15 @@ def permutation_importance(model, df: DataFrame, columns: list[str], row_id: lis
             return E.roc_auc(p).select("run_id", F.col("auc").alias("score"))
         return E.with_rates(E.confusion(p)).select("run_id", F.col("precision").alias("score"))
 
-    n = df.count()
-    blocks = max(1, -(-n // block))
-    h = F.pmod(F.xxhash64(F.lit(seed), *row_id), F.lit(blocks))
     runs = F.explode(F.array(*[F.struct(F.lit(f"{c}:{k}").alias("_run"), F.lit(c).alias("_c"))
                                for c in columns for k in range(repeats)]))
-    rows = df.withColumn("_block", h).withColumn("_e", runs).select("*", "_e.*").drop("_e")
-    group = Window.partitionBy("_block", "_run")
-    own = rows.withColumn("_r", F.row_number().over(group.orderBy(*row_id)))
+    ids = [F.col(i) for i in row_id]
+    rows = df.withColumn("_e", runs).select("*", "_e.*").drop("_e").withColumn("_tie", F.xxhash64(*row_id))
+    own = row_positions(rows.withColumn("_u", uniform(seed, F.col("_run"), *ids)), ["_run"], "_u", "_tie", "_r")
     value = F.coalesce(*[F.when(F.col("_c") == c, F.col(c).cast("double")) for c in columns])
-    mixed = rows.select("_block", "_run", value.alias("_x"), F.row_number().over(group.orderBy(
-        digest(seed, F.col("_run"), *[F.col(i) for i in row_id]))).alias("_r"))
-    rows = own.join(mixed, ["_block", "_run", "_r"]).withColumns(
+    mixed = rows.select("_run", "_tie", value.alias("_x"), uniform(f"{seed}m", F.col("_run"), *ids).alias("_u"))
+    mixed = row_positions(mixed, ["_run"], "_u", "_tie", "_r").select("_run", "_r", "_x")
+    rows = own.join(mixed, ["_run", "_r"]).withColumns(
         {c: F.when(F.col("_c") == c, F.col("_x")).otherwise(F.col(c)) for c in columns})
     baseline = score(df.withColumn("_run", F.lit("all")), "_run").select(F.col("score").alias("baseline"))
     got = score(rows, "_run").join(F.broadcast(baseline))       # one row

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +18,18 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if spark.sparkContext.master.startswith("local"):
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         return tempfile.mkdtemp(prefix="tickloom-")
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/tickloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_bars(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:
     """Bars with dates cut to midnight.  Order is a matter of the windows, so
     nothing is sorted here."""
