@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.fm_index import suffix_order
-from tickloom.llm.shared import stored
+from tickloom.llm.shared import bit_of, bits_at, key_bits, small_batches, stored
 
 RUN = 6
 SHARD_PAGES = 500
@@ -163,8 +163,7 @@ def repeated_tokens(tokens: np.ndarray, page: np.ndarray, run: int) -> np.ndarra
 
 
 def _kept_runs(frame: pd.DataFrame, run: int) -> pd.DataFrame:
-    """(page_key, at, text, repeated) of blocks outside the content of a shard's pages: what
-    is left of an undecided one, and how many words repeated runs cover."""
+    """(page_key, at, text): what is left of the undecided blocks of a shard's pages."""
     frame = frame.drop_duplicates(["page_key", "at"]).sort_values(["page_key", "at"], ignore_index=True)
     words = [t.split() for t in frame["text"]]
     lengths = np.array([len(w) for w in words])
@@ -182,51 +181,61 @@ def _kept_runs(frame: pd.DataFrame, run: int) -> pd.DataFrame:
     gone = repeated_tokens(tokens, pages, run)[slot]
     starts = np.concatenate(([0], np.cumsum(lengths)))
     rows = []
-    for i in range(len(frame)):
-        mine = gone[starts[i]:starts[i + 1]]
-        left = [w for w, g in zip(words[i], mine) if not g] if frame["kind"][i] == UNDECIDED else []
-        if left or mine.any():
-            rows.append((frame["page_key"][i], frame["at"][i], " ".join(left), int(mine.sum())))
-    return pd.DataFrame(rows, columns=["page_key", "at", "text", "repeated"])
+    for i in np.flatnonzero((frame["kind"] == UNDECIDED).to_numpy()):
+        left = [w for w, g in zip(words[i], gone[starts[i]:starts[i + 1]]) if not g]
+        if left:
+            rows.append((frame["page_key"][i], frame["at"][i], " ".join(left)))
+    return pd.DataFrame(rows, columns=["page_key", "at", "text"])
 
 
-def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, page_key, host and the blocks (at, kind, text) of every page."""
+def _keyed(pages: DataFrame) -> DataFrame:
+    host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1))
+    return pages.select("page_id", F.col("url").cast("string").alias("url"), "html",
+                        F.xxhash64("page_id", "url", "html").alias("page_key"), host.alias("host"))
+
+
+def parse(pages: DataFrame, bits: bytes | None = None, present: bool = True) -> DataFrame:
+    """page_id, url, page_key, host and the blocks (at, kind, text) of every page; with a
+    key map, of the pages that are in it, or that are not."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("text", pa.string())]))
         for batch in batches:
+            if bits is not None:
+                batch = batch.filter(pa.array(bits_at(bits, batch.column("bit")) == present))
             for at in range(0, batch.num_rows, 100):
                 rows = batch.slice(at, 100)
                 found = [[{"at": i, "kind": k, "text": t} for i, (k, t) in enumerate(blocks(p.as_py() or ""))]
                          for p in rows.column("html")]
-                kind = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("text", pa.string())]))
                 yield pa.RecordBatch.from_arrays(
                     [*(rows.column(c) for c in ("page_id", "url", "page_key", "host")), pa.array(found, kind)],
                     ["page_id", "url", "page_key", "host", "blocks"])
 
+    small_batches(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
-    host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1))
-    return pages.select("page_id", F.col("url").cast("string").alias("url"), "html",
-                        F.xxhash64("page_id", "url", "html").alias("page_key"), host.alias("host")).mapInArrow(
+    return _keyed(pages).withColumn("bit", bit_of("page_key")).mapInArrow(
         work, f"page_id {kind}, url string, page_key long, host string, blocks array<struct<at:int,kind:int,text:string>>")
 
 
 def extract(pages: DataFrame, run: int = RUN, shard_pages: int = SHARD_PAGES) -> DataFrame:
-    """page_id, url, text, n_chars and n_repeated (words outside the content that stand
-    in runs repeated on the host) of every page."""
-    parsed = stored(parse(pages))
-    around = parsed.filter(F.exists("blocks", lambda b: b["kind"] != CONTENT))
-    sizes = around.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    streams = (around.join(sizes, "host").withColumn("shard", F.pmod(F.xxhash64("page_key"), F.ceil(F.col("pages") / shard_pages)))
-               .select("host", "shard", "page_key", F.explode(F.filter("blocks", lambda b: b["kind"] != CONTENT)).alias("b"))
+    """page_id, url, text, n_chars of every page.
+
+    Only the words outside the content are shuffled, and the pages that get some of
+    them back; the others are parsed where they are read."""
+    sizes = _keyed(pages).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    around = parse(pages).select("host", "page_key", F.filter("blocks", lambda b: b["kind"] != CONTENT).alias("blocks"))
+    streams = (around.filter(F.size("blocks") > 0).join(sizes, "host")
+               .withColumn("shard", F.pmod(F.xxhash64("page_key"), F.ceil(F.col("pages") / shard_pages)))
+               .select("host", "shard", "page_key", F.explode("blocks").alias("b"))
                .select("host", "shard", "page_key", "b.*").repartition("host", "shard"))
-    kept = (streams.groupBy("host", "shard").applyInPandas(
-                lambda frame: _kept_runs(frame, run), "page_key long, at int, text string, repeated long")
-            .groupBy("page_key").agg(F.collect_list(F.when(F.col("text") != "", F.struct("at", "text"))).alias("more"),
-                                     F.sum("repeated").alias("repeated")))
+    kept = stored(streams.groupBy("host", "shard").applyInPandas(
+        lambda frame: _kept_runs(frame, run), "page_key long, at int, text string")
+        .groupBy("page_key").agg(F.collect_list(F.struct("at", "text")).alias("more")))
+    bits = key_bits(kept, "page_key")
+    none = F.lit(None).cast("array<struct<at:int,text:string>>")
+    rows = parse(pages, bits).join(kept, "page_key", "left").select("page_id", "url", "blocks", "more").unionAll(
+        parse(pages, bits, False).select("page_id", "url", "blocks", none.alias("more")))
     content = F.transform(F.filter("blocks", lambda b: b["kind"] == CONTENT),
                           lambda b: F.struct(b["at"].alias("at"), b["text"].alias("text")))
     parts = F.array_sort(F.concat(content, F.coalesce("more", F.array().cast("array<struct<at:int,text:string>>"))))
     text = F.array_join(F.transform(parts, lambda b: b["text"]), " ")
-    return parsed.join(kept, "page_key", "left").withColumn("text", text).select(
-        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"),
-        F.coalesce("repeated", F.lit(0)).cast("long").alias("n_repeated"))
+    return rows.withColumn("text", text).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
