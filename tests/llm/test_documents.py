@@ -254,6 +254,32 @@ def test_decontamination_edited_passage(spark, make_docs):
     assert sorted(str(r.doc_id) for r in decontaminate.clean(docs, items).collect()) == ["2", "3", "4", "None"]
 
 
+def test_decontamination_edited_ends_and_insertion(spark, make_docs):
+    """The best window may start where no shared shingle stands in its place of the item."""
+    sizes = (15, 37, 59, 59, 59)
+    items = [[f"i{k}w{j}" for j in range(n)] for k, n in enumerate(sizes)]
+    rows = []
+    for k, item in enumerate(items):
+        for cut in (len(item) // 3, 29):
+            for more in (1, 2, 3):
+                for lead in (0, 1, 7, 80):
+                    text = ["first", *item[1:cut], *["new"] * more, *item[cut:-1], "last"]
+                    rows.append((len(rows), " ".join([f"a{j}" for j in range(lead)] + text + [f"z{j}" for j in range(lead)]), "a"))
+    table = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    bag = lambda w: Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+    want = {}
+    for doc, text, _ in rows:
+        w = text.split()
+        for k, item in enumerate(items):
+            b, n = bag(item), len(item)
+            best = max((sum((c & b).values()) / sum((c | b).values()), -s) for s in range(max(1, len(w) - n + 1))
+                       for c in [bag(w[s:s + n])])
+            if best[0] >= 0.75:
+                want[doc, k] = (round(best[0], 6), -best[1])
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 6), r.start) for r in decontaminate.matches(make_docs(rows), table).collect()}
+    assert any(s == round(48 / 62, 6) for s, _ in want.values()) and got == want
+
+
 def test_licenses(spark, make_docs, odd_docs):
     long = dict((t, n) for n, t in licenses.NOTICES)
     rows = [(k, f"{'w ' * k}{t.upper()} and more words after it", "a") for k, t in enumerate(long)]

@@ -5,8 +5,9 @@ compared with windows of n words, each a bag of its 5-word shingles.  The simila
 weighs a shingle by its count: sum of the smaller counts over sum of the larger.
 
 1. A window can only be similar if it shares a shingle with an item.  Every shingle of
-   every text is looked up; each meeting fixes one window, the one in which the item's
-   shingle stands where it stands in the item (moved inside the text at its ends).
+   every text is looked up; each meeting at a position gives all windows of the item's
+   size that hold the position (moved inside the text at its ends), as ranges of starts
+   of at most one item's size.
 2. These windows and the items get 64-bit SimHash fingerprints.
 3. The fingerprints are cut into RADIUS + 1 blocks; two that differ in at most RADIUS
    bits agree in a block, so a join on (item size, block, value) finds all of them.
@@ -68,17 +69,23 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -
     item = with_shingles(items.filter("item_id is not null"), _text(), ["item_id"]).filter(f"n_words >= {SHINGLE}")
     marks = item.select("item_id", F.col("n_words").alias("size"), counted(F.col("shingles")).alias("held"),
                         fingerprint(F.col("shingles")).alias("mark"))
-    spread = item.select(F.col("n_words").alias("size"), F.posexplode_outer("shingles").alias("at", "hash")).distinct()
-    met = hits(docs, spread, _text())
-    windows = met.select("doc_id", "size", (F.col("pos") - F.col("at")).alias("start")).distinct()
-    wanted = windows.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size")).alias("windows"))
+    spread = item.select(F.col("n_words").alias("size"), F.explode_outer("shingles").alias("hash")).distinct()
+    size, pos, k = F.col("size"), F.col("pos"), F.col("k")
+    first = F.greatest(pos - (size - SHINGLE), F.lit(0))
+    met = hits(docs, spread, _text()).select("doc_id", "size", "pos", F.explode(F.array(
+        F.floor(first / size).cast("int"), F.floor(pos / size).cast("int"))).alias("k"))
+    ranges = met.groupBy("doc_id", "size", "k").agg(
+        F.min(F.greatest(first, k * size)).alias("lo"), F.max(F.least(pos, k * size + size - 1)).alias("hi"))
+    wanted = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("size", "lo", "hi")).alias("windows"))
     texts = docs.select("doc_id", "text").join(wanted, "doc_id")
     cut = with_shingles(texts, _text(), ["doc_id", "windows"])
-    start = F.least(F.greatest(F.col("w.start"), F.lit(0)), F.greatest(F.col("n_words") - F.col("w.size"), F.lit(0)))
+    last = F.greatest(F.col("n_words") - F.col("w.size"), F.lit(0))
     cut = cut.select("doc_id", "n_words", "shingles", F.explode("windows").alias("w")).select(
-        "doc_id", F.col("w.size").alias("size"), start.alias("start"),
-        F.slice("shingles", start + 1, F.col("w.size") - (SHINGLE - 1)).alias("bag")).dropDuplicates(
-        ["doc_id", "size", "start"])
+        "doc_id", "shingles", F.col("w.size").alias("size"), F.least("w.lo", last).alias("lo"), F.least("w.hi", last).alias("hi"))
+    cut = cut.select("doc_id", "size", "lo", F.slice("shingles", F.col("lo") + 1, F.col("hi") - F.col("lo") + size - (SHINGLE - 1))
+                     .alias("part"), F.explode(F.sequence("lo", "hi")).alias("start"))
+    cut = cut.select("doc_id", "size", "start", F.slice("part", F.col("start") - F.col("lo") + 1, size - (SHINGLE - 1)).alias("bag")
+                     ).dropDuplicates(["doc_id", "size", "start"])
     cut = cut.select("doc_id", "size", "start", counted(F.col("bag")).alias("words"), fingerprint(F.col("bag")).alias("mark"))
     left = cut.select("doc_id", "size", "start", "words", "mark", F.inline(blocks("mark")))
     right = marks.select("item_id", "size", "held", F.col("mark").alias("item_mark"), F.inline(blocks("mark")))
