@@ -32,6 +32,16 @@ def test_suffix_array_removes_what_pages_share(spark):
     assert texts(spark, []) == {}
 
 
+def test_runs_shared_across_shards(spark):
+    """What two pages share goes, whichever shards of the host the pages are in."""
+    notice = [" ".join(f"n{k}x{j}" for j in range(8)) for k in range(20)]
+    rows = [(i, f"http://h.example/{i}", f"<div>{notice[i % 20]}</div><p>w{i} alone says page {i}</p>") for i in range(40)]
+    rows += [(50, "http://other.example/", f"<p>{notice[0]}</p>"), (51, "http://h.example/51", "<p>a b c</p>")]
+    want = {i: f"w{i} alone says page {i}" for i in range(40)} | {50: notice[0], 51: "a b c"}
+    assert texts(spark, rows) == want
+    assert texts(spark, rows, shard_pages=2) == want
+
+
 def test_repeated_tokens_brute():
     rng = np.random.default_rng(5)
     for _ in range(30):

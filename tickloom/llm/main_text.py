@@ -11,7 +11,9 @@ and text that stands on one page stays.  Content is not searched: copies of an a
 and passages that articles share, are text.
 
 A host's pages are dealt by hash into shards of about SHARD_PAGES, so a host of any
-size is many tasks; boilerplate of a host stands in every shard of it.
+size is many tasks.  Where a host has several, each shard also lists its runs by a
+128-bit hash, and a run that two shards list stands in two pages: it is removed too, so
+the result does not depend on the size of the host.
 
 Null html: empty text.  Null or odd url: the pages of the empty host.  Repeated rows are
 one page for the search, and each a row of the result.  Broken markup: tags that are
@@ -35,6 +37,7 @@ from tickloom.llm.shared import bit_of, bits_at, key_bits, small_batches, stored
 
 RUN = 6
 SHARD_PAGES = 500
+MIX = np.uint64(0x9E3779B97F4A7C15)
 CONTENT, LEFT_OUT, UNDECIDED = 0, 1, 2
 
 # HTML's element kinds, and customary names of page parts.
@@ -162,14 +165,43 @@ def repeated_tokens(tokens: np.ndarray, page: np.ndarray, run: int) -> np.ndarra
     return np.cumsum(cover)[:-1] > 0
 
 
-def _kept_runs(frame: pd.DataFrame, run: int) -> pd.DataFrame:
-    """(page_key, at, text): what is left of the undecided blocks of a shard's pages."""
+def _stream(frame: pd.DataFrame) -> tuple[pd.DataFrame, list[list[str]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks of a shard in page order, their words, how many each has, the words'
+    codes and pages, and the distinct words."""
     frame = frame.drop_duplicates(["page_key", "at"]).sort_values(["page_key", "at"], ignore_index=True)
     words = [t.split() for t in frame["text"]]
     lengths = np.array([len(w) for w in words])
-    number, page = pd.factorize(frame["page_key"]), None
-    page = np.repeat(number[0], lengths)
-    codes = pd.factorize(np.array([x for w in words for x in w], object))[0].astype(np.int64)
+    page = np.repeat(pd.factorize(frame["page_key"])[0], lengths)
+    codes, kinds = pd.factorize(np.array([x for w in words for x in w], object))
+    return frame, words, lengths, codes.astype(np.int64), page, kinds
+
+
+def run_hashes(codes: np.ndarray, page: np.ndarray, kinds: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of `run` words inside one page start, and a 128-bit hash of each, by words."""
+    start = np.flatnonzero(page[:len(page) - run + 1] == page[run - 1:]) if len(page) >= run else np.zeros(0, np.int64)
+    out = np.zeros((len(start), 2), np.uint64)
+    for half, key in enumerate(("tickloom-runs-00", "tickloom-runs-01")):
+        values = pd.util.hash_array(kinds, hash_key=key, categorize=False)[codes] if len(start) else codes.astype(np.uint64)
+        for i in range(run):
+            out[:, half] = out[:, half] * MIX ^ values[start + i]
+            out[:, half] ^= out[:, half] >> np.uint64(29)
+    return start, out.view(np.int64)
+
+
+def _shard_runs(frame: pd.DataFrame, run: int) -> pd.DataFrame:
+    """(host, shard, a, b): the hash of each distinct run of a shard."""
+    host, shard = frame["host"].iloc[0], frame["shard"].iloc[0]
+    _, _, _, codes, page, kinds = _stream(frame)
+    out = pd.DataFrame(run_hashes(codes, page, kinds, run)[1], columns=["a", "b"]).drop_duplicates(ignore_index=True)
+    return out.assign(host=host, shard=shard)[["host", "shard", "a", "b"]]
+
+
+def _kept_runs(frame: pd.DataFrame, run: int, elsewhere: pd.DataFrame | None = None) -> pd.DataFrame:
+    """(page_key, at, text): what is left of the undecided blocks of a shard's pages, given
+    its runs that other shards hold."""
+    if not len(frame):
+        return pd.DataFrame([], columns=["page_key", "at", "text"])
+    frame, words, lengths, codes, page, kinds = _stream(frame)
     # a token of its own after each page, so that no run crosses pages
     last = np.append(page[1:] != page[:-1], True)
     slot = np.arange(len(codes)) + np.concatenate(([0], np.cumsum(last)[:-1]))
@@ -179,6 +211,11 @@ def _kept_runs(frame: pd.DataFrame, run: int) -> pd.DataFrame:
     ends = slot[last] + 1
     tokens[ends], pages[ends] = len(codes) + np.arange(len(ends)), page[last]
     gone = repeated_tokens(tokens, pages, run)[slot]
+    if elsewhere is not None and len(elsewhere):
+        start, hashes = run_hashes(codes, page, kinds, run)
+        met = pd.MultiIndex.from_arrays(hashes.T).isin(pd.MultiIndex.from_frame(elsewhere[["a", "b"]]))
+        for i in range(run):
+            gone[start[met] + i] = True
     starts = np.concatenate(([0], np.cumsum(lengths)))
     rows = []
     for i in np.flatnonzero((frame["kind"] == UNDECIDED).to_numpy()):
@@ -225,11 +262,23 @@ def extract(pages: DataFrame, run: int = RUN, shard_pages: int = SHARD_PAGES) ->
     around = parse(pages).select("host", "page_key", F.filter("blocks", lambda b: b["kind"] != CONTENT).alias("blocks"))
     streams = (around.filter(F.size("blocks") > 0).join(sizes, "host")
                .withColumn("shard", F.pmod(F.xxhash64("page_key"), F.ceil(F.col("pages") / shard_pages)))
-               .select("host", "shard", "page_key", F.explode("blocks").alias("b"))
-               .select("host", "shard", "page_key", "b.*").repartition("host", "shard"))
-    kept = stored(streams.groupBy("host", "shard").applyInPandas(
-        lambda frame: _kept_runs(frame, run), "page_key long, at int, text string")
-        .groupBy("page_key").agg(F.collect_list(F.struct("at", "text")).alias("more")))
+               .select("host", "shard", "page_key", (F.col("pages") > shard_pages).alias("large"), F.explode("blocks").alias("b"))
+               .select("host", "shard", "page_key", "large", "b.*"))
+    left = "page_key long, at int, text string"
+    if sizes.filter(F.col("pages") > shard_pages).isEmpty():
+        rest = streams.drop("large").repartition("host", "shard").groupBy("host", "shard").applyInPandas(
+            lambda frame: _kept_runs(frame, run), left)
+    else:
+        # read again, so that what follows is dealt by host and shard and not by the host alone
+        streams = stored(streams)
+        runs = stored(streams.filter("large").drop("large").groupBy("host", "shard").applyInPandas(
+            lambda frame: _shard_runs(frame, run), "host string, shard long, a long, b long"))
+        # one row per shard that holds a run, however many pages of it do
+        several = runs.groupBy("host", "a", "b").agg(F.count(F.lit(1)).alias("shards")).filter("shards > 1")
+        elsewhere = runs.join(several.drop("shards"), ["host", "a", "b"])
+        rest = streams.drop("large").groupBy("host", "shard").cogroup(elsewhere.groupBy("host", "shard")).applyInPandas(
+            lambda frame, other: _kept_runs(frame, run, other), left)
+    kept = stored(rest.groupBy("page_key").agg(F.collect_list(F.struct("at", "text")).alias("more")))
     bits = key_bits(kept, "page_key")
     none = F.lit(None).cast("array<struct<at:int,text:string>>")
     rows = parse(pages, bits).join(kept, "page_key", "left").select("page_id", "url", "blocks", "more").unionAll(
