@@ -19,6 +19,21 @@ def test_parts_of_a_page(spark):
     assert texts(spark, [(1, "http://a/1", page)]) == {1: "Title & é One two three<four Five six"}
 
 
+def test_article_inside_a_wrapper():
+    content = lambda page: " ".join(t for k, t in main_text.blocks(page) if k == main_text.CONTENT)
+    chrome = "<nav>menu</nav><div class='sidebar'><article>teaser</article></div><div class='related-posts'><article>more</article></div>"
+    article = "<article><h1>Title</h1><p>body<form>mail</form><div class='ad-slot'>buy</div></article>"
+    for wrap in ("<form id='aspnetForm' action='x'>{}</form>", "<div id='content-sidebar-wrap'>{}</div>",
+                 "<div class='page-with-sidebar'>{}</div>", "<form><div class='page-with-sidebar'>{}</div></form>"):
+        for inner in (article, article.replace("article", "main"), f"<main>{article}</main>"):
+            assert content(f"<body><header>top</header>{wrap.format(chrome + inner)}<footer>end</footer></body>") == "Title body"
+    assert content("<form><p>x</p></form><aside><article>a</article></aside><ol class='comment-list'><article>c</article></ol>"
+                   "<div class='page-with-sidebar'><article class='teaser'>t</article><div hidden><main>h</main></div></div>"
+                   "<form class='search-form'><main>s</main></form>") == ""
+    assert content(f"{article}<div class='left-sidebar'><article>teaser</article></div>") == "Title body"
+    assert content("<form><div class='left-sidebar'><article>teaser</article></div>" + article + "</form>") == "Title body"
+
+
 def test_suffix_array_removes_what_pages_share(spark):
     chrome = "<div>Welcome to this very nice site of ours</div>"
     rows = [(i, f"http://h.example/{i}", f"{chrome}<p>w{i} alone says page {i}</p>") for i in range(40)]

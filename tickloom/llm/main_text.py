@@ -2,7 +2,9 @@
 
 A page becomes blocks in page order.  Text inside <article> or <main> is content,
 text inside navigation, headers, footers, asides, forms, scripts and styles, or inside
-elements whose class, id or role names such a part, is not.  What is in neither is
+elements whose class, id or role names such a part, is not.  A form, or an element named
+for its layout ("page-with-sidebar"), may wrap the whole page: a main inside it is content, and an
+article is where no content has fewer such wrappers around it.  What is in neither is
 undecided: for the pages of a host, these blocks and the blocks that markup leaves out
 are one stream of words per page; a suffix array over the streams of a shard finds
 runs of at least RUN words that also stand in another page, and an undecided block keeps
@@ -39,6 +41,7 @@ RUN = 6
 SHARD_PAGES = 500
 MIX = np.uint64(0x9E3779B97F4A7C15)
 CONTENT, LEFT_OUT, UNDECIDED = 0, 1, 2
+WRAPPER, BARRED = 1, 2
 
 # HTML's element kinds, and customary names of page parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,8 +54,11 @@ NAMES = ("nav navbar navigation menu breadcrumb breadcrumbs footer sidebar side
          "newsletter subscribe subscription signup popup modal overlay share sharing social related recommended comment "
          "comments commentlist replies reply respond disqus login search paywall skip toolbar pagination pager").split()
 HEADERS = ["header", "masthead", "topbar"]
+ALL_NAMES = frozenset(NAMES + HEADERS)
 ITEMS = frozenset("comment reply teaser ad advert promo sponsored related".split())
 ABOUT = ("has-", "with-", "no-", "is-")
+#: Parts that layout containers are named after, too, as "content-sidebar-wrap".
+LAYOUT = frozenset("nav navbar navigation menu sidebar side aside header masthead topbar footer banner toolbar".split())
 PARTS, PARTS_IN_CONTENT = (re.compile(rf"(?:^|[_-])(?:{'|'.join(n)})(?:$|[_-])") for n in (NAMES + HEADERS, NAMES))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
@@ -61,24 +67,51 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(
 SPACE = re.compile(r"\s+")
 
 
-def _unwanted(name: str, attributes: str, in_content: bool) -> bool:
-    if name in OUTSIDE and not (in_content and name == "header"):
-        return True
+def _unwanted(name: str, attributes: str, in_content: bool) -> int:
+    """0: not left out; WRAPPER: left out, but may hold the page's article or main; BARRED."""
+    if name in OUTSIDE and not (in_content and name == "header") and (in_content or name != "form"):
+        return BARRED
     if name in ("html", "body"):
-        return False
+        return 0
+    out = WRAPPER if name == "form" else 0
     parts = PARTS_IN_CONTENT if in_content else PARTS
     for key, *values in ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), next((v for v in values if v), "")
         if key in ("class", "id"):
             for one in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
                 # an article or main element is only what its whole name says
-                if one in ITEMS if name in ("article", "main") else parts.search(one) and not one.startswith(ABOUT):
-                    return True
+                if name in ("article", "main"):
+                    if one in ITEMS:
+                        return BARRED
+                elif parts.search(one) and not one.startswith(ABOUT):
+                    named = ALL_NAMES.intersection(re.split("[_-]", one))
+                    if in_content or one in named or not named <= LAYOUT:
+                        return BARRED
+                    out = WRAPPER
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return BARRED
         if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return BARRED
+    return out
+
+
+def _inside(name: str, attributes: str, kind: int) -> int:
+    """The kind of text in an element that opens in text of a kind.  Inside n wrappers
+    that is 2 n + 1, or 2 n + 2 in an article there."""
+    if kind == LEFT_OUT:
+        return kind
+    in_content = kind != UNDECIDED and kind % 2 == 0
+    unwanted = _unwanted(name, attributes, in_content)
+    if unwanted == BARRED:
+        return LEFT_OUT
+    if in_content:
+        return kind
+    wrappers = 0 if kind == UNDECIDED else kind // 2
+    if unwanted == WRAPPER:
+        return 2 * wrappers + 3
+    if name == "main" or name == "article" and not wrappers:
+        return CONTENT
+    return kind + 1 if name == "article" else kind
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
@@ -125,12 +158,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        inside = kind
-        if kind != LEFT_OUT:
-            if _unwanted(name, token[3], kind == CONTENT):
-                inside = LEFT_OUT
-            elif name in ("article", "main"):
-                inside = CONTENT
+        inside = _inside(name, token[3], kind)
         if inside != kind:
             close()
         stack.append((name, inside))
@@ -138,7 +166,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
     if at < len(page):
         pieces.append(page[at:])
     close()
-    return out
+    best = min((k for k, _ in out if k != UNDECIDED and k % 2 == 0), default=CONTENT)
+    return [(CONTENT if k in (CONTENT, best) else UNDECIDED if k == UNDECIDED else LEFT_OUT, t) for k, t in out]
 
 
 def repeated_tokens(tokens: np.ndarray, page: np.ndarray, run: int) -> np.ndarray:
