@@ -6,7 +6,9 @@
 Quality rules drop documents that they reject; of each group of near copies the one
 with the smallest doc_id stays; documents that hold a benchmark item go; sources are
 mixed to their target weights, which repeats documents of sources in demand and leaves
-out what a source has too much of; the training order is cut into 24 shards.
+out what a source has too much of; rows are shuffled within their source by a seeded
+hash, in which every repeat of a document has its own place, and dealt to 24 shards in
+proportion to the sources (the order of the curriculum is not kept).
 
 Every stage works on all rows its predecessor kept.  Null and empty texts go with the
 quality rules; empty tables stay empty; further columns of documents are carried along

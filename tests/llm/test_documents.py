@@ -166,6 +166,16 @@ def test_shards(spark, sf_dir, table):
         assert all(abs(each[s] - n / 24) <= 1.5 for s in range(24))
 
 
+def test_shards_spread_copies(make_docs):
+    docs = make_docs([(i, f"text {i}", "a") for i in range(200) for _ in range(3)])
+    rows = shards.assign(docs).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r.doc_id, []).append(r.shard)
+    assert len(rows) == 600 and all(len(s) == 3 for s in held.values())
+    assert sum(len(set(s)) == 3 for s in held.values()) > 150
+
+
 def test_shards_odd_rows(odd_docs, no_docs):
     rows = shards.assign(odd_docs).collect()
     assert sorted((r.shard, r.slot) for r in rows) == [(i, 0) for i in range(15)]

@@ -6,7 +6,8 @@ proportion, and it is cut into shards whose row counts are at most one apart.  R
 are exact and come from bucket totals, so no source and no table meets in one task.
 
 Ties in fractional rank go by source (null last), then by hash and doc_id.  Null text
-has 8 bytes; a null source is a source of its own; repeated rows are placed each.
+has 8 bytes; a null source is a source of its own; repeated rows (equal doc_id and text)
+are placed each, by a hash of the number of the repeat, so that copies spread.
 Fewer rows than shards: the last shards are empty.  Empty table: no rows."""
 
 from __future__ import annotations
@@ -21,11 +22,22 @@ SEED = 29
 ROW_BYTES = 8
 
 
+def _placed(rows: DataFrame, seed: int) -> DataFrame:
+    """rows with h and its bucket b.  The first of equal rows has the hash of its
+    doc_id, the k-th one that of doc_id and k.  Only counts are grouped, so rows that
+    are repeated without bound do not meet in a window."""
+    names = rows.columns
+    same = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("times"))
+    each = same.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("k"))
+    again = F.concat_ws("#", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.when(F.col("k") > 1, F.col("k").cast("string")))
+    return each.withColumn("key", again).withColumn("h", seeded(seed, "key")).drop("key", "k").withColumn("b", bucket_of("h"))
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, text_crc32, shard, slot of every row."""
     rows = docs.select("doc_id", "source", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES).alias("size"),
                        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
-    rows = rows.withColumn("h", seeded(seed)).withColumn("b", bucket_of("h"))
+    rows = _placed(rows, seed)
     one = F.lit(1).cast("long")
     rows = running(rows, ["source"], "b", ["h", "doc_id", "text_crc32"], one, "rank")
     part = (F.col("rank") * 2 + 1).cast("double") / (F.col("rank_all") * 2).cast("double")
