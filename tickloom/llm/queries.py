@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import brown, curriculum, decontaminate, licenses, main_text, ngram_join, oracles, quality, shards, substring, toxicity
+from tickloom.llm import (
+    brown, curriculum, decontaminate, importance, infill, licenses, main_text, ngram_join, oracles, packing, quality, shards,
+    substring, toxicity)
 from tickloom.llm.shared import stored
 from tickloom.llm.words import word_count
 
@@ -71,6 +73,29 @@ def op10_stratified_shards(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    docs = infill.rearrange(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def digest(text):
+        return F.sha2(F.encode(text, "utf-8"), 256)
+
+    return docs.select(
+        "doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", digest(F.col("fim.output")).alias("output_sha256"),
+        digest(infill.restored(F.col("fim.output"), F.col("fim.form"))).alias("restored_sha256"))
+
+
+def op12_importance_resampling(spark, sf_dir):
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"]).select(
+        "doc_id", "importance.*")
+
+
+def op13_cutting_stock_packing(spark, sf_dir):
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"]).select("doc_id", "piece.*")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -80,7 +105,8 @@ def pipeline(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_html_extraction, op2_curriculum_mix, op3_ngram_jaccard, op4_brown_lm, op5_license_scan, op6_toxicity, op7_decontamination, op8_substring_dedup,
-        op9_quality_rules, op10_stratified_shards, pipeline)}
+        op9_quality_rules, op10_stratified_shards, op11_fill_in_middle, op12_importance_resampling, op13_cutting_stock_packing,
+        pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

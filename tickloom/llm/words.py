@@ -53,12 +53,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Consecutive rows whose texts have SLICE_BYTES together, or one longer row."""
+def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows whose texts have `most` bytes together, or one longer row."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(size):
-        if held and held + n > SLICE_BYTES:
+        if held and held + n > most:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += int(n)
