@@ -9,6 +9,7 @@ from tickloom.functions import frames as W
 from tickloom.functions.hashing import uniform
 from tickloom.operators import evaluate as E
 from tickloom.operators import labels
+from tickloom.operators.isotonic import isotonic_fit
 
 
 def _scored_bars(spark, sf):
@@ -36,6 +37,8 @@ def queries() -> dict:
         "E10_reliability": on(E.reliability),
         "E11_platt": on(E.platt, quality_predictions, 3),
         "E12_isotonic": on(E.isotonic, quality_predictions),
+        "E12_isotonic_runs": on(E.isotonic),
+        "E12_isotonic_blocks": on(isotonic_fit),
         "E13_temperature": on(E.temperature),
         "E13_temperature_applied": on(lambda p: E.apply_temperature(p, E.temperature(p)), quality_predictions, 5),
         "E14_bce": on(lambda p: E.losses(p, bce=E.bce(), weighted_bce=E.bce(3.0))),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.inputs import daily_bars, index_bars, rounded, second_series, table
 from tickloom.functions import frames as W
+from tickloom.functions.long_scan import scan_long
 from tickloom.operators import align, bars, labels, samples
 from tickloom.plans.features import feature_table
 
@@ -54,6 +55,21 @@ def queries() -> dict:
             return fn
         return put
 
+    @reg("SCAN_long_series")
+    def _(spark, sf):
+        """Averages over every line, one series per return flag: a key holds up to half of the rows."""
+        paid = (F.lit(100.0) + F.sqrt(F.col("l_extendedprice") / F.col("l_quantity"))) * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+        ticks = table(spark, sf, "lineitem").select(
+            F.col("l_returnflag").alias("key"), F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber", "l_partkey", paid.alias("price"))
+        out = scan_long(ticks, [
+            ("e1", "ema", ("price",), {"n": 9}), ("e2", "ema", ("e1",), {"n": 9}), ("e3", "ema", ("e2",), {"n": 9}),
+            ("before", "previous", ("price",), {"n": 1}), ("move", "difference", ("price", "before"), {}),
+            ("up", "rise", ("move",), {}), ("down", "fall", ("move",), {}),
+            ("gain", "wilder", ("up",), {"n": 7}), ("loss", "wilder", ("down",), {"n": 7}), ("strength", "strength", ("gain", "loss"), {})],
+            order=("ts", "l_orderkey", "l_linenumber", "l_partkey"))
+        return rounded(out.select("key", F.col("ts").cast("string").alias("ts"), "l_orderkey", "l_linenumber", "l_partkey", "price",
+                                  F.col("e1").alias("average"), (3 * F.col("e1") - 3 * F.col("e2") + F.col("e3")).alias("triple"), "strength"))
+
     @reg("F001_bars")
     def _(spark, sf):
         return rounded(_bars(spark, sf))

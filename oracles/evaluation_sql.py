@@ -56,6 +56,17 @@ def soft(gamma):
             f"FROM ({g}) a JOIN ({g}) b ON a.run_id = b.run_id WHERE a.neg > 0 AND b.pos > 0 GROUP BY a.run_id")
 
 
+def isotonic(src):
+    """Max-min formula over the distinct scores of a run: the largest, over starts at or
+    before a score, of the least mean from that start to an end at or after it."""
+    g = f"SELECT run_id, prob, count(*) AS n, sum(label) AS pos FROM ({src}) GROUP BY 1, 2"
+    c = f"SELECT *, sum(n) OVER w AS cw, sum(pos) OVER w AS cs FROM ({g}) WINDOW w AS (PARTITION BY run_id ORDER BY prob)"
+    pairs = (f"SELECT a.run_id, a.prob AS a, b.prob AS b, (b.cs - a.cs + a.pos)::DOUBLE / (b.cw - a.cw + a.n)::DOUBLE AS m "
+             f"FROM c a JOIN c b ON a.run_id = b.run_id AND a.prob <= b.prob")
+    least = f"SELECT run_id, a, b, min(m) OVER (PARTITION BY run_id, a ORDER BY b DESC) AS m FROM ({pairs})"
+    return f"WITH c AS MATERIALIZED ({c}) SELECT run_id, b AS prob, max(m) AS fitted FROM ({least}) GROUP BY 1, 2"
+
+
 def curve():
     return (f"SELECT run_id, prob, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY run_id) AS n_pos "
             f"FROM (SELECT run_id, prob, sum(label) AS pos, count(*) - sum(label) AS neg FROM ({PRED}) GROUP BY 1, 2) "
@@ -99,6 +110,12 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT f.run_id, f.bin, f.bin / 10 AS lower, (f.bin + 1) / 10 AS upper, coalesce(b.n, 0) AS n, coalesce(b.accuracy, 0) AS accuracy, "
         f"coalesce(b.confidence, (f.bin + 0.5) / 10) AS confidence FROM (SELECT DISTINCT run_id, g.i AS bin FROM ({PRED}), range(0, 10) g(i)) f "
         f"LEFT JOIN ({bins}) b ON b.run_id = f.run_id AND b.bin = f.bin", "lower upper accuracy confidence", "bin n")
+    for name, src, more in (("E12_isotonic", QUALITY, ""), ("E12_isotonic_runs", PRED, " actual_return")):
+        o[name] = out(f"SELECT q.*, i.fitted AS calibrated FROM ({src}) q JOIN ({isotonic(src)}) i ON i.run_id = q.run_id AND i.prob = q.prob",
+                      "prob calibrated" + more, "sample_id label")
+    o["E12_isotonic_blocks"] = out(
+        f"SELECT p.run_id, min(p.prob) AS low, max(p.prob) AS high, count(*) AS n, any_value(fitted) AS value "
+        f"FROM ({PRED}) p JOIN ({isotonic(PRED)}) i ON i.run_id = p.run_id AND i.prob = p.prob GROUP BY p.run_id, fitted", "low high value", "n")
     o["E13_temperature"] = out(newton(PRED), "temperature")
     z = f"ln({CLIP} / (1 - {CLIP}))"
     o["E13_temperature_applied"] = out(

@@ -84,8 +84,36 @@ QUALITY = """SELECT 'length' AS run_id, d.doc_id AS sample_id, round(n_chars / (
   quality AS label FROM documents d JOIN labels l ON l.doc_id = d.doc_id"""
 
 
+def seeded_average(src, x, y, alpha, n, reach):
+    """Adds y: the average with weight alpha, seeded with the mean of the first n values.
+    Beyond `reach` rows a weight is under 1e-17."""
+    first = f"SELECT *, min(CASE WHEN {x} IS NOT NULL THEN rn END) OVER (PARTITION BY key) + {n - 1} AS s_{y} FROM {src}"
+    seed = f"SELECT *, avg(CASE WHEN rn <= s_{y} THEN {x} END) OVER (PARTITION BY key) AS m_{y} FROM ({first})"
+    fed = f"SELECT *, CASE WHEN rn = s_{y} THEN m_{y} / {alpha} WHEN rn > s_{y} THEN {x} END AS v_{y} FROM ({seed})"
+    held = f"list(v_{y}) OVER (PARTITION BY key ORDER BY rn ROWS BETWEEN {reach - 1} PRECEDING AND CURRENT ROW)"
+    weights = f"(SELECT list({alpha} * pow(1 - {alpha}, {reach - 1} - k) ORDER BY k) FROM range({reach}) r(k))"
+    return (f"SELECT * EXCLUDE (l_{y}, s_{y}, m_{y}, v_{y}), CASE WHEN rn >= s_{y} THEN list_inner_product(l_{y}, list_slice({weights}, {reach} - len(l_{y}) + 1, {reach})) END AS {y} "
+            f"FROM (SELECT * EXCLUDE v_{y}, v_{y}, list_filter({held}, lambda e: e IS NOT NULL) AS l_{y} FROM ({fed}))")
+
+
+def long_series() -> str:
+    """Averages of every line's price, one series per return flag."""
+    from oracles.base import PAID
+
+    ctes = [f"t0 AS (SELECT l_returnflag AS key, CAST(l_shipdate AS VARCHAR) AS ts, l_orderkey, l_linenumber, l_partkey, {PAID} AS price, "
+            "row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS rn FROM lineitem)",
+            "t1 AS (SELECT *, price - lag(price) OVER (PARTITION BY key ORDER BY rn) AS d FROM t0)",
+            "t2 AS (SELECT *, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS up, CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END AS down FROM t1)"]
+    for i, (x, y, n, alpha, reach) in enumerate((
+            ("price", "e1", 9, "0.2::DOUBLE", 180), ("e1", "e2", 9, "0.2::DOUBLE", 180), ("e2", "e3", 9, "0.2::DOUBLE", 180),
+            ("up", "gain", 7, "(1 / 7.0::DOUBLE)", 270), ("down", "loss", 7, "(1 / 7.0::DOUBLE)", 270)), 3):
+        ctes.append(f"t{i} AS MATERIALIZED ({seeded_average(f't{i - 1}', x, y, alpha, n, reach)})")
+    cols = {"price": "price", "average": "e1", "triple": "3 * e1 - 3 * e2 + e3", "strength": "CASE WHEN gain + loss = 0 THEN 0 ELSE 100 * gain / (gain + loss) END"}
+    return f"WITH {', '.join(ctes)} SELECT key, ts, l_orderkey, l_linenumber, l_partkey, {', '.join(f'{rnd(e)} AS {c}' for c, e in cols.items())} FROM t7"
+
+
 def oracle_sql() -> dict[str, str]:
-    o = {}
+    o = {"SCAN_long_series": long_series()}
     o["F001_bars"] = simple(BARS, OHLCV, ["volume"])
     from oracles.base import bars as bars_of
     o["F001_bars_hot_key"] = simple(bars_of("l_returnflag"), OHLCV, ["volume"])

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.isotonic import isotonic  # noqa: F401  (part of the calibration interface)
 from tickloom.sources.tables import stored
 
 RUN, PROB, LABEL = "run_id", "prob", "label"
@@ -259,16 +260,6 @@ def platt(pred: DataFrame, tolerance: float = 1e-9, most_steps: int = 100) -> Da
     return pred.join(fitted, RUN).withColumn("calibrated", 1 / (1 + F.exp(-z))).select(*pred.columns, "calibrated")
 
 
-def isotonic(pred: DataFrame) -> DataFrame:
-    """Monotone step calibration, fitted on one weighted row per distinct score."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    fit_on = pred.groupBy(PROB).agg(F.avg(LABEL).alias("label"),
-                                    F.count(F.lit(1)).cast("double").alias("weight"))
-    model = IsotonicRegression(featuresCol=PROB, labelCol="label", weightCol="weight").fit(fit_on)
-    return model.transform(pred).withColumnRenamed("prediction", "calibrated")
-
-
 def _logit() -> Column:
     p = F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), F.col(PROB)))
     return F.ln(p / (1 - p))

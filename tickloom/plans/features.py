@@ -38,14 +38,14 @@ def tier_columns(tier: str, lookahead: bool = False) -> list[str]:
 
 
 def feature_table(bars: DataFrame, tier: str | Iterable[str], vix: DataFrame | None = None, *,
-                  lookahead: bool = False, warm_up: str = "drop") -> DataFrame:
+                  lookahead: bool = False, warm_up: str = "drop", chunk_rows: int | None = None) -> DataFrame:
     """Feature table of a tier or of a list of columns.
 
     ``warm_up``: ``drop`` removes rows with any null, ``keep`` leaves them,
     ``fill`` carries values forward, ``fill_both`` then fills the head backward
-    (which puts later values into earlier rows)."""
+    (which puts later values into earlier rows).  ``chunk_rows``: see ``registry.build``."""
     names = tier_columns(tier, lookahead) if isinstance(tier, str) else list(tier)
-    out = build(bars, names, vix)
+    out = build(bars, names, vix, chunk_rows)
     if tier == "vix":
         return out.filter("vix_percentile_60d is not null") if warm_up == "drop" else out
     if warm_up == "drop":

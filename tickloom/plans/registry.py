@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import frames as W
+from tickloom.functions.long_scan import scan_long
 from tickloom.functions.recursive import scan
 
 BASE = ("key", "ts", "open", "high", "low", "close", "volume", "vix", W.ROW)
@@ -161,10 +162,12 @@ def _feeding(nodes: dict[str, Node], steps: dict[str, Node]) -> dict[str, Node]:
     return {n: node for n, node in nodes.items() if n in wanted}
 
 
-def build(bars: DataFrame, names: Iterable[str], vix: DataFrame | None = None) -> DataFrame:
+def build(bars: DataFrame, names: Iterable[str], vix: DataFrame | None = None, chunk_rows: int | None = None) -> DataFrame:
     """Bars -> ``key, ts`` and the named columns, one row per bar.
 
-    ``vix`` is an optional second series ``(ts, vix)``, aligned by exact date."""
+    ``vix`` is an optional second series ``(ts, vix)``, aligned by exact date.
+    ``chunk_rows`` runs the recursions in chunks of so many rows (functions/long_scan.py)
+    instead of a task per key."""
     from tickloom.operators.align import align_second_series, weekly_to_daily
 
     names = list(names)
@@ -183,6 +186,7 @@ def build(bars: DataFrame, names: Iterable[str], vix: DataFrame | None = None) -
     steps = {n: node for n, node in nodes.items() if node.feature.step}
     if steps:
         df = _emit(df, _feeding(nodes, steps), windows)
-        df = scan(df, [(n, *node.feature.step) for n, node in steps.items()])
+        todo = [(n, *node.feature.step) for n, node in steps.items()]
+        df = scan_long(df, todo, chunk=chunk_rows) if chunk_rows else scan(df, todo)
     df = _emit(df, {n: node for n, node in nodes.items() if node.column is not None}, windows)
     return df.select("key", "ts", *names)
