@@ -39,7 +39,7 @@ LENGTH = 2048
 END = 1
 LEAST_CUT = 16
 #: Text bytes that are tokenised at a time: more repeats of a word than in a smaller slice.
-TOKEN_SLICE = 4_000_000
+TOKEN_SLICE = 3_000_000
 
 PIECE = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
                       T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType()),

@@ -18,7 +18,7 @@ import pyarrow as pa
 from tickloom.llm.words import text_bytes
 
 #: Pieces that a task remembers; it starts anew beyond.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 # UTF-8 of the white space beyond ASCII (U+0085, U+00A0, U+1680,
 # U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000).
@@ -39,11 +39,14 @@ def _single(data: np.ndarray) -> np.ndarray:
     at = at[(at > 0) & (at < len(data) - 1)]
     at = at[~PLAIN[data[at - 1]] & ~PLAIN[data[at + 1]]]
     # zeros around the text: a code of two or three bytes never starts or ends outside
-    held = np.concatenate((np.zeros(3, np.int64), data, np.zeros(3, np.int64)))
-    i = at + 3
-    two_before, two_after = held[i - 2] << 8 | held[i - 1], held[i + 1] << 8 | held[i + 2]
-    wide = np.isin(two_before, WIDE_TWO) | np.isin(two_after, WIDE_TWO)
-    wide |= np.isin(held[i - 3] << 16 | two_before, WIDE_THREE) | np.isin(two_after << 8 | held[i + 3], WIDE_THREE)
+    held = np.concatenate((np.zeros(3, np.uint8), data, np.zeros(3, np.uint8)))
+    three, two, one, next_one, next_two, next_three = (held[at + 3 + k].astype(np.int32) for k in (-3, -2, -1, 1, 2, 3))
+    before, after = two << 8 | one, next_one << 8 | next_two
+    # most neighbours are ASCII: only the others can be wide
+    maybe = np.flatnonzero((one >= 128) | (next_one >= 128))
+    wide = np.zeros(len(at), bool)
+    wide[maybe] = (np.isin(before[maybe], WIDE_TWO) | np.isin(after[maybe], WIDE_TWO)
+                   | np.isin(three[maybe] << 16 | before[maybe], WIDE_THREE) | np.isin(after[maybe] << 8 | next_three[maybe], WIDE_THREE))
     return at[~wide]
 
 
