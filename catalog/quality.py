@@ -102,6 +102,8 @@ def queries() -> dict:
     reg("Q03_mutual_information")(lambda s, sf: Q.mutual_information(rows(s, sf), COLS, "y"))
     reg("Q04_redundancy")(lambda s, sf: Q.redundancy(rows(s, sf), COLS))
     reg("Q05_max_redundancy")(lambda s, sf: Q.max_redundancy(Q.redundancy(rows(s, sf), COLS)))
+    reg("Q04_redundancy_gaps")(lambda s, sf: Q.redundancy(rows(s, sf).withColumns(
+        {c: F.when(F.col("key") % (i + 3) != 0, F.col(c)) for i, c in enumerate(COLS)}), COLS))
     reg("Q06_scaled")(lambda s, sf: Q.scaled_01(Q.target_correlation(rows(s, sf), COLS, "y"), ["correlation", "n"]))
     reg("Q07_combined_scores", 5)(lambda s, sf: Q.combined_scores(Q.metrics_table(rows(s, sf), COLS, "y")))
     reg("Q07_combined_scores_with_drop", 5)(lambda s, sf: Q.combined_scores(feature_metrics(s, sf)).select("feature", "combined_score"))
@@ -173,6 +175,13 @@ def queries() -> dict:
         now = V.fingerprint(o.select(*keep)).withColumn("path", F.lit("/data/orders")).unionByName(
             V.fingerprint(c.select("c_custkey", "c_mktsegment")).withColumn("path", F.lit("/data/customer")))
         return out, now
+    keyed = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    moved = F.when(F.col("o_orderkey") % 997 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
+    reg("V14_leaves")(lambda s, sf: V.content_leaves(table(s, sf, "orders").select(*keyed), ["o_orderkey"]))
+    reg("V14_root")(lambda s, sf: V.content_root(V.content_leaves(table(s, sf, "orders").select(*keyed), ["o_orderkey"])))
+    reg("V14_changed_buckets")(lambda s, sf: V.changed_buckets(
+        V.content_leaves(table(s, sf, "orders").select(*keyed), ["o_orderkey"]),
+        V.content_leaves(table(s, sf, "orders").withColumn("o_custkey", moved).select(*keyed), ["o_orderkey"])))
     reg("V14_registry")(lambda s, sf: registry(s, sf)[0].drop("sources"))
     reg("V14_latest")(lambda s, sf: V.latest_entries(registry(s, sf)[0]).drop("sources"))
     reg("V14_verify")(lambda s, sf: V.verify(*registry(s, sf)))

@@ -107,8 +107,22 @@ def removal():
 
 
 def md5sum(cols, src):
-    line = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')" for c in cols)
-    return f"SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(md5({line}), 1, 7) AS BIGINT)) AS VARCHAR) AS checksum FROM {src}"
+    line = row_line(cols)
+    return f"SELECT count(*) AS rows, {sums(line)} AS checksum FROM {src}"
+
+
+def row_line(cols):
+    return " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')" for c in cols)
+
+
+def sums(line):
+    return "concat_ws('-', " + ", ".join(f"CAST(coalesce(sum(CAST('0x' || substr(md5({line}), {1 + 8 * i}, 8) AS BIGINT)), 0) AS VARCHAR)" for i in range(4)) + ")"
+
+
+def leaves(src):
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    return (f"SELECT bucket, rows, md5(bucket || '/' || rows || '/' || s) AS leaf FROM (SELECT CAST('0x' || substr(md5({row_line(['o_orderkey'])}), 1, 8) AS BIGINT) % 256 AS bucket, "
+            f"count(*) AS rows, {sums(row_line(cols))} AS s FROM {src} GROUP BY 1)")
 
 
 def oracle_sql() -> dict[str, str]:
@@ -118,6 +132,8 @@ def oracle_sql() -> dict[str, str]:
     o["Q02_rank_correlation_returns"] = final(spearman(COLS[1:], "ret"), "feature", "correlation", "n")
     o["Q03_mutual_information"] = final(mutual(), "feature", "mutual_information")
     o["Q04_redundancy"] = final(redundancy(), "feature other", "correlation")
+    gaps = ", ".join(f"CASE WHEN key % {i + 3} <> 0 THEN {c} END AS {c}" for i, c in enumerate(COLS))
+    o["Q04_redundancy_gaps"] = final(redundancy().replace("FROM r", f"FROM (SELECT {gaps} FROM r)"), "feature other", "correlation")
     o["Q05_max_redundancy"] = final(max_red(), "feature most_similar", "max_redundancy")
     o["Q06_scaled"] = final(f"SELECT *, {s01('correlation')} AS correlation_01, {s01('n')} AS n_01 FROM ({pearson()})", "feature", "correlation correlation_01 n_01", "n")
     for name in ("Q07_combined_scores", "Q08_importance_report"):
@@ -225,6 +241,11 @@ def oracle_sql() -> dict[str, str]:
             ("mean", f"avg({c})"), ("std", f"stddev_samp({c})"), ("min", f"min({c})::DOUBLE"), ("max", f"max({c})::DOUBLE"), ("q25", f"quantile_cont({c}, 0.25)"), ("median", f"quantile_cont({c}, 0.5)"), ("q75", f"quantile_cont({c}, 0.75)")))
         + f" FROM ({BARS})" for c, k in (("open", "double"), ("close", "double"), ("volume", "bigint")))
     o["V13_date_range"] = f"SELECT count(*) AS rows, CAST(min(ts) AS VARCHAR) AS first_ts, CAST(max(ts) AS VARCHAR) AS last_ts, count(DISTINCT ts) AS dates FROM ({BARS})"
+    changed = "(SELECT * REPLACE (CASE WHEN o_orderkey % 997 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey) FROM orders)"
+    o["V14_leaves"] = leaves("orders")
+    o["V14_root"] = f"SELECT CAST(sum(rows) AS BIGINT) AS rows, md5(string_agg(leaf, '' ORDER BY bucket)) AS root FROM ({leaves('orders')})"
+    o["V14_changed_buckets"] = (f"SELECT a.bucket, a.rows AS rows_before, b.rows AS rows_after, 'changed' AS problem FROM ({leaves('orders')}) a "
+                                f"JOIN ({leaves(changed)}) b ON a.bucket = b.bucket WHERE a.leaf <> b.leaf")
     ok = ["o_orderkey", "o_custkey", "o_orderstatus"]
     entries = [("orders", 1, "2025-01-01", md5sum(ok, "(SELECT * FROM orders WHERE o_orderkey % 2 = 0)")), ("orders", 2, "2025-02-01", md5sum(ok, "orders")),
                ("customer", 1, "2025-01-01", md5sum(["c_custkey", "c_name"], "customer")), ("supplier", 1, "2025-01-01", md5sum(["s_suppkey", "s_name"], "supplier"))]

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions import recursive
+from tickloom.functions.rolling import ROLLING, percent_of
 from tickloom.functions.totals import running_totals
 from tickloom.sources.tables import stored
 
@@ -200,6 +201,29 @@ class Previous:
         return replace(st, last=told["last"])
 
 
+@dataclass
+class Windowed:
+    """A statistic of a trailing window (functions/rolling.py): the rows it needs are carried."""
+
+    kernel: str
+    params: dict
+
+    @property
+    def reach(self) -> int:
+        return self.params["n"] + self.params.get("shift", 0)
+
+    def run(self, state: State, x: np.ndarray) -> tuple[np.ndarray, State]:
+        known = np.concatenate((state.last, x))
+        y = ROLLING[self.kernel](known, **self.params)
+        return y[len(state.last):], replace(state, last=known[-self.reach:])
+
+    tell, pass_over = Previous.tell, Previous.pass_over
+
+    @property
+    def n(self) -> int:
+        return self.reach
+
+
 @dataclass
 class Compound:
     start: float
@@ -224,7 +248,9 @@ def recursion(kernel: str, params: dict):
             "decayed_sum": lambda: Smooth(1.0 / n, n - 1, scale=(n - 1) / n, out=n),
             "held": lambda: Smooth(1.0 / n, n, skip=1, hold=True),
             "adaptive": lambda: Adaptive(n), "previous": lambda: Previous(n), "compound": lambda: Compound(params["start"])}
-    return made[kernel]() if kernel in made else None
+    if kernel in made:
+        return made[kernel]()
+    return Windowed(kernel, params) if kernel in ROLLING else None
 
 
 def _dx(p, m, t):
@@ -246,7 +272,7 @@ def fall(x):
 
 
 POINTWISE = {name: recursive.KERNELS[name] for name in ("difference", "band", "strength", "where_known")} | {
-    "_dx": _dx, "_usable": _usable, "rise": rise, "fall": fall}
+    "_dx": _dx, "_usable": _usable, "rise": rise, "fall": fall, "percent_of": percent_of}
 
 
 def _unfolded(steps: Iterable) -> list[tuple]:
@@ -290,7 +316,7 @@ def _told(steps: list[tuple]):
                 head, rest = [a[:r.reach] for a in x], [a[r.reach:] for a in x]
                 told = None
                 if len(rest[0]):
-                    told = r.tell(rest[0], head[0]) if isinstance(r, Adaptive | Previous) else r.tell(*rest)
+                    told = r.tell(rest[0], head[0]) if isinstance(r, Adaptive | Previous | Windowed) else r.tell(*rest)
                 out[name] = (r.run(State(), *x)[1], head, told)
         return pa.table({"key": table.column("key").slice(0, 1), "__chunk": table.column("__chunk").slice(0, 1),
                          "told": pa.array([cloudpickle.dumps(out)], pa.binary())})

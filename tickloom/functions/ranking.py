@@ -1,66 +1,37 @@
 """Ranks and exact quantiles inside groups of any size.
 
-A window over a whole group would put a hot group into one task.  Here a value
-gets two digits in its order: its sign, binary exponent and the next five bits
-make the first, the next sixteen bits the second, so values of any size are told
-apart to one part in two million.  Counts per digit give each bucket its offset,
-and only the values of one bucket are ever ordered together.  The digits decide
-nothing but the layout: the order inside a bucket is that of the value itself, so
-the result is exact."""
+A window over a whole group would put a hot group into one task.  Here equal values are
+folded first, then one range-partitioned sort spreads the values of all groups over all
+tasks, and running totals (functions/totals.py) give every value the number of rows
+before it.  NaN is the largest value."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BASE = 1 << 16
+from tickloom.functions.totals import running_totals
 
 
-def _digits(value: str) -> tuple[Column, Column]:
-    v = F.col(value).cast("double")
-    size = F.least(F.abs(v), F.lit(1.7976931348623157e308))
-    power = F.floor(F.log2(F.when(size > 0, size)))
-    # grows with |v| without a gap: exponent and, between powers, the share of the way
-    place = (power + 1075) * 32 + (F.when(size > 0, size) / F.pow(F.lit(2.0), power) - 1) * 32
-    t = F.coalesce(F.when(v < 0, -place).otherwise(place), F.lit(0.0))
-    first = F.floor(t)
-    return first, F.floor((t - first) * BASE)
-
-
-def _earlier(by: list[str], order: str, what: str) -> Column:
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(what).over(w), F.lit(0))
-
-
-def value_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
+def value_ranks(df: DataFrame, by: list[str], value: str, count: str | None = None) -> DataFrame:
     """Per distinct value of a group: ``n`` rows, ``below`` rows with a smaller
-    value, ``total`` rows of the group.  Null values are left out."""
-    first, second = _digits(value)
-    vals = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")) \
-        .withColumn("_d1", first).withColumn("_d2", second)
-    mid = vals.groupBy(*by, "_d1", "_d2").agg(F.sum("n").alias("n"))
-    top = mid.groupBy(*by, "_d1").agg(F.sum("n").alias("n"))
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    group = by or [F.lit(0)]
-    top = top.select(*by, "_d1", _earlier(group, "_d1", "n").alias("_b1"), F.sum("n").over(whole).alias("total"))
-    mid = mid.select(*by, "_d1", "_d2", _earlier([*by, "_d1"], "_d2", "n").alias("_b2"))
-    vals = vals.withColumn("_b3", _earlier([*by, "_d1", "_d2"], value, "n"))
-    return vals.join(mid, [*by, "_d1", "_d2"]).join(top, [*by, "_d1"]).select(
-        *by, value, "n", (F.col("_b1") + F.col("_b2") + F.col("_b3")).alias("below"), "total")
-
-
-def row_positions(df: DataFrame, by: list[str], value: str, tie: str, name: str = "position",
-                  tie_width: int = BASE) -> DataFrame:
-    """1-based position of every row by (value, tie); ``tie`` is a whole number
-    that differs between rows of equal value."""
-    ranks = value_ranks(df, by, value).select(*by, value, "below")
-    d = df.withColumn("_tb", F.floor(F.col(tie) / tie_width))
-    part = [*by, value, "_tb"]
-    ties = d.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
-    ties = ties.select(*part, _earlier([*by, value], "_tb", "n").alias("_before"))
-    local = F.row_number().over(Window.partitionBy(*part).orderBy(tie))
-    return d.withColumn("_local", local).join(ties, part).join(ranks, [*by, value]).withColumn(
-        name, F.col("below") + F.col("_before") + F.col("_local")).select(*df.columns, name)
+    value, ``total`` rows of the group.  Null values are left out.  ``count`` names a
+    column with the number of rows that a row stands for."""
+    rows = F.sum(count) if count else F.count(F.lit(1))
+    vals = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(rows.alias("n"))
+    ranked = running_totals(vals, by, [F.col(value)], {"below": F.col("n")})
+    # a row per group, from the totals after each value
+    whole = ranked.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.max(F.col("below") + F.col("n")).alias("total"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    return ranked.join(whole, same).select(*by, value, "n", "below", "total")
+
+
+def row_positions(df: DataFrame, by: list[str], value: str, tie: str, name: str = "position") -> DataFrame:
+    """1-based position of every row by (value, tie); ``tie`` differs between rows of
+    equal value."""
+    return running_totals(df, by, [F.col(value), F.col(tie)], {name: F.lit(1)}).withColumn(name, F.col(name) + 1)
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:

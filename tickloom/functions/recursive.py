@@ -1,8 +1,9 @@
 """Recursions over time, one Arrow task call per key.
 
-Everything else in the engine is a window expression.  Only recurrences whose
-state depends on their own previous value live here: exponential and Wilder
-averages, the adaptive average, the trailing-stop state machine.  A key is one
+Recurrences whose state depends on their own previous value live here:
+exponential and Wilder averages, the adaptive average, the trailing-stop state machine.
+Statistics of long windows (functions/rolling.py) run in the same pass; short ones are
+window expressions.  A key is one
 row per day (see frames.py), so a call holds a few thousand rows.
 
 Two seeding families are kept apart.  ``ewm`` starts at the first value.  The
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tickloom.functions.rolling import ROLLING
+
 
 def _first_valid(x: np.ndarray) -> int:
     ok = ~np.isnan(x)
@@ -159,7 +162,7 @@ def compound(x, start):
 KERNELS = {f.__name__: f for f in (
     ema, ewm, wilder, decayed_sum, directional_index, adaptive, stop_line, stop_side,
     double_stochastic, difference, band, strength,
-    where_known, compound)}
+    where_known, compound)} | ROLLING
 
 
 def scan(df: DataFrame, steps: list[tuple[str, str, tuple, dict]]) -> DataFrame:

@@ -6,11 +6,13 @@ of rows; ranks come from functions/ranking.py."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.hashing import uniform
 from tickloom.functions.ranking import row_positions, value_ranks
+from tickloom.sources.tables import stored
 
 # fixed grade limits: (pass, marginal)
 LIMITS = {"target_correlation": (0.02, 0.01), "mutual_information": (0.001, 0.0005),
@@ -66,10 +68,10 @@ def rank_correlation(df: DataFrame, columns: list[str], target: str) -> DataFram
 
     Works on counts of distinct (x, y) pairs; the ranks of x and y are taken
     among the feature's complete pairs."""
-    long = unpivot(df, columns, target)
-    rx = value_ranks(long, ["feature"], "x").select("feature", "x", _mean_rank().alias("rx"))
-    ry = value_ranks(long, ["feature"], "y").select("feature", "y", _mean_rank().alias("ry"))
-    j = pair_counts(long).join(rx, ["feature", "x"]).join(ry, ["feature", "y"])
+    pairs = stored(pair_counts(unpivot(df, columns, target)))
+    rx = value_ranks(pairs, ["feature"], "x", "n").select("feature", "x", _mean_rank().alias("rx"))
+    ry = value_ranks(pairs, ["feature"], "y", "n").select("feature", "y", _mean_rank().alias("ry"))
+    j = pairs.join(rx, ["feature", "x"]).join(ry, ["feature", "y"])
     n = F.sum("n")
     mx, my = F.sum(F.col("n") * F.col("rx")) / n, F.sum(F.col("n") * F.col("ry")) / n
     cov = F.sum(F.col("n") * F.col("rx") * F.col("ry")) / n - mx * my
@@ -98,21 +100,64 @@ def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int
         F.sum(p * F.ln(F.col("n") * F.col("nt") / (F.col("nb") * F.col("ny")))).alias("mutual_information"))
 
 
-def redundancy(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Absolute Pearson correlation of every two features, long form.
+#: Rows whose products are summed at a time.
+SLICE = 4096
 
-    One distributed Gram matrix over complete rows; its size is the square of
-    the number of columns.  A feature that does not vary has no correlation."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    complete = df.select(*[F.col(c).cast("double") for c in columns]).dropna()
-    v = VectorAssembler(inputCols=columns, outputCol="_v").transform(complete)
-    m = Correlation.corr(v, "_v").select(F.col("pearson(_v)").alias("m"))
-    return m.sparkSession.createDataFrame(
-        [(a, b, None if x != x else abs(float(x)))
-         for a, line in zip(columns, m.first()["m"].toArray()) for b, x in zip(columns, line)],
-        "feature string, other string, correlation double")
+
+def pair_moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per two columns, over the rows where both are known: ``n`` and the sums ``sx, sy,
+    sxx, syy, sxy``, each column counted from a value of its own near its median.
+
+    One pass: a task adds up the products of all column pairs for its rows and gives one
+    row a pair, which a shuffle by pair adds up."""
+    import pyarrow as pa
+
+    known = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
+    # one row with a value per column
+    near = known.agg(*[F.percentile_approx(F.col(c), 0.5, 100).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    centre = np.array([0.0 if v is None else v for v in near])
+    k = len(columns)
+
+    def run(batches):
+        n, s, q, p = np.zeros((4, k, k))
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in part.columns], axis=1)
+                have = ~np.isnan(x)
+                x, m = np.where(have, x - centre, 0.0), have.astype(float)
+                n += np.einsum("ra,rb->ab", m, m)
+                s += np.einsum("ra,rb->ab", x, m)
+                q += np.einsum("ra,rb->ab", x * x, m)
+                p += np.einsum("ra,rb->ab", x, x)
+        i, j = np.triu_indices(k)
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in (
+            i.astype(np.int32), j.astype(np.int32), n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j])], names=["i", "j", *MOMENTS])
+
+    rows = known.mapInArrow(
+        run, "i int, j int, " + ", ".join(f"{m} double" for m in MOMENTS))
+    return rows.groupBy("i", "j").agg(*[F.sum(m).alias(m) for m in MOMENTS])
+
+
+MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def redundancy(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Absolute Pearson correlation of every two features, long form, each over the rows
+    where both are known.  A feature that does not vary there has no correlation."""
+    n = F.when(F.col("n") > 0, F.col("n"))
+
+    def spread(squares: str, total: str) -> Column:
+        v = F.col(squares) - F.col(total) * F.col(total) / n
+        return F.when(v > 1e-12 * F.col(squares), v)
+
+    both = F.sqrt(spread("sxx", "sx")) * F.sqrt(spread("syy", "sy"))
+    r = F.abs((F.col("sxy") - F.col("sx") * F.col("sy") / n) / both)
+    m = pair_moments(df, columns).select("i", "j", F.when(r > 1, 1.0).otherwise(r).alias("correlation"))
+    names = F.array(*[F.lit(c) for c in columns])
+    sides = F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b")))
+    each = m.withColumn("e", F.explode(F.when(F.col("i") == F.col("j"), F.slice(sides, 1, 1)).otherwise(sides)))
+    return each.select(names[F.col("e.a")].alias("feature"), names[F.col("e.b")].alias("other"), "correlation")
 
 
 def max_redundancy(matrix: DataFrame) -> DataFrame:

@@ -188,13 +188,51 @@ def date_range(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 # --- content registry --------------------------------------------------------------------
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and an order-free checksum: the sum of 28-bit row hashes."""
+BUCKETS = 256
+WORDS = 4
+
+
+def _line(columns: list[str]) -> Column:
     # a value is led by its length, so no two rows give one line
-    line = F.concat(*[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("~"))
-                      for v in (F.col(c).cast("string") for c in df.columns)])
-    part = F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("checksum"))
+    return F.concat(*[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("~"))
+                      for v in (F.col(c).cast("string") for c in columns)])
+
+
+def _word(text: Column, i: int) -> Column:
+    return F.conv(F.substring(F.md5(text), 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")
+
+
+def _sums(columns: list[str]) -> Column:
+    """Sums of the four 32-bit words of all rows' 128-bit hashes, as text."""
+    return F.concat_ws("-", *[F.coalesce(F.sum(_word(_line(columns), i)), F.lit(0)).cast("string") for i in range(WORDS)])
+
+
+def fingerprint(df: DataFrame) -> DataFrame:
+    """Row count and an order-free checksum from 128-bit hashes of the rows."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), _sums(df.columns).alias("checksum"))
+
+
+def content_leaves(df: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """The leaves of a hash tree: rows and a digest of the content per bucket of the key.
+    A change moves the digests of the buckets of the rows it touches, and no others."""
+    bucket = (_word(_line(keys), 0) % buckets).cast("int")
+    return df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows"), _sums(df.columns).alias("_s")).select(
+        "bucket", "rows", F.md5(F.concat_ws("/", "bucket", "rows", "_s")).alias("leaf"))
+
+
+def content_root(leaves: DataFrame) -> DataFrame:
+    """Rows and one digest over the leaves in bucket order (at most one row a bucket)."""
+    in_order = F.array_sort(F.collect_list(F.struct("bucket", "leaf")))
+    return leaves.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+                      F.md5(F.concat_ws("", F.transform(in_order, lambda x: x["leaf"]))).alias("root"))
+
+
+def changed_buckets(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Buckets that differ between two sets of leaves: added, missing or changed."""
+    a, b = before.toDF("bucket", "rows_before", "_a"), after.toDF("bucket", "rows_after", "_b")
+    problem = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "missing").otherwise("changed")
+    return a.join(b, "bucket", "full").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select(
+        "bucket", "rows_before", "rows_after", problem.alias("problem"))
 
 
 def registry_entry(df: DataFrame, dataset: str, path: str, version: int, tier: str, registered_at: str,

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.frames import (
     cum_sum, high, is_full, lag, latest_extreme, low, mean, nearest_of, nz, or_else,
-    over_full_rows, over_rows, pct, quantile, rank_at_or_above, ratio, sd, sign, since_start,
-    total, values)
+    over_full_rows, over_rows, pct, ratio, sd, sign, since_start, total, values)
 from tickloom.plans.registry import group, step
 from tickloom.plans.tiers.a50 import YEAR
 
@@ -97,9 +96,11 @@ def extended_risk():
         "_ret_pct": lambda c: c._ret * 100,
         "_sharpe_20": lambda c: or_else(ratio(mean(c._ret_pct, 20), sd(c._ret_pct, 20)) * YEAR, 0.0),
         "_sortino_20": lambda c: _sortino(c, 20),
-        "sharpe_252d": lambda c: or_else(
-            ratio(mean(c._ret_pct, 252), sd(c._ret_pct, 252)) * YEAR, 0.0),
-        "sortino_252d": lambda c: _sortino(c, 252),
+        "_mean_252": step("rolling_mean", "_ret_pct", n=252),
+        "_sd_252": step("rolling_sd", "_ret_pct", n=252),
+        "_loss_sd_252": step("rolling_loss_sd", "_ret_pct", n=252),
+        "sharpe_252d": lambda c: or_else(ratio(c._mean_252, c._sd_252) * YEAR, 0.0),
+        "sortino_252d": lambda c: or_else(ratio(c._mean_252, c._loss_sd_252) * YEAR, 0.0),
         "sharpe_slope_20d": slope("_sharpe_20", 1),
         "sortino_slope_20d": slope("_sortino_20", 1),
     }
@@ -108,12 +109,9 @@ def extended_risk():
 @group("F032")
 def value_at_risk():
     return {
-        "var_95": lambda c: quantile(c._ret_pct, 20, 0.05),
-        "var_99": lambda c: quantile(c._ret_pct, 20, 0.01),
-        "_ret_20": lambda c: values(c._ret_pct, 20),
-        "_tail_20": lambda c: F.filter(c._ret_20, lambda v: v <= c.var_95),
-        "cvar_95": lambda c: F.aggregate(c._tail_20, F.lit(0.0), lambda a, v: a + v)
-        / F.size(c._tail_20),
+        "var_95": step("rolling_quantile", "_ret_pct", n=20, p=0.05),
+        "var_99": step("rolling_quantile", "_ret_pct", n=20, p=0.01),
+        "cvar_95": step("rolling_tail_mean", "_ret_pct", n=20, p=0.05),
     }
 
 
@@ -144,8 +142,11 @@ def rows_since_cross():
 @group("F035")
 def advanced_volatility():
     return {
-        "atr_pct_percentile_60d": lambda c: 100 * rank_at_or_above(c.atr_pct, 60),
-        "bb_width_percentile_60d": lambda c: 100 * rank_at_or_above(c.bb_width, 60),
+        "_atr_percent": step("percent_of", "_atr_14", "close"),
+        "_atr_rank_60": step("rolling_rank_at_or_above", "_atr_percent", n=60),
+        "_bb_width_rank_60": step("rolling_rank_at_or_above", "bb_width", n=60),
+        "atr_pct_percentile_60d": lambda c: 100 * c._atr_rank_60,
+        "bb_width_percentile_60d": lambda c: 100 * c._bb_width_rank_60,
         "_log_range_sq": lambda c: F.pow(F.ln(c.high / nz(c.low)), 2),
         "parkinson_volatility": lambda c: F.sqrt(
             mean(c._log_range_sq, 20) / (4 * log(2)) * 252) * 100,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.frames import (
     block, block_extreme, cum_sum, ffill, frame_extreme, high, is_full, lag, low, mean, nz,
     or_else, pct, rank_below, ratio, sd, sd_pop, sign, total)
+from tickloom.functions.rolling import LONG
 from tickloom.plans.registry import group, step, weekly
 
 
@@ -57,7 +58,7 @@ def base():
         d[f"_ema2_{n}"] = step("ema", f"_ema_{n}", n=n)
         d[f"_ema3_{n}"] = step("ema", f"_ema2_{n}", n=n)
     for n in (4, 5, 9, 12, 14, 20, 21, 50, 63, 100, 200):
-        d[f"_sma_{n}"] = (lambda n: lambda c: mean(c.close, n))(n)
+        d[f"_sma_{n}"] = step("rolling_mean", "close", n=n) if n >= LONG else (lambda n: lambda c: mean(c.close, n))(n)
     # both averages of a MACD are seeded where the slow one starts
     for fast, slow in ((12, 26), (23, 50)):
         d[f"_macd_fast_{fast}"] = step("ema", "close", n=fast, at=slow - 1)

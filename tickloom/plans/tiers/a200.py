@@ -4,10 +4,10 @@ from math import isqrt
 
 from pyspark.sql import functions as F
 
-from tickloom.functions import kernels as K
 from tickloom.functions.frames import (
     clip, flag, high, lag, low, mean, nz, or_else, over_full_rows, over_rows, pct,
-    rank_at_or_below, ratio, sd, side_streak, since_start, streak, total, values)
+    rank_at_or_below, ratio, sd, side_streak, since_start, streak, total)
+from tickloom.functions.rolling import LONG
 from tickloom.plans.registry import group, step
 from tickloom.plans.tiers.a100 import slope
 
@@ -25,7 +25,7 @@ def triple_ema():
 
 @group("F042")
 def weighted_ma():
-    return {f"wma_{n}": (lambda n: lambda c: weighted(c, c.close, n))(n)
+    return {f"wma_{n}": step("rolling_weighted", "close", n=n) if n >= LONG else (lambda n: lambda c: weighted(c, c.close, n))(n)
             for n in (10, 20, 50, 200)}
 
 
@@ -109,14 +109,16 @@ def rsi_duration():
     return {"rsi_distance_from_50": lambda c: c._rsi_14 - 50,
             "days_rsi_overbought": lambda c: streak(c._rsi_14 > 70),
             "days_rsi_oversold": lambda c: streak(c._rsi_14 < 30),
-            "rsi_percentile_60d": lambda c: rank_at_or_below(c._rsi_14, 60)}
+            "_rsi_strength_14": step("strength", "_avg_gain_14", "_avg_loss_14"),
+            "rsi_percentile_60d": step("rolling_rank_at_or_below", "_rsi_strength_14", n=60)}
 
 
 @group("F054")
 def mean_reversion():
     return {
         "zscore_from_20d_mean": lambda c: ratio(c.close - c._sma_20, sd(c.close, 20)),
-        "zscore_from_50d_mean": lambda c: ratio(c.close - c._sma_50, sd(c.close, 50)),
+        "_close_sd_50": step("rolling_sd", "close", n=50),
+        "zscore_from_50d_mean": lambda c: ratio(c.close - c._sma_50, c._close_sd_50),
         "percentile_in_52wk_range": lambda c: ratio(
             c.close - c._close_low_252, c._close_high_252 - c._close_low_252),
         "distance_from_52wk_high_pct": lambda c: pct(c.close, c._close_high_252),
@@ -271,15 +273,12 @@ def changed(name):
 
 @group("F064")
 def entropy_regime():
-    d = {"_close_20": lambda c: values(c.close, 20)}
-    for m in (3, 4, 5):
-        d[f"permutation_entropy_order{m}"] = (
-            lambda m: lambda c: K.apply(K.permutation(m), c._close_20))(m)
+    d = {f"permutation_entropy_order{m}": step("rolling_permutation", "close", n=20, order=m) for m in (3, 4, 5)}
     d |= {
         "entropy_trend_5d": slope("permutation_entropy_order4"),
-        "atr_regime_pct_60d": lambda c: rank_at_or_below(c.atr_pct, 60),
+        "atr_regime_pct_60d": step("rolling_rank_at_or_below", "_atr_percent", n=60),
         "atr_regime_rolling_q": lambda c: c.atr_regime_pct_60d + 0.0,
-        "trend_strength_pct_60d": lambda c: rank_at_or_below(c._adx, 60),
+        "trend_strength_pct_60d": step("rolling_rank_at_or_below", "_adx", n=60),
         "trend_strength_rolling_q": lambda c: c.trend_strength_pct_60d + 0.0,
         "vol_regime_state": lambda c: F.when(c.atr_regime_pct_60d > 0.7, 1)
         .when(c.atr_regime_pct_60d < 0.3, -1).otherwise(0),

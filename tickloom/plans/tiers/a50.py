@@ -54,11 +54,12 @@ def volume():
 @group("F020")
 def risk():
     d = {"_ret_capped": lambda c: F.least(c._ret, F.lit(0.0) + 0 * c._ret)}
+    d |= {"_ret_mean_20": lambda c: mean(c._ret, 20), "_ret_sd_20": lambda c: sd(c._ret, 20),
+          "_capped_sd_20": lambda c: sd(c._ret_capped, 20), "_ret_mean_60": step("rolling_mean", "_ret", n=60),
+          "_ret_sd_60": step("rolling_sd", "_ret", n=60), "_capped_sd_60": step("rolling_sd", "_ret_capped", n=60)}
     for n in (20, 60):
-        d[f"sharpe_{n}d"] = (lambda n: lambda c: or_else(
-            ratio(mean(c._ret, n), sd(c._ret, n)) * YEAR, 0.0))(n)
-        d[f"sortino_{n}d"] = (lambda n: lambda c: or_else(
-            ratio(mean(c._ret, n), sd(c._ret_capped, n)) * YEAR, 0.0))(n)
+        for name, spread in (("sharpe", "_ret_sd"), ("sortino", "_capped_sd")):
+            d[f"{name}_{n}d"] = (lambda n, s: lambda c: or_else(ratio(c[f"_ret_mean_{n}"], c[f"{s}_{n}"]) * YEAR, 0.0))(n, spread)
     return d
 
 

@@ -91,10 +91,10 @@ def regime3(x):
 def entropies():
     return {
         "_before_20": lambda c: values(c.close, 20, -1),
-        "_pe": lambda c: K.apply(K.permutation(4), c._before_20),
+        "_pe": step("rolling_permutation", "close", n=20, order=4, shift=1),
         "permutation_entropy_slope": slope("_pe"),
         "permutation_entropy_acceleration": slope("permutation_entropy_slope"),
-        "sample_entropy_20d": lambda c: K.apply(K.sample_entropy(), c._before_20),
+        "sample_entropy_20d": step("rolling_sample_entropy", "close", n=20, shift=1),
         "sample_entropy_slope": slope("sample_entropy_20d"),
         "sample_entropy_acceleration": slope("sample_entropy_slope"),
         "entropy_percentile_60d": lambda c: range_share(c._pe, 60),
@@ -126,7 +126,7 @@ def complexity():
 @group("F125")
 def approximate_entropy():
     return {
-        "approx_entropy_20d": lambda c: K.apply(K.approximate_entropy(), c._before_20),
+        "approx_entropy_20d": step("rolling_approximate_entropy", "close", n=20, shift=1),
         "approx_entropy_slope": slope("approx_entropy_20d"),
         "approx_entropy_percentile_60d": lambda c: range_share(c.approx_entropy_20d, 60),
         "approx_entropy_regime": lambda c: regime3(c.approx_entropy_percentile_60d),
@@ -158,10 +158,8 @@ def multiscale():
         return F.when(n >= 2, F.sqrt((dev[0] + dev[1] + dev[2]) / n))
 
     return {
-        "_before_5": lambda c: values(c.close, 5, -1),
-        "_before_10": lambda c: values(c.close, 10, -1),
-        "entropy_scale_5d": lambda c: K.apply(K.permutation(3), c._before_5),
-        "entropy_scale_10d": lambda c: K.apply(K.permutation(3), c._before_10),
+        "entropy_scale_5d": step("rolling_permutation", "close", n=5, order=3, shift=1),
+        "entropy_scale_10d": step("rolling_permutation", "close", n=10, order=3, shift=1),
         "entropy_scale_ratio_5_20": lambda c: clip(ratio(c.entropy_scale_5d, c._pe), 0.1, 10),
         "entropy_scale_ratio_10_20": lambda c: clip(ratio(c.entropy_scale_10d, c._pe), 0.1, 10),
         "entropy_scale_consistency": spread,
@@ -265,9 +263,8 @@ def hurst():
 @group("F133")
 def long_entropies():
     return {
-        "sample_entropy_30d": lambda c: K.apply(K.sample_entropy_standard(), c._before_30),
-        "approximate_entropy_30d": lambda c: K.apply(
-            K.approximate_entropy(floor=False), c._before_30),
+        "sample_entropy_30d": step("rolling_sample_entropy", "close", n=30, shift=1, standard=True),
+        "approximate_entropy_30d": step("rolling_approximate_entropy", "close", n=30, floor=False, shift=1),
         "entropy_atr_ratio": lambda c: c.sample_entropy_30d / (c._atr_share + 1e-10),
         "_se_low": lambda c: quantile(c.sample_entropy_30d, 50, 0.3),
         "_se_high": lambda c: quantile(c.sample_entropy_30d, 50, 0.7),

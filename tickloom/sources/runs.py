@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -102,12 +106,39 @@ def align_log(rows: DataFrame) -> DataFrame:
     return rows.select(*out)
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    align_log(rows).write.mode("append").option("header", True).option("escape", '"').csv(path)
+COMMIT = "batch string, folder string"
+
+
+def committed(spark: SparkSession, path: str) -> dict[str, str]:
+    """The folder of each committed batch: one small record a batch."""
+    try:
+        records = spark.read.schema(COMMIT).json(f"{path}/commits")
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return {}
+    return {r.batch: r.folder for r in records.collect()}
+
+
+def append_log(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """Appends a batch once, however often it is tried.  An attempt writes to a folder of
+    its own; the batch counts when its record, which names that folder, is written.  A
+    batch that has a record is left alone, and an attempt without one is never read."""
+    spark, batch = rows.sparkSession, batch or uuid.uuid4().hex
+    if batch in committed(spark, path):
+        return
+    folder = f"data/{uuid.uuid4().hex}"
+    align_log(rows).write.option("header", True).option("escape", '"').csv(f"{path}/{folder}")
+    # one place for the record of a batch: of two attempts at once the later one holds
+    place = hashlib.sha256(batch.encode()).hexdigest()
+    spark.createDataFrame([(batch, folder)], COMMIT).coalesce(1).write.mode("overwrite").json(f"{path}/commits/record={place}")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.schema(LOG_SCHEMA).option("header", True).option("escape", '"').csv(path)
+    """The rows of all committed batches."""
+    folders = [f"{path}/{f}" for f in sorted(committed(spark, path).values())]
+    df = spark.read.schema(LOG_SCHEMA).option("header", True).option("escape", '"').csv(folders) if folders \
+        else spark.createDataFrame([], LOG_SCHEMA)
     return df.withColumn("hyperparameters", F.from_json("hyperparameters", "map<string,double>"))
 
 
