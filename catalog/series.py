@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.inputs import daily_bars, index_bars, rounded, second_series, table
+from catalog.inputs import daily_bars, rounded, second_series, table
 from tickloom.functions import frames as W
 from tickloom.functions.long_scan import scan_long
 from tickloom.operators import align, bars, labels, samples
@@ -346,7 +346,7 @@ def queries() -> dict:
 
     @reg("G14_cluster_regime")
     def _(spark, sf):
-        f = samples.cluster_features(index_bars(spark, sf), 20)
+        f = samples.cluster_features(_bars(spark, sf), 20)
         return rounded(samples.cluster_regime(f), 4)
 
     @reg("G14_cluster_features")

@@ -275,6 +275,17 @@ def oracle_sql() -> dict[str, str]:
                                       where="WHERE rn >= 30")
     o["G14_cluster_features"] = Q().add(m=av("close", 20), s=sp("close", 20), k=f"regr_slope(close, rn) {ov(20)}").out(
         {"mean": "m", "sd": "s", "slope": "k"}, where="WHERE rn >= 20")
+    q = Q().add(mean=av("close", 20), sd=sp("close", 20), slope=f"regr_slope(close, rn) {ov(20)}")
+    near = "SELECT key, ts, f.mean, f.sd, f.slope, arg_min(i, {{'d': pow(f.mean - c.mean, 2) + pow(f.sd - c.sd, 2) + pow(f.slope - c.slope, 2), 'i': i}}) AS i FROM f, c{0} c GROUP BY ALL"
+    ctes = [*q.ctes, f"f AS MATERIALIZED (SELECT key, ts, mean, sd, slope FROM {q.cur} WHERE rn >= 20)",
+            "c0 AS MATERIALIZED (SELECT i, quantile_cont(mean, 0.5 / 3) AS mean, avg(sd) AS sd, avg(slope) AS slope FROM f, (SELECT 0 AS i) GROUP BY i "
+            "UNION ALL SELECT 1, quantile_cont(mean, 0.5), avg(sd), avg(slope) FROM f UNION ALL SELECT 2, quantile_cont(mean, 2.5 / 3), avg(sd), avg(slope) FROM f)"]
+    for r in range(20):
+        ctes.append(f"c{r + 1} AS MATERIALIZED (SELECT c.i, coalesce(m.mean, c.mean) AS mean, coalesce(m.sd, c.sd) AS sd, coalesce(m.slope, c.slope) AS slope FROM c{r} c "
+                    f"LEFT JOIN (SELECT i, avg(mean) AS mean, avg(sd) AS sd, avg(slope) AS slope FROM ({near.format(r)}) GROUP BY i) m ON m.i = c.i)")
+    ctes.append("c21 AS (SELECT row_number() OVER (ORDER BY mean) - 1 AS i, mean, sd, slope FROM c20)")
+    o["G14_cluster_regime"] = (f"WITH RECURSIVE {', '.join(ctes)} SELECT key, CAST(ts AS VARCHAR) AS ts, {rnd('mean', 4)} AS mean, {rnd('sd', 4)} AS sd, "
+                               f"{rnd('slope', 4)} AS slope, CAST(i AS BIGINT) AS regime FROM ({near.format(21)})")
     o["G15_regime_weights"] = Q().add(g=gap).add(rg=reg).out(
         {"gap": "g", "weight": "CASE rg WHEN 0 THEN 2.0 WHEN 2 THEN 0.5 ELSE 1.0 END"}, {"regime": "rg"})
     return o

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import frames as W
 from tickloom.functions.hashing import digest, normal, uniform
+from tickloom.functions.ranking import quantiles
+from tickloom.sources.tables import stored
 
 ID = ("key", "ts")
 
@@ -187,16 +189,39 @@ def cluster_features(bars: DataFrame, context: int, column: str = "close") -> Da
         .filter(F.col("_n") >= context).drop("_n")
 
 
-def cluster_regime(features: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
-    """k-means over mean, sigma and slope; regimes are numbered by mean."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    data = VectorAssembler(inputCols=["mean", "sd", "slope"], outputCol="features").transform(features)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="_c").fit(data)
-    order = np.argsort([c[0] for c in model.clusterCenters()])
-    names = F.create_map(*[F.lit(int(v)) for pair in ((c, i) for i, c in enumerate(order)) for v in pair])
-    return model.transform(data).withColumn("regime", names[F.col("_c")]).drop("features", "_c")
+def _nearest(centres: list[tuple[float, ...]], names: tuple[str, ...]) -> Column:
+    """The index of the nearest centre; of equal distances the first."""
+    each = [F.struct(sum((F.pow(F.col(n) - float(v), 2) for n, v in zip(names, c)), F.lit(0.0)).alias("d"), F.lit(i).alias("i"))
+            for i, c in enumerate(centres)]
+    return F.least(*each)["i"]
+
+
+def cluster_regime(features: DataFrame, k: int = 3, rounds: int = 20) -> DataFrame:
+    """k-means over mean, sigma and slope; regimes are numbered by mean.
+
+    Deterministic: the first centres have the k middle quantiles of the mean and the
+    average sigma and slope; a round is one aggregate, which gives the driver k centres,
+    and rounds end when none moves.  A centre without rows stays where it is."""
+    names = ("mean", "sd", "slope")
+    rows = stored(features)
+    known = rows.dropna(subset=list(names))
+    probs = {f"p{i}": (2 * i + 1) / (2 * k) for i in range(k)}
+    start = quantiles(known, [], "mean", probs).first()
+    if start is None or start["p0"] is None:
+        return rows.withColumn("regime", F.lit(None).cast("int"))
+    rest = known.agg(F.avg("sd").alias("sd"), F.avg("slope").alias("slope")).first()
+    centres = [(start[f"p{i}"], rest["sd"], rest["slope"]) for i in range(k)]
+    for _ in range(rounds):
+        got = known.groupBy(_nearest(centres, names).alias("c")).agg(*[F.avg(n).alias(n) for n in names]).collect()
+        moved = list(centres)
+        for r in got:
+            moved[r["c"]] = tuple(r[n] for n in names)
+        if moved == centres:
+            break
+        centres = moved
+    centres.sort()
+    complete = F.col("mean").isNotNull() & F.col("sd").isNotNull() & F.col("slope").isNotNull()
+    return rows.withColumn("regime", F.when(complete, _nearest(centres, names)))
 
 
 def regime_weights(regimes: DataFrame, weights: dict[int, float]) -> DataFrame:
