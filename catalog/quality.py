@@ -176,12 +176,12 @@ def queries() -> dict:
             V.fingerprint(c.select("c_custkey", "c_mktsegment")).withColumn("path", F.lit("/data/customer")))
         return out, now
     keyed = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
-    moved = F.when(F.col("o_orderkey") % 997 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
+    moved = "CASE WHEN o_orderkey % 997 = 0 THEN o_custkey + 1 ELSE o_custkey END"
     reg("V14_leaves")(lambda s, sf: V.content_leaves(table(s, sf, "orders").select(*keyed), ["o_orderkey"]))
     reg("V14_root")(lambda s, sf: V.content_root(V.content_leaves(table(s, sf, "orders").select(*keyed), ["o_orderkey"])))
     reg("V14_changed_buckets")(lambda s, sf: V.changed_buckets(
         V.content_leaves(table(s, sf, "orders").select(*keyed), ["o_orderkey"]),
-        V.content_leaves(table(s, sf, "orders").withColumn("o_custkey", moved).select(*keyed), ["o_orderkey"])))
+        V.content_leaves(table(s, sf, "orders").withColumn("o_custkey", F.expr(moved)).select(*keyed), ["o_orderkey"])))
     reg("V14_registry")(lambda s, sf: registry(s, sf)[0].drop("sources"))
     reg("V14_latest")(lambda s, sf: V.latest_entries(registry(s, sf)[0]).drop("sources"))
     reg("V14_verify")(lambda s, sf: V.verify(*registry(s, sf)))
