@@ -1,6 +1,10 @@
 """Registered queries against DuckDB on the smallest tables (a sample of them;
 ``compare.py`` runs all)."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -26,6 +30,11 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_registration_needs_no_session():
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(); e.oracle_sql()"], cwd=root, check=True, timeout=120)
+
+
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
