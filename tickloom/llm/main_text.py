@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,8 +62,14 @@ ABOUT = ("has-", "with-", "no-", "is-")
 LAYOUT = frozenset("nav navbar navigation menu sidebar side aside header masthead topbar footer banner toolbar".split())
 PARTS, PARTS_IN_CONTENT = (re.compile(rf"(?:^|[_-])(?:{'|'.join(n)})(?:$|[_-])") for n in (NAMES + HEADERS, NAMES))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
-                   r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Words that say how a part is laid out, and not what it holds.
+GENERIC = frozenset("area bar block box button buttons cell col column container content form group holder icon icons inner "
+                    "item items link links list main outer page panel post posts row section site slot stories text title "
+                    "top bottom left right unit user wrap wrapper".split())
+#: A quote opens a value only after "="; any other one is a character of the tag.  No part
+#: gives back what it has taken, so broken tags cost linear time.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|"
+                   r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?|[\"'])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -84,10 +91,16 @@ def _unwanted(name: str, attributes: str, in_content: bool) -> int:
                     if one in ITEMS:
                         return BARRED
                 elif parts.search(one) and not one.startswith(ABOUT):
-                    named = ALL_NAMES.intersection(re.split("[_-]", one))
-                    if in_content or one in named or not named <= LAYOUT:
+                    words = set(re.split("[_-]", one))
+                    named = ALL_NAMES & words
+                    if in_content:
+                        # "share-price" and "side-by-side" are content, "share-box" is not
+                        if all(w in ALL_NAMES or w in GENERIC or not w.isalpha() for w in words):
+                            return BARRED
+                    elif one in named or not named <= LAYOUT:
                         return BARRED
-                    out = WRAPPER
+                    else:
+                        out = WRAPPER
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return BARRED
         if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
@@ -120,6 +133,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     pieces: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements, and the kind of text inside
+    opened: Counter[str] = Counter()  # how many of a name are on the stack
     kind, at, skip = UNDECIDED, 0, ""
 
     def close() -> None:
@@ -142,15 +156,16 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if name not in INLINE:
             close()
         if token[1]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[i][0] == name:
-                    if name in INLINE and any(n not in INLINE for n, _ in stack[i + 1:]):
-                        break  # an inline end does not close the blocks inside it
                     if name in INLINE and stack[i][1] != kind:
                         close()
+                    opened.subtract(n for n, _ in stack[i:])
                     del stack[i:]
                     kind = stack[-1][1] if stack else UNDECIDED
                     break
+                if name in INLINE and stack[i][0] not in INLINE:
+                    break  # an inline end does not close the blocks inside it
             continue
         if name in VOID or token[3].endswith("/") and name not in OUTSIDE:
             continue
@@ -162,6 +177,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if inside != kind:
             close()
         stack.append((name, inside))
+        opened[name] += 1
         kind = inside
     if at < len(page):
         pieces.append(page[at:])
