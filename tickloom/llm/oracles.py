@@ -19,7 +19,8 @@ def mix() -> str:
                 f"ELSE CASE WHEN share * 0.875 >= 0.25 THEN {at(0.25, 0.5, 0.5, 1.5, 0.875)} "
                 f"ELSE {at(0.0, 0.0, 0.5, 0.0, 0.875)} END END")
     return f"""
-WITH sized AS (SELECT doc_id, source, CAST(len({_words("text")}) AS BIGINT) AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, CAST(len({_words("text")}) AS BIGINT) AS size,
+  CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS mark FROM documents),
 whole AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 turned AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) AS turn FROM whole),
 weighted AS (SELECT *, [5, 2, 1][turn + 1] AS weight, 3 * source_size AS cap,
@@ -30,8 +31,8 @@ levels AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORD
 chosen AS (SELECT place AS first_place, level AS first_level FROM levels WHERE level <= ratio ORDER BY place LIMIT 1),
 goal AS (SELECT source, source_size, turn, CASE WHEN place < first_place THEN CAST(cap AS DOUBLE) ELSE first_level * CAST(weight AS DOUBLE) END AS target
   FROM levels LEFT JOIN chosen ON true),
-hashed AS (SELECT *, CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '-')), 1, 15) AS BIGINT) AS h FROM sized),
-placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM hashed),
+hashed AS (SELECT *, CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '-' || mark)), 1, 15) AS BIGINT) AS h FROM sized),
+placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size, mark ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM hashed),
 passes AS (SELECT p.doc_id, p.size, g.source_size, g.target, g.turn, floor(g.target + 0.5) AS words, k, k * g.source_size + p.c AS start
   FROM placed p JOIN goal g ON p.source IS NOT DISTINCT FROM g.source CROSS JOIN (SELECT unnest([0, 1, 2]) AS k)),
 cut AS (SELECT *, greatest(least(words - start, size), 0) AS taken FROM passes),

@@ -1,6 +1,7 @@
 """Seeded order of rows, and exact running totals without one big window.
 
-A row's hash is the first 60 bits of an MD5 of seed and doc_id.  Rows are dealt into
+A row's hash is the first 60 bits of an MD5 of seed and doc_id; a row without doc_id
+has that of its content, so such rows are spread as others are.  Rows are dealt into
 BUCKETS ranges of the hash; totals per bucket are a small aggregate, and only the
 rows of one bucket meet in a window."""
 
@@ -13,11 +14,21 @@ BUCKETS = 4096
 HASH_BITS = 60
 
 
-def seeded(seed: int, key: str = "doc_id") -> Column:
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("-"))))
+def _bits(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+def content_mark(text: str = "text") -> Column:
+    """60 bits of a text, which order rows that share a doc_id."""
+    return _bits(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+
+
+def seeded(seed: int, key: str = "doc_id", content: Column | None = None) -> Column:
+    """The hash of a row by its key, or by `content` where that is null."""
+    other = F.lit("-") if content is None else F.concat(F.lit("-"), content.cast("string"))
+    return _bits(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), other))))
+
+
 def bucket_of(hashed: str) -> Column:
     return F.expr(f"cast({hashed} div {(1 << HASH_BITS) // BUCKETS} as int)")
 
