@@ -25,7 +25,9 @@ Two texts link when 4 * |A and B| >= 3 * |A or B| over their sets of distinct
 
 A document whose text is null or blank has an empty set and links with nothing.
 Rows with a null doc_id get component null.  Rows that share a doc_id share a
-component.  Other columns are ignored by `link` and kept by `keep_one`."""
+component, and each of their texts keeps its links: where a doc_id has several sets, texts
+are named by hashes for the search, and the components of a doc_id's texts are joined
+afterwards.  Other columns are ignored by `link` and kept by `keep_one`."""
 
 from __future__ import annotations
 
@@ -252,6 +254,43 @@ def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row, and node: the least doc_id with
     the same set."""
     first = stored(first_pass(docs))
+    mark = F.struct("mark1", "mark2", "n")
+    several = first.filter("block is null and doc_id is not null").groupBy("doc_id").agg(
+        F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low <> high")
+    return _linked(docs, first) if several.isEmpty() else _linked_by_text(docs)
+
+
+def _linked_by_text(docs: DataFrame) -> DataFrame:
+    """`link` where a doc_id may have several texts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kinds = rows.filter("doc_id is not null").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("t")).distinct()
+    salt = 0
+    while True:  # until no two texts share a name, as good as always at once
+        name = F.xxhash64(F.lit(salt), "doc_id", "t")
+        n, names = kinds.agg(F.count(F.lit(1)), F.count_distinct(name)).first()
+        if n == names:
+            break
+        salt += 1
+    named = rows.withColumn("t", F.md5(F.coalesce("text", F.lit("")))).select(
+        "doc_id", F.when(F.col("doc_id").isNotNull(), name).alias("own"), "text")
+    alone = named.select(F.col("own").alias("doc_id"), "text")
+    got = stored(_linked(alone, stored(first_pass(alone))))
+    each = got.filter("doc_id is not null").dropDuplicates(["doc_id"]).withColumnsRenamed(
+        {"doc_id": "own", "component_id": "part", "node": "same"})
+    each = stored(named.select("doc_id", "own").join(each, "own"))
+    least = each.groupBy("doc_id").agg(F.min("part").alias("b"))
+    roots = components(each.select("doc_id", F.col("part").alias("a")).join(least, "doc_id").select("a", "b")).toDF("part", "root")
+    each = each.join(roots, "part", "left").withColumn("root", F.coalesce("root", "part"))
+    whole = each.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    equal = each.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("node"))
+    out = each.join(whole, "root").join(equal, "same", "left").select("doc_id", "n_shingles", "component_id", "node")
+    none = F.lit(None).cast("long")
+    return out.unionByName(got.filter("doc_id is null").select(
+        "doc_id", "n_shingles", none.alias("component_id"), none.alias("node")))
+
+
+def _linked(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """`link` of documents whose doc_id tells their sets apart, after the first pass."""
     marks = first.filter("block is null").select("doc_id", "n", "mark1", "mark2")
     classes = stored(marks.filter("doc_id is not null and n > 0").groupBy("mark1", "mark2", "n").agg(
         F.min("doc_id").alias("node")))
