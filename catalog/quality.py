@@ -9,6 +9,7 @@ from catalog.inputs import daily_bars, predictions, rounded, table
 from tickloom.functions import frames as W
 from tickloom.operators import evaluate as E
 from tickloom.operators import labels, quality as Q, validate as V
+from tickloom.operators.information import neighbour_information
 from tickloom.plans.features import feature_table
 
 COLS = ["ret", "gap", "body", "span", "volume", "dist"]
@@ -25,6 +26,11 @@ def rows(spark, sf) -> DataFrame:
         labels.high_label(1, 0.05).alias("y")).dropna()
 
 
+def gaps(spark, sf) -> DataFrame:
+    """The same with values missing in other rows of each column."""
+    return rows(spark, sf).withColumns({c: F.when(F.col("key") % (i + 3) != 0, F.col(c)) for i, c in enumerate(COLS)})
+
+
 def feature_metrics(spark, sf) -> DataFrame:
     """A metrics table with a stability and a drop column."""
     m = Q.metrics_table(rows(spark, sf), COLS, "y")
@@ -73,6 +79,15 @@ def _model(spark, sf):
     return r, pipe.fit(r)
 
 
+#: A logistic model with given weights.
+WEIGHTS = {"ret": -2.0, "gap": 1.5, "body": 1.0, "span": 8.0, "dist": -3.0}
+
+
+def fixed_logit(df: DataFrame):
+    z = sum((F.col(c) * w for c, w in WEIGHTS.items()), F.lit(-0.2))
+    return F.round(1 / (1 + F.exp(-z)), 9)
+
+
 LIMITS = {"rsi_daily": (0, 100), "stoch_k_14": (0, 100), "williams_r_14": (-100, 0), "bb_percent_b": (-0.1, 1.1)}
 RULES = {"positive_atr": "atr_14 > 0", "percent_b_plausible": "bb_percent_b between -2 and 2",
          "rsi_bounded": "rsi_daily between 0 and 100"}
@@ -102,8 +117,9 @@ def queries() -> dict:
     reg("Q03_mutual_information")(lambda s, sf: Q.mutual_information(rows(s, sf), COLS, "y"))
     reg("Q04_redundancy")(lambda s, sf: Q.redundancy(rows(s, sf), COLS))
     reg("Q05_max_redundancy")(lambda s, sf: Q.max_redundancy(Q.redundancy(rows(s, sf), COLS)))
-    reg("Q04_redundancy_gaps")(lambda s, sf: Q.redundancy(rows(s, sf).withColumns(
-        {c: F.when(F.col("key") % (i + 3) != 0, F.col(c)) for i, c in enumerate(COLS)}), COLS))
+    reg("Q03_neighbour_information")(lambda s, sf: neighbour_information(rows(s, sf), COLS, "y"))
+    reg("Q03_neighbour_information_gaps", 5)(lambda s, sf: neighbour_information(gaps(s, sf), COLS, "y"))
+    reg("Q04_redundancy_gaps")(lambda s, sf: Q.redundancy(gaps(s, sf), COLS))
     reg("Q06_scaled")(lambda s, sf: Q.scaled_01(Q.target_correlation(rows(s, sf), COLS, "y"), ["correlation", "n"]))
     reg("Q07_combined_scores", 5)(lambda s, sf: Q.combined_scores(Q.metrics_table(rows(s, sf), COLS, "y")))
     reg("Q07_combined_scores_with_drop", 5)(lambda s, sf: Q.combined_scores(feature_metrics(s, sf)).select("feature", "combined_score"))
@@ -114,6 +130,10 @@ def queries() -> dict:
         r, model = _model(spark, sf)
         return Q.permutation_importance(model, r, COLS, ["key", "ts"], "y", "auc")
 
+    reg("Q08_importance_report_neighbours", 5)(lambda s, sf: Q.importance_report(rows(s, sf), COLS, "y", neighbour_information))
+    for metric in ("auc", "precision"):
+        reg(f"Q09_permutation_{metric}")(lambda s, sf, m=metric: Q.permutation_importance(
+            fixed_logit, rows(s, sf), COLS, ["key", "ts"], "y", m, repeats=3))
     reg("Q10_stability")(lambda s, sf: Q.stability(_by_part(s, sf)))
     reg("Q11_grades")(lambda s, sf: Q.assess(feature_metrics(s, sf)).select(
         "feature", *[f"{m}_grade" for m in Q.LIMITS]))

@@ -39,6 +39,49 @@ def mutual(cols=COLS, bins=10):
             f"sum(n) OVER (PARTITION BY feature, b)::DOUBLE AS nb, sum(n) OVER (PARTITION BY feature, y)::DOUBLE AS ny FROM (SELECT feature, b, y, count(*) AS n FROM ({b}) GROUP BY 1, 2, 3)) GROUP BY 1")
 
 
+def psi(n):
+    z = f"(CAST({n} AS DOUBLE) + 6)"
+    return (f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z} ** 2) + 1 / (120 * {z} ** 4) - 1 / (252 * {z} ** 6) - "
+            + " - ".join(f"1 / (CAST({n} AS DOUBLE) + {i})" for i in range(6)) + ")")
+
+
+def neighbours(cols=COLS, k=3, src="r"):
+    w = "(PARTITION BY feature, y ORDER BY g)"
+    near = ", ".join(f"abs({f}(g, {i}) OVER {w} - g)" for i in range(1, k + 1) for f in ("lag", "lead"))
+    return (f"WITH l AS (SELECT * FROM ({long(cols, src=src)}) QUALIFY count(*) OVER (PARTITION BY feature, y) > 1), "
+            f"e AS (SELECT feature, avg(x) AS mean, min(x) AS low, max(x) AS high FROM l GROUP BY 1), "
+            f"s AS (SELECT feature, y, coalesce(CAST(floor((coalesce(x, mean) - low) / nullif(high - low, 0) * {1 << 40} + 0.5) AS BIGINT), 0) AS g FROM l JOIN e USING (feature)), "
+            f"n AS (SELECT *, count(*) OVER (PARTITION BY feature, y) AS nl, list_sort(list_filter([{near}], lambda z: z IS NOT NULL)) AS near FROM s), "
+            f"d AS (SELECT *, CASE WHEN near[least({k}, nl - 1)] = 0 THEN count(*) OVER (PARTITION BY feature, y, g) ELSE least({k}, nl - 1) END AS kk, greatest(near[least({k}, nl - 1)] - 1, 0) AS w FROM n), "
+            f"m AS (SELECT *, count(*) OVER (PARTITION BY feature ORDER BY g RANGE BETWEEN w PRECEDING AND w FOLLOWING) AS m FROM d) "
+            f"SELECT feature, greatest({psi('count(*)')} + avg({psi('kk')} - {psi('nl')} - {psi('m')}), 0) AS mutual_information FROM m GROUP BY feature")
+
+
+def permuted(metric, cols=COLS, repeats=3, rounds=24, prime=2147483647):
+    """Positions are swapped with their mirror images, a subquery a round."""
+    def key(i, a, n):
+        return f"CAST('0x' || substr(md5('42:' || run_id || ':{i}'), {a}, {n}) AS BIGINT)"
+
+    runs = " UNION ALL ".join(f"SELECT '{c}' AS c, '{c}:{k}' AS run_id" for c in cols for k in range(repeats))
+    keys = ", ".join(f"{key(i, 1, 12)} % n AS k{i}, {key(i, 13, 10)} % {prime} AS a{i}, {key(i, 23, 10)} % {prime} AS b{i}" for i in range(rounds))
+    p = "SELECT run_id, c, pos, pos AS p, n FROM placed, runs"
+    for i in range(rounds):
+        p = (f"SELECT run_id, c, pos, CASE WHEN (((t % {prime} * a{i} + b{i}) % {prime}) * ((t % {prime} * a{i} + b{i}) % {prime}) + b{i}) % {prime} // 65536 % 2 = 1 "
+             f"THEN o ELSE p END AS p, n FROM (SELECT x.*, a{i}, b{i}, (k{i} - p + x.n) % x.n AS o, greatest(p, (k{i} - p + x.n) % x.n) AS t "
+             f"FROM ({p}) x JOIN keyed USING (run_id))")
+    weights = {"ret": -2.0, "gap": 1.5, "body": 1.0, "span": 8.0, "dist": -3.0}
+    mixed = ", ".join(f"CASE WHEN g.c = '{c}' THEN d.{c} ELSE h.{c} END AS {c}" for c in cols)
+    prob = f"round(1 / (1 + exp(-(-0.2 + {' + '.join(f'{c} * {w}' for c, w in weights.items())}))), 9)"
+    scored = f"SELECT run_id, label, {prob} AS prob FROM"
+    score = (lambda src: f"SELECT run_id, auc AS score FROM ({auc(src)})") if metric == "auc" else (
+        lambda src: f"SELECT run_id, precision AS score FROM ({rates(f'SELECT run_id, {counts(0.5)} FROM ({src}) GROUP BY 1')})")
+    after = score(f"{scored} (SELECT g.run_id, h.y AS label, {mixed} FROM given g JOIN placed h ON h.pos = g.p JOIN placed d ON d.pos = g.pos)")
+    return (f"WITH t AS (SELECT count(*) AS n FROM r), placed AS (SELECT r.*, n, row_number() OVER (ORDER BY key, ts) - 1 AS pos FROM r, t), "
+            f"runs AS ({runs}), keyed AS (SELECT run_id, {keys} FROM runs, t), given AS ({p}), "
+            f"b AS ({score(f'{scored} (SELECT *, 1 AS run_id, y AS label FROM r)')}) "
+            f"SELECT split_part(s.run_id, ':', 1) AS feature, avg(b.score - s.score) AS importance FROM ({after}) s, b GROUP BY 1")
+
+
 def redundancy(cols=COLS):
     return " UNION ALL ".join(f"SELECT '{a}' AS feature, '{b}' AS other, abs(corr({a}, {b})) AS correlation FROM r" for a in cols for b in cols)
 
@@ -47,9 +90,9 @@ def max_red(cols=COLS):
     return (f"SELECT feature, max(correlation) AS max_redundancy, arg_max(other, {{'c': correlation, 'o': other}}) AS most_similar FROM ({redundancy(cols)}) WHERE feature <> other GROUP BY 1")
 
 
-def metrics(cols=COLS):
+def metrics(cols=COLS, information=None):
     return (f"SELECT c.feature, c.correlation AS target_correlation, m.mutual_information, x.max_redundancy FROM ({spearman(cols)}) c "
-            f"JOIN ({mutual(cols)}) m ON m.feature = c.feature JOIN ({max_red(cols)}) x ON x.feature = c.feature")
+            f"JOIN ({information or mutual(cols)}) m ON m.feature = c.feature JOIN ({max_red(cols)}) x ON x.feature = c.feature")
 
 
 def s01(x):
@@ -133,6 +176,12 @@ def oracle_sql() -> dict[str, str]:
     o["Q03_mutual_information"] = final(mutual(), "feature", "mutual_information")
     o["Q04_redundancy"] = final(redundancy(), "feature other", "correlation")
     gaps = ", ".join(f"CASE WHEN key % {i + 3} <> 0 THEN {c} END AS {c}" for i, c in enumerate(COLS))
+    o["Q03_neighbour_information"] = final(neighbours(), "feature", "mutual_information")
+    o["Q03_neighbour_information_gaps"] = final(neighbours(src=f"(SELECT y, {gaps} FROM r)"), "feature", "mutual_information", digits=5)
+    o["Q08_importance_report_neighbours"] = final(combined(src=metrics(information=neighbours())), "feature",
+                                                  "target_correlation mutual_information max_redundancy combined_score", digits=5)
+    for m in ("auc", "precision"):
+        o[f"Q09_permutation_{m}"] = final(permuted(m), "feature", "importance")
     o["Q04_redundancy_gaps"] = final(redundancy().replace("FROM r", f"FROM (SELECT {gaps} FROM r)"), "feature other", "correlation")
     o["Q05_max_redundancy"] = final(max_red(), "feature most_similar", "max_redundancy")
     o["Q06_scaled"] = final(f"SELECT *, {s01('correlation')} AS correlation_01, {s01('n')} AS n_01 FROM ({pearson()})", "feature", "correlation correlation_01 n_01", "n")

@@ -6,12 +6,14 @@ of rows; ranks come from functions/ranking.py."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.hashing import uniform
-from tickloom.functions.ranking import row_positions, value_ranks
+from tickloom.functions.ranking import value_ranks
+from tickloom.functions.totals import running_totals
 from tickloom.sources.tables import stored
 
 # fixed grade limits: (pass, marginal)
@@ -86,7 +88,7 @@ def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int
     """Mutual information in nats with the target, over equal-count bins of x.
 
     A value's bin follows from the number of smaller values, so equal values
-    share a bin.  This is a histogram estimate, not a neighbour estimate."""
+    share a bin.  The neighbour estimate is in operators/information.py."""
     long = unpivot(df, columns, target)
     r = value_ranks(long, ["feature"], "x").select(
         "feature", "x", F.floor(F.col("below") * bins / F.col("total")).alias("bin"))
@@ -192,26 +194,51 @@ def combined_scores(metrics: DataFrame) -> DataFrame:
     return m.select(*metrics.columns, score.alias("combined_score"))
 
 
-def metrics_table(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """Target correlation (ranks), mutual information and redundancy per feature."""
+def metrics_table(df: DataFrame, columns: list[str], target: str, information=mutual_information) -> DataFrame:
+    """Target correlation (ranks), mutual information and redundancy per feature;
+    `information` is the estimate, by bins or operators/information.py by neighbours."""
     c = rank_correlation(df, columns, target).select("feature", F.col("correlation").alias("target_correlation"))
-    return c.join(mutual_information(df, columns, target), "feature").join(
+    return c.join(information(df, columns, target), "feature").join(
         max_redundancy(redundancy(df, columns)).select("feature", "max_redundancy"), "feature")
 
 
-def importance_report(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    return combined_scores(metrics_table(df, columns, target)).orderBy(F.col("combined_score").desc(), "feature")
+def importance_report(df: DataFrame, columns: list[str], target: str, information=mutual_information) -> DataFrame:
+    return combined_scores(metrics_table(df, columns, target, information)).orderBy(F.col("combined_score").desc(), "feature")
 
 
 # --- model based ---------------------------------------------------------------------
 
+#: Rounds of a shuffle of positions, and the modulus of its coins.
+ROUNDS, PRIME = 24, 2_147_483_647
+KEYS = "array<struct<mirror:long,a:long,b:long>>"
+
+
+def shuffle_keys(seed, run: str, n: int) -> list[tuple[int, int, int]]:
+    """The keys of a run's rounds: a mirror position and the two numbers of its coin."""
+    digests = (hashlib.md5(f"{seed}:{run}:{i}".encode()).hexdigest() for i in range(ROUNDS))
+    return [(int(d[:12], 16) % n, int(d[12:22], 16) % PRIME, int(d[22:], 16) % PRIME) for d in digests]
+
+
+def shuffled(position: Column, n: int, keys: Column) -> Column:
+    """A bijection of 0..n-1.  Each round pairs every position with its mirror image and
+    swaps the pair if a coin of the larger of the two says so."""
+    def step(p: Column, key: Column) -> Column:
+        other = F.pmod(key["mirror"] - p, F.lit(n))
+        x = (F.greatest(p, other) % PRIME * key["a"] + key["b"]) % PRIME
+        x = (x * x + key["b"]) % PRIME
+        return F.when(F.shiftright(x, 16) % 2 == 1, other).otherwise(p)
+
+    return F.aggregate(keys, position.cast("long"), step)
+
+
 def permutation_importance(model, df: DataFrame, columns: list[str], row_id: list[str], target: str,
                            metric: str = "precision", repeats: int = 5, seed: int = 42) -> DataFrame:
     """Mean drop of the metric when one feature is shuffled over all rows.
 
-    Rows get two random orders by hashes of their identity; a row takes the value of
-    the row that stands at its place in the other order.  Positions come from counts
-    per digit (functions/ranking.py), so no task holds a whole order."""
+    `model` is a fitted model with a probability column, or a function of a table that
+    gives the column of the probability.  Rows get one position by their identity; a
+    keyed bijection of the positions says which row gives its value to which, for every
+    feature and repeat.  Only those values are shuffled per run, and the table once."""
     from pyspark.ml.functions import vector_to_array
 
     from tickloom.operators import evaluate as E
@@ -220,21 +247,23 @@ def permutation_importance(model, df: DataFrame, columns: list[str], row_id: lis
         raise ValueError("metric must be precision or auc")
 
     def score(rows: DataFrame, by: str) -> DataFrame:
-        p = model.transform(rows).select(F.col(by).alias("run_id"), F.col(target).alias("label"),
-                                         vector_to_array("probability")[1].alias("prob"))
+        if callable(getattr(model, "transform", None)):
+            rows, prob = model.transform(rows), vector_to_array("probability")[1]
+        else:
+            prob = model(rows)
+        p = rows.select(F.col(by).alias("run_id"), F.col(target).alias("label"), prob.alias("prob"))
         if metric == "auc":
             return E.roc_auc(p).select("run_id", F.col("auc").alias("score"))
         return E.with_rates(E.confusion(p)).select("run_id", F.col("precision").alias("score"))
 
-    runs = F.explode(F.array(*[F.struct(F.lit(f"{c}:{k}").alias("_run"), F.lit(c).alias("_c"))
-                               for c in columns for k in range(repeats)]))
-    ids = [F.col(i) for i in row_id]
-    rows = df.withColumn("_e", runs).select("*", "_e.*").drop("_e").withColumn("_tie", F.xxhash64(*row_id))
-    own = row_positions(rows.withColumn("_u", uniform(seed, F.col("_run"), *ids)), ["_run"], "_u", "_tie", "_r")
+    placed = stored(running_totals(df, [], [F.col(i) for i in row_id], {"_at": F.lit(1)}))
+    n = placed.count()
+    runs = [(f"{c}:{k}", c, shuffle_keys(seed, f"{c}:{k}", n)) for c in columns for k in range(repeats)] if n else []
+    # one row per column and repeat
+    runs = F.broadcast(df.sparkSession.createDataFrame(runs, f"_run string, _c string, _keys {KEYS}"))
     value = F.coalesce(*[F.when(F.col("_c") == c, F.col(c).cast("double")) for c in columns])
-    mixed = rows.select("_run", "_tie", value.alias("_x"), uniform(f"{seed}m", F.col("_run"), *ids).alias("_u"))
-    mixed = row_positions(mixed, ["_run"], "_u", "_tie", "_r").select("_run", "_r", "_x")
-    rows = own.join(mixed, ["_run", "_r"]).withColumns(
+    given = placed.select("_at", *columns).join(runs).select("_run", "_c", value.alias("_x"), shuffled(F.col("_at"), max(n, 1), F.col("_keys")).alias("_at"))
+    rows = placed.join(given, "_at").withColumns(
         {c: F.when(F.col("_c") == c, F.col("_x")).otherwise(F.col(c)) for c in columns})
     baseline = score(df.withColumn("_run", F.lit("all")), "_run").select(F.col("score").alias("baseline"))
     got = score(rows, "_run").join(F.broadcast(baseline))       # one row
