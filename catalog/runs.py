@@ -74,6 +74,12 @@ def _folder(spark, name):
     return os.path.join(tables.shared_folder(spark), f"tickloom-{name}-{uuid.uuid4().hex[:12]}")
 
 
+def _four_metrics(trials: DataFrame) -> DataFrame:
+    """Trials with accuracy and F1, too."""
+    p, r = F.col("precision"), F.col("recall")
+    return trials.withColumns({"accuracy": F.col("trial_number") % 101 / 100.0, "f1": F.try_divide(2 * p * r, p + r)})
+
+
 def queries() -> dict:
     q = {}
 
@@ -111,8 +117,8 @@ def queries() -> dict:
     on("T15_metric_distributions", lambda t: T.metric_distributions(t, ["auc", "precision", "recall"]))
     on("T16_parameter_correlations", lambda t: T.parameter_correlations(t, list(T.PARAMS)))
     on("T16_category_means", lambda t: T.category_means(t, "tier"))
-    on("T17_suspicious_counts", T.suspicious_counts)
-    on("T17_suspicious_trials", T.suspicious_trials)
+    on("T17_suspicious_counts", lambda t: T.suspicious_counts(_four_metrics(t)))
+    on("T17_suspicious_trials", lambda t: T.suspicious_trials(_four_metrics(t)))
     on("T18_value_frequencies", T.value_frequencies)
     on("T19_repeated_configurations", lambda t: T.repeated_configurations(t).select("study", "n", "best_value"))
     on("T19_wasted_trials", T.wasted_trials)

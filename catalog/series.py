@@ -215,25 +215,33 @@ def queries() -> dict:
         s = _sample_rows(spark, sf)
         return _spread(s.withColumn("x", labels.instance_normalise(F.col("x"))))
 
+    @reg("D08_instance_denormalised")
+    def _(spark, sf):
+        """Predictions a tenth above the normalised values, in units of the sample."""
+        s = _sample_rows(spark, sf)
+        m, sd = labels.instance_statistics(F.col("x"))
+        s = s.withColumn("z", F.transform(labels.instance_normalise(F.col("x"), scale=2.0, shift=0.5), lambda v: v + 0.1))
+        return _spread(s.withColumn("x", labels.instance_denormalise(F.col("z"), m, sd, scale=2.0, shift=0.5)).drop("z"))
+
     def split_out(df):
         return rounded(df.select("key", "ts", "start", "split"))
 
     @reg("D09_chunk_split")
     def _(spark, sf):
-        return split_out(labels.chunk_split(_bars(spark, sf), 15, 5))
+        return split_out(labels.chunk_split(_bars(spark, sf), 15, 5, mode="contiguous"))
 
     @reg("D10_chunk_split_scattered")
     def _(spark, sf):
-        return split_out(labels.chunk_split(_bars(spark, sf), 15, 5, mode="scattered"))
+        return split_out(labels.chunk_split(_bars(spark, sf), 15, 5))
 
     @reg("D11_train_starts")
     def _(spark, sf):
-        s = labels.chunk_split(_bars(spark, sf), 30, 5, 0.2, 0.1).filter("split = 'train'")
+        s = labels.chunk_split(_bars(spark, sf), 30, 5, 0.2, 0.1, "contiguous").filter("split = 'train'")
         return split_out(s)
 
     @reg("D12_train_subset")
     def _(spark, sf):
-        s = labels.chunk_split(_bars(spark, sf), 15, 5)
+        s = labels.chunk_split(_bars(spark, sf), 15, 5, mode="contiguous")
         return split_out(labels.subset_of_train(s, 0.3))
 
     @reg("D13_date_split")
@@ -283,7 +291,7 @@ def queries() -> dict:
 
     @reg("D21_split_statistics")
     def _(spark, sf):
-        s = labels.chunk_split(_bars(spark, sf).withColumn("label", labels.high_label(5, 0.2)), 15, 5)
+        s = labels.chunk_split(_bars(spark, sf).withColumn("label", labels.high_label(5, 0.2)), 15, 5, mode="contiguous")
         return rounded(labels.split_statistics(s))
 
     # --- samples --------------------------------------------------------------------
@@ -295,6 +303,13 @@ def queries() -> dict:
     def _(spark, sf):
         return _spread(samples.scale(_sample_rows(spark, sf)))
 
+    @reg("G02_scale_features")
+    def _(spark, sf):
+        """Two features of a sample, each with its own factor, added up."""
+        s = _sample_rows(spark, sf).withColumn("z", F.transform("x", lambda v: v * 2))
+        s = samples.scale_features(s, ["x", "z"])
+        return _spread(s.withColumn("x", F.zip_with("x", "z", lambda a, b: a + b)).drop("z"))
+
     @reg("G03_mixup")
     def _(spark, sf):
         return _spread(samples.mixup(_sample_rows(spark, sf)), ["label", "lam"])

@@ -83,14 +83,18 @@ def oracle_sql() -> dict[str, str]:
         "metric", "mean std min max q25 median q75")
     o["T16_parameter_correlations"] = out(f"SELECT param, coalesce(corr(value, coalesce(auc, 0)), 0) AS correlation FROM ({long(PARAMS, DONE)}) GROUP BY 1", "param", "correlation")
     o["T16_category_means"] = out(f"SELECT tier, avg(coalesce(auc, 0)) AS mean_auc, count(*) AS n FROM ({DONE}) GROUP BY 1", "tier", "mean_auc", "n")
-    rules = {"high_recall_low_precision": "recall > 0.95 AND precision < 0.25", "perfect_metrics": "(precision = 1 OR recall = 1)",
+    rules = {"high_recall_low_precision": "recall > 0.95 AND precision < 0.25",
              "degenerate_auc": "abs(coalesce(auc, 0) - 0.5) < 0.02", "below_baseline": "coalesce(auc, 0) < 0.55"}
-    cnt = ", ".join(f"count(*) FILTER (WHERE {r}) AS {n}" for n, r in rules.items())
+    perfect = {"accuracy": "trial_number % 101 = 100", "precision": "precision = 1", "recall": "recall = 1",
+               "f1": "2 * precision * recall / nullif(precision + recall, 0) = 1"}
+    cnt = ", ".join([*(f"count(*) FILTER (WHERE {r}) AS {n}" for n, r in rules.items()),
+                     " + ".join(f"count(*) FILTER (WHERE {r})" for r in perfect.values()) + " AS perfect_metrics"])
     o["T17_suspicious_counts"] = out(
         f"SELECT *, CASE n_issues WHEN 0 THEN 'VALID' WHEN 1 THEN 'PARTIAL' ELSE 'QUESTIONABLE' END AS validity FROM (SELECT *, CAST(collapse_rate > 0.3 AS INT) + CAST(high_recall_low_precision > n_trials * 0.5 AS INT) + "
         f"CAST(best_auc < 0.55 AS INT) AS n_issues FROM (SELECT study, count(*) AS n_trials, max(coalesce(auc, 0)) AS best_auc, avg(CASE WHEN {ct} IS NOT NULL THEN 1e0 ELSE 0 END) AS collapse_rate, {cnt} FROM ({TRIALS}) GROUP BY 1))",
-        "study validity", "best_auc collapse_rate", "n_trials n_issues " + " ".join(rules))
-    o["T17_suspicious_trials"] = " UNION ALL ".join(f"SELECT study, trial_number, coalesce(auc, 0) AS auc, '{n}' AS suspicion FROM ({TRIALS}) WHERE {r}" for n, r in rules.items())
+        "study validity", "best_auc collapse_rate", "n_trials n_issues perfect_metrics " + " ".join(rules))
+    o["T17_suspicious_trials"] = " UNION ALL ".join(f"SELECT study, trial_number, coalesce(auc, 0) AS auc, '{n}' AS suspicion, {m} AS metric FROM ({TRIALS}) WHERE {r}"
+        for n, m, r in [*((n, "NULL::VARCHAR", r) for n, r in rules.items()), *(("perfect_metrics", f"'{m}'", r) for m, r in perfect.items())])
     o["T18_value_frequencies"] = out(f"SELECT study, param, value, count(*) AS n FROM ({long(['d_model', 'n_layers', 'n_heads', 'dropout'], DONE)}) GROUP BY 1, 2, 3", "study param", "value", "n")
     cfg = f"SELECT study, d_model, n_layers, n_heads, dropout, count(*) AS n, min(val_loss) AS best_value FROM ({DONE}) GROUP BY 1, 2, 3, 4, 5"
     o["T19_repeated_configurations"] = out(f"SELECT * FROM ({cfg}) WHERE n > 1", "study", "best_value", "n")

@@ -196,6 +196,8 @@ def oracle_sql() -> dict[str, str]:
     o["D08_instance_normalised"] = exploded(
         samples5(Q()), "(x[i + 1] - list_avg(x)) / (list_aggregate(x, 'stddev_samp') + 1e-5)")
 
+    o["D08_instance_denormalised"] = exploded(samples5(Q()), "x[i + 1] + 0.05 * (list_aggregate(x, 'stddev_samp') + 1e-5)")
+
     def split_out(q, where=""):
         return q.out({}, {"start": "rn - 1"}, keys="key, CAST(ts AS VARCHAR) AS ts, split", where=where)
     o["D09_chunk_split"] = split_out(chunk(15, 5, 0.15, 0.15))
@@ -241,6 +243,8 @@ def oracle_sql() -> dict[str, str]:
     factor = f"(1 + ({u(chr(39) + '42' + chr(39), *ID)} * 2 - 1) * 0.1)"
     sc = u("'42s'", *ID)
     o["G02_scale"] = exploded(samples5(Q()), f"x[i + 1] * CASE WHEN {sc} <= 0.5 THEN {factor} ELSE 1 END")
+    own = [f"CASE WHEN {sc} <= 0.5 THEN 1 + ({u(repr('42' + c), *ID)} * 2 - 1) * 0.1 ELSE 1 END" for c in "xz"]
+    o["G02_scale_features"] = exploded(samples5(Q()), f"x[i + 1] * ({own[0]}) + 2 * x[i + 1] * ({own[1]})")
     # warped time: sorted inner knots, linear between knots and between values
     q = samples5(Q())
     knots = ", ".join(f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {k} / 5.0::DOUBLE + ({u(repr('42k' + str(k)), *ID)} * 2 - 1) * 0.1))" for k in range(1, 5))

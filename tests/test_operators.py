@@ -193,3 +193,11 @@ def test_removal_keeps_category_minimums(spark):
     df = spark.createDataFrame(rows, "feature string, combined_score double")
     gone = {r["feature"] for r in Q.removal_round(df, 0.9).filter("removed").collect()}
     assert gone == {"sma_0"}
+
+
+def test_split_without_a_train_chunk(make_bars):
+    with pytest.raises(Exception, match="no chunk is left for training"):
+        L.chunk_split(make_bars(range(1, 62)), 10, 2, 0.9, 0.05).collect()
+    for mode in ("contiguous", "scattered"):
+        split = {r.split for r in L.chunk_split(make_bars(range(1, 62)), 10, 2, 0.2, 0.2, mode).collect()}
+        assert {"train", "val", "test"} <= split

@@ -134,16 +134,22 @@ def normalise_before(df: DataFrame, columns: list[str], day: str) -> DataFrame:
     return normalise(df, params, epsilon=0.0)
 
 
-def instance_normalise(values: Column, eps: float = 1e-5, scale: float = 1.0, shift: float = 0.0) -> Column:
-    """Every value of a sample array by the sample's own mean and sigma."""
+def instance_statistics(values: Column) -> tuple[Column, Column]:
+    """Mean and sigma of a sample array."""
     n = F.size(values)
     m = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
-    var = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / (n - 1)
-    return F.transform(values, lambda v: (v - m) / (F.sqrt(var) + eps) * scale + shift)
+    return m, F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / (n - 1))
+
+
+def instance_normalise(values: Column, eps: float = 1e-5, scale: float = 1.0, shift: float = 0.0) -> Column:
+    """Every value of a sample array by the sample's own mean and sigma."""
+    m, sd = instance_statistics(values)
+    return F.transform(values, lambda v: (v - m) / (sd + eps) * scale + shift)
 
 
 def instance_denormalise(scaled: Column, mean: Column, sd: Column, eps: float = 1e-5,
                          scale: float = 1.0, shift: float = 0.0) -> Column:
+    """Normalised values, such as predictions, back in the units of their sample."""
     return F.transform(scaled, lambda v: (v - shift) / scale * (sd + eps) + mean)
 
 
@@ -154,12 +160,13 @@ def _rows_in_key() -> Column:
 
 
 def chunk_split(df: DataFrame, context: int, horizon: int, val_ratio: float = 0.15,
-                test_ratio: float = 0.15, mode: str = "contiguous", seed: int = 42) -> DataFrame:
+                test_ratio: float = 0.15, mode: str = "scattered", seed: int = 42) -> DataFrame:
     """``split`` of the sample that starts at each row: train, val, test or null.
 
     A key's rows are cut into chunks of ``context + horizon``.  Val and test
     samples are whole chunks, the last ones (contiguous) or drawn by a hash
-    (scattered).  A train sample may start anywhere as long as none of its rows
+    (scattered).  A key with under five chunks of rows, or with no chunk left for
+    training, is an error.  A train sample may start anywhere as long as none of its rows
     belongs to a val or test chunk."""
     if mode not in ("contiguous", "scattered"):
         raise ValueError("mode must be contiguous or scattered")
@@ -173,6 +180,8 @@ def chunk_split(df: DataFrame, context: int, horizon: int, val_ratio: float = 0.
     n_test = F.greatest(F.lit(1), F.floor(F.col("_chunks") * test_ratio))
     enough = F.when(F.col("_n") >= 5 * size, F.col("_chunks")).otherwise(
         F.raise_error(F.concat(F.lit("too few rows for a split in key "), F.col("key"))).cast("long"))
+    enough = F.when((F.col("_n") < 5 * size) | (F.col("_chunks") > n_val + n_test), enough).otherwise(
+        F.raise_error(F.concat(F.lit("no chunk is left for training in key "), F.col("key"))).cast("long"))
     d = d.withColumn("_chunks", enough)
     if mode == "contiguous":
         place = F.col("_chunks") - 1 - F.col("_chunk")           # 0 for the last chunk

@@ -206,21 +206,32 @@ def category_means(trials: DataFrame, column: str, target: str = "auc") -> DataF
         F.avg(target).alias("mean_auc"), F.count(F.lit(1)).alias("n"))
 
 
+# fixed rules
 SUSPICIOUS = {
     "high_recall_low_precision": "recall > 0.95 and precision < 0.25",
-    "perfect_metrics": "precision = 1.0 or recall = 1.0",
     "degenerate_auc": "abs(auc - 0.5) < 0.02",
     "below_baseline": "auc < 0.55",
 }
 
 
+#: Metrics that are suspicious at exactly 1.
+PERFECT = ("accuracy", "precision", "recall", "f1")
+
+
+def _perfect(trials: DataFrame) -> Column:
+    """The names of a trial's perfect metrics, among those that the table has."""
+    found = [F.when(F.col(m) == 1.0, F.lit(m)) for m in PERFECT if m in trials.columns]
+    return F.filter(F.array(F.lit(None).cast("string"), *found), lambda m: m.isNotNull())
+
+
 def suspicious_counts(trials: DataFrame, by: str = "study") -> DataFrame:
     """Counts per suspicion, the collapse rate, and a verdict: no issue is VALID,
-    one PARTIAL, more QUESTIONABLE."""
+    one PARTIAL, more QUESTIONABLE.  Every perfect metric of a trial counts."""
     t = trials.fillna(0.0, subset=["auc", "recall", "precision"])
     s = t.groupBy(by).agg(
         F.count(F.lit(1)).alias("n_trials"), F.max("auc").alias("best_auc"),
         F.avg(collapse_type().isNotNull().cast("double")).alias("collapse_rate"),
+        F.sum(F.size(_perfect(t))).alias("perfect_metrics"),
         *[F.count_if(F.expr(rule)).alias(name) for name, rule in SUSPICIOUS.items()])
     issues = reduce(lambda a, b: a + b, [c.cast("int") for c in (
         F.col("collapse_rate") > 0.3, F.col("high_recall_low_precision") > F.col("n_trials") * 0.5,
@@ -230,11 +241,13 @@ def suspicious_counts(trials: DataFrame, by: str = "study") -> DataFrame:
 
 
 def suspicious_trials(trials: DataFrame) -> DataFrame:
-    """One row per trial and suspicion."""
+    """One row per trial and suspicion, and one per perfect metric with its name."""
     t = trials.fillna(0.0, subset=["auc", "recall", "precision"])
-    found = F.filter(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in SUSPICIOUS.items()]),
-                     lambda v: v.isNotNull())
-    return t.select("study", "trial_number", "auc", F.explode(found).alias("suspicion"))
+    none = F.lit(None).cast("string")
+    rules = F.filter(F.array(*[F.when(F.expr(rule), F.struct(F.lit(name).alias("suspicion"), none.alias("metric")))
+                               for name, rule in SUSPICIOUS.items()]), lambda v: v.isNotNull())
+    perfect = F.transform(_perfect(t), lambda m: F.struct(F.lit("perfect_metrics").alias("suspicion"), m.alias("metric")))
+    return t.select("study", "trial_number", "auc", F.inline(F.concat(rules, perfect)))
 
 
 # --- coverage ----------------------------------------------------------------------------
