@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions import frames as W
+from tickloom.functions.binding import bound
 from tickloom.functions.hashing import digest
 from tickloom.operators.align import assert_overlap, assert_unique, drop_incomplete, join_one_to_one
 
@@ -135,22 +136,25 @@ def normalise_before(df: DataFrame, columns: list[str], day: str) -> DataFrame:
 
 
 def instance_statistics(values: Column) -> tuple[Column, Column]:
-    """Mean and sigma of a sample array."""
-    n = F.size(values)
+    """Mean and sigma of a sample array; null for an empty one."""
+    n = F.when(F.size(values) > 0, F.size(values))
     m = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
-    return m, F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / (n - 1))
+    return m, bound(m, lambda mean: F.sqrt(F.aggregate(
+        values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / (n - 1)))
 
 
 def instance_normalise(values: Column, eps: float = 1e-5, scale: float = 1.0, shift: float = 0.0) -> Column:
     """Every value of a sample array by the sample's own mean and sigma."""
     m, sd = instance_statistics(values)
-    return F.transform(values, lambda v: (v - m) / (sd + eps) * scale + shift)
+    return bound(F.struct(m.alias("m"), sd.alias("sd")), lambda s: F.transform(
+        values, lambda v: (v - s["m"]) / (s["sd"] + eps) * scale + shift))
 
 
 def instance_denormalise(scaled: Column, mean: Column, sd: Column, eps: float = 1e-5,
                          scale: float = 1.0, shift: float = 0.0) -> Column:
     """Normalised values, such as predictions, back in the units of their sample."""
-    return F.transform(scaled, lambda v: (v - shift) / scale * (sd + eps) + mean)
+    return bound(F.struct(mean.alias("m"), sd.alias("sd")), lambda s: F.transform(
+        scaled, lambda v: (v - shift) / scale * (s["sd"] + eps) + s["m"]))
 
 
 # --- splits -------------------------------------------------------------------------
