@@ -38,8 +38,10 @@ def _sample_rows(spark, sf, context=5):
 
 
 def _spread(df, extra=()):
-    """One row per sample and position."""
-    return rounded(df.select("key", "ts", *extra, F.posexplode("x").alias("pos", "value")))
+    """One row per sample and position.  The outer form, since from the other Spark derives
+    a filter on the array and computes the array three times."""
+    out = df.select("key", "ts", *extra, F.posexplode_outer("x").alias("pos", "value"))
+    return rounded(out.filter(F.col("pos").isNotNull()))
 
 
 def _second_with_gaps(spark, sf):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.hashing import normal, uniform
 from tickloom.functions.ranking import quantiles, row_positions, value_ranks
+from conftest import TESTDATA  # noqa: E402
 from tickloom.operators import align, bars as B, evaluate as E, labels as L, quality as Q, samples as G, trials as T
 
 
@@ -201,3 +202,28 @@ def test_split_without_a_train_chunk(make_bars):
     for mode in ("contiguous", "scattered"):
         split = {r.split for r in L.chunk_split(make_bars(range(1, 62)), 10, 2, 0.2, 0.2, mode).collect()}
         assert {"train", "val", "test"} <= split
+
+
+@pytest.mark.parametrize("name, call, most", [("G04_time_warp", "md5(", 5), ("G05_compose", "md5(", 5), ("D08_instance_normalised", "aggregate(", 3),
+                                              ("D08_instance_denormalised", "aggregate(", 6)])
+def test_sample_expressions_are_not_repeated(spark, name, call, most):
+    from catalog import series
+    plan = series.queries()[name](spark, TESTDATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(call) <= most
+
+
+def test_time_warp_reads_between_the_values(spark):
+    df = spark.createDataFrame([("a", i, [float(v * v) for v in range(6)]) for i in range(40)], "key string, ts long, x array<double>")
+    still = G.time_warp(df, 6, warp=0.0, prob=1.0).collect()
+    assert all(r.x == pytest.approx([v * v for v in range(6)]) for r in still)
+    assert [r.x for r in G.time_warp(df, 6, prob=0.0).collect()] == [r.x for r in df.collect()]
+    for r in G.time_warp(df, 6, prob=1.0).collect():
+        assert r.x[0] == 0 and r.x[-1] == 25 and r.x == sorted(r.x)
+
+
+def test_instance_statistics_of_short_samples(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 6.0],), ([],), (None,), ([1.0, None],)], "x array<double>")
+    m, sd = L.instance_statistics(F.col("x"))
+    got = df.select(m.alias("m"), sd.alias("sd"), L.instance_normalise(F.col("x")).alias("z")).collect()
+    assert got[0].m == 3 and got[0].sd == pytest.approx(7 ** 0.5) and sum(got[0].z) == pytest.approx(0)
+    assert got[1].z == [] and got[2].z is None and got[3].z == [None, None]

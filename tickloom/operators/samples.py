@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import frames as W
+from tickloom.functions.binding import bound
 from tickloom.functions.hashing import digest, normal, uniform
 from tickloom.functions.ranking import quantiles
 from tickloom.sources.tables import stored
@@ -37,7 +38,8 @@ def scale(df: DataFrame, scale_range: float = 0.1, prob: float = 0.5, seed: int
     """One factor within 1 +- ``scale_range`` for a chosen sample."""
     chosen = uniform(f"{seed}s", *_ids()) <= prob
     factor = 1 + (uniform(seed, *_ids()) * 2 - 1) * scale_range
-    return df.withColumn("x", F.when(chosen, F.transform("x", lambda v: v * factor)).otherwise(F.col("x")))
+    scaled = bound(factor, lambda f: F.transform("x", lambda v: v * f))
+    return df.withColumn("x", F.when(chosen, scaled).otherwise(F.col("x")))
 
 
 def scale_features(df: DataFrame, columns: list[str], scale_range: float = 0.1, prob: float = 0.5,
@@ -47,7 +49,7 @@ def scale_features(df: DataFrame, columns: list[str], scale_range: float = 0.1,
 
     def one(c):
         factor = 1 + (uniform(f"{seed}{c}", *_ids()) * 2 - 1) * scale_range
-        return F.when(chosen, F.transform(c, lambda v: v * factor)).otherwise(F.col(c))
+        return F.when(chosen, bound(factor, lambda f: F.transform(c, lambda v: v * f))).otherwise(F.col(c))
     return df.withColumns({c: one(c) for c in columns})
 
 
@@ -82,19 +84,25 @@ def time_warp(df: DataFrame, length: int, warp: float = 0.1, knots: int = 4, pro
              + (uniform(f"{seed}k{k}", *_ids()) * 2 - 1) * warp)) for k in range(1, knots + 1)]
     path = F.concat(F.array(F.lit(0.0)), F.array_sort(F.array(*moved)), F.array(F.lit(1.0)))
 
-    def read(i):
-        t = i / F.lit(float(max(length - 1, 1)))
-        k = F.least(F.floor(t * (knots + 1)), F.lit(knots)).cast("int")
-        share = t * (knots + 1) - k
-        at = (F.element_at("_path", k + 1) * (1 - share) + F.element_at("_path", k + 2) * share) * (length - 1)
-        low = F.greatest(F.lit(0), F.least(F.lit(length - 1), F.floor(at).cast("int")))
-        high = F.least(F.lit(length - 1), low + 1)
-        w = at - low
-        return F.element_at("x", low + 1) * (1 - w) + F.element_at("x", high + 1) * w
+    steps = []
+    for i in range(length):
+        t = i / float(max(length - 1, 1))
+        k = min(int(t * (knots + 1)), knots)
+        steps.append(F.struct(F.lit(k + 1).alias("k"), F.lit(t * (knots + 1) - k).alias("share")))
+
+    def times(p):
+        return F.transform(F.array(*steps), lambda s: (
+            F.element_at(p, s["k"]) * (1 - s["share"]) + F.element_at(p, s["k"] + 1) * s["share"]) * (length - 1))
+
+    def read(at):
+        def between(low):
+            w = at - low
+            return F.element_at("x", low + 1) * (1 - w) + F.element_at("x", F.least(F.lit(length - 1), low + 1) + 1) * w
+        return bound(F.greatest(F.lit(0), F.least(F.lit(length - 1), F.floor(at).cast("int"))), between)
     chosen = uniform(f"{seed}w", *_ids()) <= prob
-    warped = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), read)
-    return df.withColumn("_path", path).withColumn(
-        "x", F.when(chosen, warped).otherwise(F.col("x"))).drop("_path")
+    # the times are bound before they are read: one path and one time per position
+    warped = bound(bound(path, times), lambda ats: F.transform(ats, read))
+    return df.withColumn("x", F.when(chosen, warped).otherwise(F.col("x")))
 
 
 def compose(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
