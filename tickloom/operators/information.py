@@ -12,6 +12,8 @@ depend on the order of additions."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,16 +68,36 @@ def _radii(values: DataFrame, k: int, block: int) -> DataFrame:
                                         lambda p: F.floor(p / block)))
     rows = placed.withColumn("block", F.explode(near))
     w = Window.partitionBy("feature", "label", "block").orderBy("at")
-    beside = [F.struct(F.abs(side("g", i).over(w) - F.col("g")).alias("d"), side("c", i).over(w).alias("n"))
-              for i in range(1, k + 1) for side in (F.lag, F.lead)]
-    own = F.struct(F.lit(0).cast("long").alias("d"), (F.col("c") - 1).alias("n"))
-    rows = rows.withColumn("near", F.filter(F.array(own, *beside), lambda z: z["d"].isNotNull()))
-    rows = rows.filter(F.col("block") == F.floor(F.col("at") / block))
+    beside = [side(c, i).over(w).alias(f"{c}{at}") for i in range(1, k + 1)
+              for at, side in ((-i, F.lag), (i, F.lead)) for c in ("g", "c")]
+    rows = rows.select("*", *beside).filter(F.col("block") == F.floor(F.col("at") / block))
     sizes = values.filter(F.col("feature").isNotNull()).groupBy("feature", "label").agg(F.sum("c").alias("of_class"))
+    # one row per feature and class
     rows = rows.join(sizes, ["feature", "label"]).withColumn("k", F.least(F.lit(k).cast("long"), F.col("of_class") - 1))
-    reach = F.expr("filter(near, a -> aggregate(filter(near, b -> b.d <= a.d), 0L, (s, b) -> s + b.n) >= k)")
-    return rows.withColumn("r", F.array_min(F.transform(reach, lambda z: z["d"]))).select(
-        "feature", "label", "g", "c", "r", "k", "of_class")
+    near = [f"{c}{at}" for i in range(1, k + 1) for at in (-i, i) for c in ("g", "c")]
+    told = rows.select("feature", "label", "g", "c", "k", "of_class", *near)
+    return told.mapInArrow(_reach(k), "feature string, label string, g long, c long, r long, k long, of_class long")
+
+
+def _reach(k: int):
+    """The least distance within which a value has k more rows, among its 2 k neighbours."""
+    def run(batches):
+        for batch in batches:
+            def of(name, missing=0):
+                return batch.column(name).fill_null(missing).to_numpy(zero_copy_only=False)
+
+            g, far = of("g"), np.iinfo(np.int64).max
+            sides = [(np.where(batch.column(f"g{at}").is_valid().to_numpy(zero_copy_only=False), np.abs(of(f"g{at}") - g), far), of(f"c{at}"))
+                     for i in range(1, k + 1) for at in (-i, i)]
+            sides.append((np.zeros(len(g), np.int64), of("c") - 1))
+            r, wanted = np.full(len(g), far), of("k")
+            for d, _ in sides:
+                rows = sum(np.where((e <= d) & (e < far), m, 0) for e, m in sides)
+                r = np.where((rows >= wanted) & (d < far), np.minimum(r, d), r)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("feature", "label", "g", "c")], pa.array(r, mask=r == far),
+                                              batch.column("k"), batch.column("of_class")], names=["feature", "label", "g", "c", "r", "k", "of_class"])
+
+    return run
 
 
 def neighbour_information(df: DataFrame, columns: list[str], target: str, neighbours: int = 3,
