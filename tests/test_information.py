@@ -82,3 +82,51 @@ def test_importance_of_a_used_and_an_unused_column(spark):
         got = {r.feature: r.importance for r in Q.permutation_importance(
             lambda d: F.col("a"), df, ["a", "b"], ["id"], "y", metric, repeats=3).collect()}
         assert got["b"] == 0 and 0.4 < got["a"] < 0.6
+
+
+def test_places_of_a_batch_are_those_of_the_expression(spark):
+    n, keys = 1009, Q.shuffle_keys(7, "c:0", 1009)
+    one = spark.createDataFrame([(keys,)], f"keys {Q.KEYS}")
+    want = spark.range(n).join(one).orderBy("id").select(Q.shuffled(F.col("id"), n, F.col("keys")).alias("to")).collect()
+    assert Q.shuffled_places(np.arange(n), n, keys).tolist() == [r.to for r in want]
+
+
+def test_metrics_compute_the_table_once(spark, tmp_path):
+    """Every pass over the rows would append to the file again."""
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"a": np.round(rng.normal(0, 1, 900), 1), "b": np.where(np.arange(900) % 3 > 0, 0.0, rng.normal(0, 1, 900)),
+                        "c": rng.normal(0, 1, 900)})
+    pdf["y"] = (pdf.a + rng.normal(0, 1, 900) > 0).astype(int)
+    log = str(tmp_path / "passes")
+
+    def counted(batches):
+        for b in batches:
+            with open(log, "a") as f:
+                f.write(f"{b.num_rows}\n")
+            yield b
+
+    df = spark.createDataFrame(pdf).coalesce(1)
+    once = df.mapInArrow(counted, df.schema)
+    got = {r.feature: r for r in Q.metrics_table(once, ["a", "b", "c"], "y").collect()}
+    with open(log) as f:
+        assert sum(map(int, f)) == 900
+    for c in "abc":
+        assert got[c].target_correlation == pytest.approx(pdf[c].rank().corr(pdf.y.rank()))
+
+
+def test_ranked_pairs_of_ties_nulls_and_partitions(spark):
+    rows = [("x" if i % 50 == 0 else None, float(i % 7) if i % 5 else None, 1.0, float(i % 4)) for i in range(3000)]
+    rows += [("x", float("nan"), -0.0 if i % 2 else 0.0, 1.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "t string, a double, b double, y double").repartition(5)
+    got = Q.ranked_pairs(df, ["a", "b"], "y").groupBy("feature", "below", "ties", "total").agg(F.sum("n").alias("n")).orderBy("feature", "below").collect()
+    pdf = df.toPandas()
+    for c in "ab":
+        have = [(r.below, r.ties, r.n) for r in got if r.feature == c]
+        kept = [r[1 if c == "a" else 2] for r in rows if r[1 if c == "a" else 2] is not None]
+        counts = sorted({"nan" if v != v else v + 0.0 for v in kept}, key=lambda v: (v == "nan", 0 if v == "nan" else v))
+        size = [sum((v != v) if u == "nan" else v == u for v in kept) for u in counts]
+        assert have == [(sum(size[:i]), s, s) for i, s in enumerate(size)]
+        assert {r.total for r in got if r.feature == c} == {len(kept)}
+    assert len(pdf) == 3030
+    assert Q.ranked_pairs(df.limit(0), ["a"], "y").count() == 0

@@ -1,18 +1,19 @@
 """Feature quality: correlation, information, redundancy, grades and curation.
 
-Wide feature tables are unpivoted once to ``(feature, x, y)`` and counted per
-distinct pair, so every statistic is a distributed aggregate whatever the number
-of rows; ranks come from functions/ranking.py."""
+Wide feature tables are unpivoted to ``(feature, x, y)``, so every statistic is a
+distributed aggregate whatever the number of rows; ranks come from one range-partitioned
+sort (``ranked_pairs``), shared by the statistics that need them."""
 
 from __future__ import annotations
 
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.ranking import value_ranks
 from tickloom.functions.totals import running_totals
 from tickloom.sources.tables import stored
 
@@ -48,10 +49,6 @@ def unpivot(df: DataFrame, columns: list[str], target: str) -> DataFrame:
         F.col("x").isNotNull() & F.col("y").isNotNull()).select("feature", "x", "y")
 
 
-def pair_counts(long: DataFrame) -> DataFrame:
-    return long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-
-
 def target_correlation(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """Pearson correlation per feature, 0 under ten pairs or without variation."""
     spread = F.stddev_pop("x") * F.stddev_pop("y")
@@ -61,38 +58,100 @@ def target_correlation(df: DataFrame, columns: list[str], target: str) -> DataFr
         .otherwise(0.0).alias("correlation"))
 
 
-def _mean_rank() -> Column:
-    return F.col("below") + (F.col("n") + 1) / 2.0
+def _folded(batches):
+    """Batches of the features' columns and y, as rows f, x, y, n: a value that many rows of a
+    batch share is one row, so a value that holds most rows meets no single task."""
+    for batch in batches:
+        y = batch.column(batch.num_columns - 1)
+        for f in range(batch.num_columns - 1):
+            t = pa.table({"x": batch.column(f), "y": y}).drop_null()
+            t = t.group_by(["x", "y"], use_threads=False).aggregate([([], "count_all")])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(t.num_rows, f, np.int32)), *[
+                pa.array(t.column(c).to_numpy() + zero) for c, zero in (("x", 0.0), ("y", 0.0), ("count_all", 0))]], names=["f", "x", "y", "n"])
+
+
+def _placed(batches):
+    """Rows in the order of f and x, as f, y, n with the rows of smaller x in this partition,
+    the rows of the same x, and the partition.  Rows of the last x wait for the next batch."""
+    part, held, feature, seen = TaskContext.get().partitionId(), None, -1, 0
+
+    def told(f, x, y, n, starts):
+        nonlocal feature, seen
+        ties = np.add.reduceat(n, starts)
+        at = np.cumsum(ties) - ties
+        new = np.r_[f[starts[0]] != feature, f[starts[1:]] != f[starts[:-1]]]
+        at = at - np.maximum.accumulate(np.where(new, at, 0)) + np.where(np.cumsum(new) == 0, seen, 0)
+        feature, seen = f[-1], at[-1] + ties[-1]
+        size = np.diff(np.r_[starts, len(f)])
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (
+            f, y, n, np.repeat(at, size), np.repeat(ties, size), np.full(len(f), part, np.int32))], names=["f", "y", "n", "below", "ties", "part"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held:
+            rows = [np.concatenate(c) for c in zip(held, rows)]
+        f, x = rows[:2]
+        same = (f[1:] == f[:-1]) & ((x[1:] == x[:-1]) | (np.isnan(x[1:]) & np.isnan(x[:-1])))
+        starts = np.r_[0, np.flatnonzero(~same) + 1]
+        held = [c[starts[-1]:] for c in rows]
+        if starts[-1]:
+            yield told(*[c[:starts[-1]] for c in rows], starts[:-1])
+    if held:
+        yield told(*held, np.array([0]))
+
+
+def ranked_pairs(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """``feature, y, n, below, ties, total`` for the complete pairs of every feature: n rows
+    whose x has ``below`` smaller ones and ``ties`` equal ones among ``total``.
+
+    One range-partitioned sort of the folded values, stored once.  A partition hands on one
+    row per feature, which tells the others how many rows are before them."""
+    known = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)], F.col(target).cast("double").alias("y"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = known.mapInArrow(_folded, "f int, x double, y double, n long").repartitionByRange(n, "f", "x").sortWithinPartitions("f", "x")
+    local = stored(rows.mapInArrow(_placed, "f int, y double, n long, below long, ties long, part int"))
+    by = Window.partitionBy("f")
+    size = F.sum("rows").over(by.orderBy("part")) - F.col("rows")
+    # one row per partition and feature that it holds: features and partitions are in one order
+    parts = local.groupBy("f", "part").agg(F.sum("n").alias("rows")).select(
+        "f", "part", size.alias("before"), F.sum("rows").over(by).alias("total"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return local.join(F.broadcast(parts), ["f", "part"]).select(
+        names[F.col("f")].alias("feature"), "y", "n", (F.col("below") + F.col("before")).alias("below"), "ties", "total")
 
 
-def rank_correlation(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+def rank_correlation(df: DataFrame, columns: list[str], target: str, ranked: DataFrame | None = None) -> DataFrame:
     """Spearman correlation with average ranks on ties.
 
-    Works on counts of distinct (x, y) pairs; the ranks of x and y are taken
-    among the feature's complete pairs."""
-    pairs = stored(pair_counts(unpivot(df, columns, target)))
-    rx = value_ranks(pairs, ["feature"], "x", "n").select("feature", "x", _mean_rank().alias("rx"))
-    ry = value_ranks(pairs, ["feature"], "y", "n").select("feature", "y", _mean_rank().alias("ry"))
-    j = pairs.join(rx, ["feature", "x"]).join(ry, ["feature", "y"])
+    Ranks of x come from ``ranked_pairs``, or from `ranked` where a caller has them, and are
+    added up per value of y; ranks of y are totals over those values."""
+    ranked = ranked_pairs(df, columns, target) if ranked is None else ranked
+    rx = F.col("below") + (F.col("ties") + 1) / 2.0
+    by_y = ranked.groupBy("feature", "y").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * rx).alias("sx"), F.sum(F.col("n") * rx * rx).alias("sxx"))
+    j = running_totals(by_y, ["feature"], [F.col("y")], {"below": F.col("n")})
+    ry = F.col("below") + (F.col("n") + 1) / 2.0
     n = F.sum("n")
-    mx, my = F.sum(F.col("n") * F.col("rx")) / n, F.sum(F.col("n") * F.col("ry")) / n
-    cov = F.sum(F.col("n") * F.col("rx") * F.col("ry")) / n - mx * my
-    vx = F.sum(F.col("n") * F.col("rx") * F.col("rx")) / n - mx * mx
-    vy = F.sum(F.col("n") * F.col("ry") * F.col("ry")) / n - my * my
+    mx, my = F.sum("sx") / n, F.sum(F.col("n") * ry) / n
+    cov = F.sum(F.col("sx") * ry) / n - mx * my
+    vx = F.sum("sxx") / n - mx * mx
+    vy = F.sum(F.col("n") * ry * ry) / n - my * my
     both = F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0))
     rho = F.coalesce(cov / F.sqrt(F.when(both > 0, both)), F.lit(0.0))
     return j.groupBy("feature").agg(n.alias("n"), F.when(n >= 10, rho).otherwise(0.0).alias("correlation"))
 
 
-def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int = 10) -> DataFrame:
+def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int = 10, ranked: DataFrame | None = None) -> DataFrame:
     """Mutual information in nats with the target, over equal-count bins of x.
 
-    A value's bin follows from the number of smaller values, so equal values
-    share a bin.  The neighbour estimate is in operators/information.py."""
-    long = unpivot(df, columns, target)
-    r = value_ranks(long, ["feature"], "x").select(
-        "feature", "x", F.floor(F.col("below") * bins / F.col("total")).alias("bin"))
-    c = pair_counts(long).join(r, ["feature", "x"]).groupBy("feature", "bin", "y").agg(F.sum("n").alias("n"))
+    A value's bin follows from the number of smaller values (``ranked_pairs``, or `ranked`
+    where a caller has them), so equal values share a bin.  The neighbour estimate is in
+    operators/information.py."""
+    ranked = ranked_pairs(df, columns, target) if ranked is None else ranked
+    c = ranked.groupBy("feature", F.floor(F.col("below") * bins / F.col("total")).alias("bin"), "y").agg(F.sum("n").alias("n"))
+    c = stored(c)
     by_bin = c.groupBy("feature", "bin").agg(F.sum("n").alias("nb"))
     by_y = c.groupBy("feature", "y").agg(F.sum("n").alias("ny"))
     total = by_y.groupBy("feature").agg(F.sum("ny").alias("nt"))
@@ -112,8 +171,6 @@ def pair_moments(df: DataFrame, columns: list[str]) -> DataFrame:
 
     One pass: a task adds up the products of all column pairs for its rows and gives one
     row a pair, which a shuffle by pair adds up."""
-    import pyarrow as pa
-
     known = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
     # one row with a value per column
     near = known.agg(*[F.percentile_approx(F.col(c), 0.5, 100).alias(f"c{i}") for i, c in enumerate(columns)]).first()
@@ -197,9 +254,14 @@ def combined_scores(metrics: DataFrame) -> DataFrame:
 def metrics_table(df: DataFrame, columns: list[str], target: str, information=mutual_information) -> DataFrame:
     """Target correlation (ranks), mutual information and redundancy per feature;
     `information` is the estimate, by bins or operators/information.py by neighbours."""
-    c = rank_correlation(df, columns, target).select("feature", F.col("correlation").alias("target_correlation"))
-    return c.join(information(df, columns, target), "feature").join(
-        max_redundancy(redundancy(df, columns)).select("feature", "max_redundancy"), "feature")
+    # computed once: four passes read the columns
+    df = stored(df.select(*dict.fromkeys([*columns, target])))
+    ranked = ranked_pairs(df, columns, target)
+    told = information(df, columns, target, ranked=ranked) if information is mutual_information else information(df, columns, target)
+    # one row per column of the table
+    c = stored(rank_correlation(df, columns, target, ranked).select("feature", F.col("correlation").alias("target_correlation"))
+               .join(told, "feature").join(max_redundancy(redundancy(df, columns)).select("feature", "max_redundancy"), "feature"))
+    return c
 
 
 def importance_report(df: DataFrame, columns: list[str], target: str, information=mutual_information) -> DataFrame:
@@ -231,6 +293,18 @@ def shuffled(position: Column, n: int, keys: Column) -> Column:
     return F.aggregate(keys, position.cast("long"), step)
 
 
+def shuffled_places(position: np.ndarray, n: int, keys: list[tuple[int, int, int]]) -> np.ndarray:
+    """The same bijection for the positions of a batch."""
+    p = position.astype(np.int64)
+    for mirror, a, b in keys:
+        other = mirror - p
+        other = np.where(other < 0, other + n, other)
+        x = (np.maximum(p, other) % PRIME * a + b) % PRIME
+        x = (x * x + b) % PRIME
+        p = np.where((x >> 16) & 1, other, p)
+    return p
+
+
 def permutation_importance(model, df: DataFrame, columns: list[str], row_id: list[str], target: str,
                            metric: str = "precision", repeats: int = 5, seed: int = 42) -> DataFrame:
     """Mean drop of the metric when one feature is shuffled over all rows.
@@ -238,7 +312,8 @@ def permutation_importance(model, df: DataFrame, columns: list[str], row_id: lis
     `model` is a fitted model with a probability column, or a function of a table that
     gives the column of the probability.  Rows get one position by their identity; a
     keyed bijection of the positions says which row gives its value to which, for every
-    feature and repeat.  Only those values are shuffled per run, and the table once."""
+    feature and repeat.  Only those values are shuffled per run, and the table once.  The places of a
+    batch are computed together."""
     from pyspark.ml.functions import vector_to_array
 
     from tickloom.operators import evaluate as E
@@ -256,18 +331,25 @@ def permutation_importance(model, df: DataFrame, columns: list[str], row_id: lis
             return E.roc_auc(p).select("run_id", F.col("auc").alias("score"))
         return E.with_rates(E.confusion(p)).select("run_id", F.col("precision").alias("score"))
 
+    df = stored(df)
     placed = stored(running_totals(df, [], [F.col(i) for i in row_id], {"_at": F.lit(1)}))
     n = placed.count()
-    runs = [(f"{c}:{k}", c, shuffle_keys(seed, f"{c}:{k}", n)) for c in columns for k in range(repeats)] if n else []
-    # one row per column and repeat
-    runs = F.broadcast(df.sparkSession.createDataFrame(runs, f"_run string, _c string, _keys {KEYS}"))
-    value = F.coalesce(*[F.when(F.col("_c") == c, F.col(c).cast("double")) for c in columns])
-    given = placed.select("_at", *columns).join(runs).select("_run", "_c", value.alias("_x"), shuffled(F.col("_at"), max(n, 1), F.col("_keys")).alias("_at"))
-    rows = placed.join(given, "_at").withColumns(
-        {c: F.when(F.col("_c") == c, F.col("_x")).otherwise(F.col(c)) for c in columns})
+    runs = [(f"{c}:{k}", i, shuffle_keys(seed, f"{c}:{k}", n)) for i, c in enumerate(columns) for k in range(repeats)] if n else []
+
+    def dealt(batches):
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False)
+            for r, (_, i, keys) in enumerate(runs):
+                yield pa.RecordBatch.from_arrays([pa.array(shuffled_places(at, n, keys)), pa.array(np.full(len(at), r, np.int32)), batch.column(i + 1)],
+                                                 names=["_at", "_r", "_x"])
+
+    given = placed.select("_at", *[F.col(c).cast("double") for c in columns]).mapInArrow(dealt, "_at long, _r int, _x double")
+    at, no = F.array(*[F.lit(i) for _, i, _ in runs] or [F.lit(0)]), F.array(*[F.lit(name) for name, _, _ in runs] or [F.lit("")])
+    rows = placed.join(given, "_at").withColumns({"_run": F.col("_r"), **{
+        c: F.when(at[F.col("_r")] == i, F.col("_x")).otherwise(F.col(c)) for i, c in enumerate(columns)}})
     baseline = score(df.withColumn("_run", F.lit("all")), "_run").select(F.col("score").alias("baseline"))
     got = score(rows, "_run").join(F.broadcast(baseline))       # one row
-    return got.groupBy(F.split("run_id", ":")[0].alias("feature")).agg(
+    return got.groupBy(F.split(no[F.col("run_id")], ":")[0].alias("feature")).agg(
         F.avg(F.col("baseline") - F.col("score")).alias("importance"))
 
 
