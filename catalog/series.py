@@ -9,6 +9,7 @@ from tickloom.functions import frames as W
 from tickloom.functions.long_scan import scan_long
 from tickloom.operators import align, bars, labels, samples
 from tickloom.plans.features import feature_table
+from tickloom.sources.tables import stored
 
 
 def _bars(spark, sf):
@@ -27,8 +28,8 @@ RAW = {"key": "Ticker", "ts": "Date", "open": "Open", "high": "High", "low": "Lo
        "volume": "Volume"}
 
 
-def _features(spark, sf):
-    return feature_table(_bars(spark, sf), ["sma_12", "return_1d"], warm_up="drop")
+def _features(spark, sf, bars=None):
+    return feature_table(_bars(spark, sf) if bars is None else bars, ["sma_12", "return_1d"], warm_up="drop")
 
 
 def _sample_rows(spark, sf, context=5):
@@ -286,10 +287,10 @@ def queries() -> dict:
 
     @reg("D20_combined_dataset")
     def _(spark, sf):
-        b = _bars(spark, sf)
+        b = stored(_bars(spark, sf))
         lab = labels.threshold_labels(b, (1,), (0.01,))
         v = second_series(spark, sf)
-        return rounded(labels.combined_dataset(b, _features(spark, sf), lab, v), 4)
+        return rounded(labels.combined_dataset(b, _features(spark, sf, b), lab, v), 4)
 
     @reg("D21_split_statistics")
     def _(spark, sf):
