@@ -11,6 +11,7 @@ from tickloom.operators import evaluate as E
 from tickloom.operators import labels, quality as Q, validate as V
 from tickloom.operators.information import neighbour_information
 from tickloom.plans.features import feature_table
+from tickloom.sources.tables import stored
 
 COLS = ["ret", "gap", "body", "span", "volume", "dist"]
 
@@ -73,7 +74,7 @@ def _model(spark, sf):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-    r = rows(spark, sf)
+    r = stored(rows(spark, sf))
     pipe = Pipeline(stages=[VectorAssembler(inputCols=COLS, outputCol="features"),
                             LogisticRegression(labelCol="y", maxIter=20)])
     return r, pipe.fit(r)
@@ -160,7 +161,7 @@ def queries() -> dict:
         _stored(s, sf), feats(s, sf, ["sma_12", "return_1d"]), ["key", "ts"], ["sma_12", "return_1d"]))
     names = ["sma_12", "rsi_daily", "macd_line", "days_above_sma_9", "rsi_weekly"]
     reg("V07_lookahead", 4)(lambda s, sf: V.lookahead_check(
-        daily_bars(s, sf), lambda b: feature_table(b, names, warm_up="keep"), names,
+        stored(daily_bars(s, sf)), lambda b: feature_table(b, names, warm_up="keep"), names,
         ["1998-06-30", "1999-12-31", "2001-03-15"]))
     reg("V07_lookahead_found")(lambda s, sf: V.lookahead_check(
         daily_bars(s, sf), lambda b: b.select("key", "ts", W.lead("close").alias("peek"), F.col("close")),

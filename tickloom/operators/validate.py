@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.ranking import quantiles
+from tickloom.sources.tables import stored
 
 _NUMERIC = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType, T.ByteType)
 
@@ -109,7 +110,8 @@ def lookahead_check(bars: DataFrame, compute: Callable[[DataFrame], DataFrame],
     cut = cut.withColumn("key", F.regexp_replace("key", r"\|[^|]*$", ""))
     full = compute(bars).withColumn("key", F.col("key").cast("string"))
     # two cuts may end on the same row; it is compared once
-    cut = cut.dropDuplicates(["key", "ts"])
+    # and read twice: one row per key and cut
+    cut = stored(cut.dropDuplicates(["key", "ts"]))
     full = full.join(cut.select("key", "ts"), ["key", "ts"], "left_semi")
     return recompute_check(full, cut, ["key", "ts"], columns, tolerance)
 
