@@ -173,7 +173,8 @@ def queries() -> dict:
     reg("V11_audit_rows")(lambda s, sf: V.audit_rows(daily_bars(s, sf), ["1997-03-03", "2000-07-04"], ["close", "volume"]))
 
     def report_rows(s, sf):
-        f = feats(s, sf, ["rsi_daily", "stoch_k_14", "williams_r_14", "bb_percent_b", "atr_14", "return_1d"])
+        names = ["rsi_daily", "stoch_k_14", "williams_r_14", "bb_percent_b", "atr_14", "return_1d"]
+        f = stored(feats(s, sf, names).select(names))       # three checks read it
         return V.report({"bounds": V.bounds_check(f, LIMITS, 1e-6), "rules": V.rules_check(f, RULES),
                          "shares": V.distribution_check(f, SHARES)})
     reg("V12_report")(report_rows)

@@ -45,3 +45,16 @@ def test_query_matches_duckdb(spark, duck, name):
     want = canonical(duck.execute(entry.oracle_sql()[name]).fetchdf())
     assert list(got.columns) == list(want.columns) and len(got) == len(want)
     assert got.equals(want)
+
+
+def test_report_computes_its_features_once(spark, tmp_path):
+    """Three checks read the features; none of them computes them again."""
+    spark.sql("""SELECT id AS l_orderkey, id % 7 AS l_partkey, id % 3 AS l_suppkey, 1 AS l_linenumber, 1.0D + id % 5 AS l_quantity,
+        100.0D + id % 11 AS l_extendedprice, 0.01D * (id % 4) AS l_discount, 0.01D * (id % 3) AS l_tax,
+        timestamp '1998-01-01' + make_interval(0, 0, 0, int(id div 3)) AS l_shipdate FROM range(180)""").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    got = entry.queries()["V12_report"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "FlatMapGroupsInArrow" not in plan
+    rows = {(r.chunk, r.check): r.passed for r in got.collect()}
+    assert len(rows) == 9 and rows[("bounds", "rsi_daily")] and rows[("rules", "rsi_bounded")]
