@@ -13,7 +13,9 @@ removed, of every occurrence.
    streamed through it by backward search, and windows whose interval holds two or more
    suffixes are repeated.
 4. A key with more than KEY_SEGMENTS distinct segments does not go to one shard: its
-   windows are counted by their hashes (128 bits), which gives the same answer.
+   windows are counted by their hashes (128 bits), which gives the same answer.  They
+   stand in blocks of neighbours; only blocks that share words with another one, and are
+   not equal to one, are taken apart.
 
 Null or blank text: no words, nothing removed, the hash of the empty string.  Texts
 under 35 words are never touched.  Repeated rows are occurrences of their own.  Null
@@ -140,23 +142,64 @@ def _indexed(parts: DataFrame, shards: int, window: int) -> DataFrame:
         search, "row_key long, first int, windows int")
 
 
-def _counted(parts: DataFrame, window: int) -> DataFrame:
-    """The same for segments of keys with very many of them, by counting window hashes."""
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                flat = np.frombuffer(batch.column("held")[i].as_py(), np.uint64)
-                n = len(flat) - window + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, batch.column(c)[i].as_py(), np.int64)) for c in ("row_key", "n")]
-                    + [pa.array(batch.column("first")[i].as_py() + np.arange(n, dtype=np.int32), pa.int32()),
-                       pa.array(window_hashes(flat, window).view(np.int64)),
-                       pa.array(window_hashes(mix(flat), window).view(np.int64))], ["row_key", "n", "first", "h1", "h2"])
+def _blocks(parts: DataFrame, window: int, gram: int) -> DataFrame:
+    """The windows of segments in blocks of neighbours, as (row_key, n, first, windows, block,
+    c1, c2, hashes): the block counts from the n-gram that gives the key, c1 and c2 are hashes
+    of the words that all windows of a whole block share, hashes has those of each window.
+
+    Equal windows hold their n-gram at the same place, so they stand in equal blocks with
+    equal shared words."""
+    places = window - gram + 1
+    size = max(1, places // 4)
 
-    rows = parts.select("row_key", "first", "n", "held").mapInArrow(
-        hashes, "row_key long, n long, first int, h1 long, h2 long")
-    several = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    return rows.filter("n = 1").join(several, ["h1", "h2"], "left_semi").select("row_key", "first", F.lit(1).alias("windows"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            count = batch.column("windows").to_numpy().astype(np.int64)
+            flat = np.frombuffer(b"".join(batch.column("held").to_pylist()), np.uint64)
+            starts = np.cumsum(count + window - 1) - (count + window - 1)
+            place = np.lib.stride_tricks.sliding_window_view(window_hashes(flat, gram), places)[starts].argmin(1)
+            own = np.repeat(np.arange(len(count)), count)
+            offset = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+            block = (place[own] - offset) // size
+            new = np.ones(len(own), bool)
+            new[1:] = (own[1:] != own[:-1]) | (block[1:] != block[:-1])
+            at = np.flatnonzero(new)
+            seg, block = own[at], block[at]
+            shared = starts[seg] + place[seg] - block * size
+            several, one = [[window_hashes(words, n).view(np.int64) for words in (flat, mix(flat))]
+                            for n in (window, window - size + 1)]
+            each = pa.StructArray.from_arrays([pa.array(h[starts[own] + offset]) for h in several], ["h1", "h2"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row_key").take(pa.array(seg)), batch.column("n").take(pa.array(seg)),
+                 pa.array((batch.column("first").to_numpy()[seg] + offset[at]).astype(np.int32)),
+                 pa.array(np.diff(np.append(at, len(own))).astype(np.int32)), pa.array(block.astype(np.int32)),
+                 *[pa.array(h[shared]) for h in one],
+                 pa.ListArray.from_arrays(pa.array(np.append(at, len(own)).astype(np.int32)), each)],
+                ["row_key", "n", "first", "windows", "block", "c1", "c2", "hashes"])
+
+    return parts.select("row_key", "first", "windows", "n", "held").mapInArrow(
+        cut, "row_key long, n long, first int, windows int, block int, c1 long, c2 long, hashes array<struct<h1:long,h2:long>>")
+
+
+def _counted(parts: DataFrame, window: int, gram: int) -> DataFrame:
+    """The same for segments of keys with very many of them, by counting hashes.
+
+    A block whose shared words stand in no other segment has no repeated window; all windows
+    of a block that occurs twice are repeated.  Only those of the others are counted."""
+    same = ["block", "c1", "c2"]
+    blocks = stored(_blocks(parts, window, gram))
+    folded = blocks.groupBy(*same, "hashes").agg(F.sum("n").alias("k"), F.min(F.struct("row_key", "first")).alias("one"))
+    kinds = folded.groupBy(*same).agg(F.count(F.lit(1)).alias("d"), F.max("k").alias("most")).filter("d > 1 or most > 1")
+    folded = stored(folded.join(kinds, same))
+    whole = blocks.filter("n = 1").join(folded.filter("k > 1").select(*same, "hashes"), [*same, "hashes"], "left_semi").select(
+        "row_key", "first", "windows")
+    rows = folded.filter("d > 1").select("k", "one.*", F.posexplode("hashes").alias("i", "h")).select(
+        "k", "row_key", (F.col("first") + F.col("i")).alias("first"), "h.h1", "h.h2")
+    several = rows.groupBy("h1", "h2").agg(F.sum("k").alias("sum")).filter("sum > 1").select("h1", "h2")
+    return whole.unionAll(rows.filter("k = 1").join(several, ["h1", "h2"], "left_semi").select(
+        "row_key", "first", F.lit(1).alias("windows")))
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -177,7 +220,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     large = wanted.filter(f"d > {KEY_SEGMENTS}").select("key").distinct()
     parts = stored(parts.join(large.withColumn("large", F.lit(True)), "key", "left"))
     few = _indexed(parts.filter("large is null"), -(-size // SHARD_SEGMENTS), window)
-    many = _counted(parts.filter("large"), window)
+    many = _counted(parts.filter("large"), window, gram)
     return whole.unionAll(few).unionAll(many)
 
 
