@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -64,6 +65,32 @@ def test_join_chain_without_centre(make_docs):
     assert len(set(root.values())) < len(rows)
 
 
+def test_join_crowd(make_docs, monkeypatch):
+    """Near copies around the threshold: rounds of stars join most of them, and few of the pairs
+    that meet are left for the end."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(240):
+        w = [f"c{k}" for k in range(200)]
+        for k in rng.sample(range(200), 3):
+            w[k] = f"edit{i}"
+        rows.append((i, " ".join(w), "a"))
+    rest, left = ngram_join._rest, []
+
+    def seen(*args):
+        pairs = rest(*args)
+        left.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(ngram_join, "_rest", seen)
+    got = {r.doc_id: r.component_id for r in ngram_join.link(make_docs(rows)).collect()}
+    want = components({i: shingles(t) for i, t, _ in rows})
+    assert got == want
+    monkeypatch.setattr(ngram_join, "CROWD", float("inf"))
+    assert {r.doc_id: r.component_id for r in ngram_join.link(make_docs(rows)).collect()} == want
+    assert 2 * left[0] < left[1], left
+
+
 def test_join_odd_rows(odd_docs, no_docs):
     got = ngram_join.link(odd_docs).collect()
     assert len(got) == 15
@@ -105,6 +132,35 @@ def test_substring_odd_rows(odd_docs, no_docs):
     assert substring.remove(no_docs).count() == 0
 
 
+def test_substring_hot_key(spark, make_docs, monkeypatch):
+    """A line that many texts hold, and near copies of a passage: whole results, and of each
+    segment a few blocks, not a row per window."""
+    rng = random.Random(3)
+    line = [f"common{i}" for i in range(20)]
+    passage = [f"p{i}" for i in range(120)]
+    rows = []
+    for i in range(160):
+        own = [f"d{i}w{k}" for k in range(rng.randint(0, 60))]
+        copy = list(passage)
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(len(copy))] = f"edit{i}"
+        rows.append((i, " ".join(own + line + (copy if i % 2 else own[::-1])), "a"))
+    docs = make_docs(rows + rows[:3])
+    cut, made = substring._blocks, []
+
+    def seen(parts, window, gram):
+        out = substring.stored(cut(parts, window, gram))
+        made.append((parts.count(), out.count(), out.agg(F.sum("windows")).first()[0]))
+        return out
+
+    monkeypatch.setattr(substring, "KEY_SEGMENTS", 5)
+    monkeypatch.setattr(substring, "_blocks", seen)
+    got = substring.remove(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_substring(rows_of(docs))
+    segments, blocks, windows = made[0]
+    assert segments > 200 and blocks <= 5 * segments and 3 * blocks < windows
+
+
 def test_mix(spark, sf_dir, table):
     rows = registered.op2_curriculum_mix(spark, sf_dir).join(table("documents").select("doc_id", "source"), "doc_id").collect()
     size = {i: len(words(t)) for i, t in rows_of(table("documents"))}

@@ -20,8 +20,9 @@ Two texts link when 4 * |A and B| >= 3 * |A or B| over their sets of distinct
 5. Rounds of stars compare each node with one listed node per shingle and band, first
    the one with the fewest rare shingles before it, and join what links into
    components, while that halves what is left: the meetings of nodes in different
-   components.  All of these are verified then, so no component is missed, and a group
-   of near copies costs no pairs by the square.
+   components.  Crowds, the cells whose meetings grow by the square, have rounds of their
+   own with several centres each.  All that is left is verified then, so no component is
+   missed, and a group of near copies costs no pairs by the square.
 
 A document whose text is null or blank has an empty set and links with nothing.
 Rows with a null doc_id get component null.  Rows that share a doc_id share a
@@ -53,6 +54,9 @@ BAND = 1.15
 #: Another star round is only worth its jobs while more meetings than this many per
 #: posting are left.
 LEFT_PER_POSTING = 16
+#: A crowd is a (token, band) with more meetings than this many per posting; its nodes meet
+#: STARS centres a round.
+CROWD, STARS = 4, 8
 
 
 def _row_starts(row: np.ndarray, n: int) -> np.ndarray:
@@ -220,34 +224,85 @@ def _meet(lookups: DataFrame, lists: DataFrame) -> DataFrame:
             .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
 
 
-def _star(postings: DataFrame, turn: int) -> DataFrame:
+def _star(postings: DataFrame, turn: int, stars: int = 1) -> DataFrame:
     """Each lookup with one listed node: in the first turn the one with the fewest
-    shingles before, later one of a component that changes with the turn."""
+    shingles before, later one of a component that changes with the turn; or with those
+    of several turns."""
     lookups, lists = _sides(postings)
-    first = F.lit(0) if turn == 0 else F.xxhash64(F.lit(turn), "ry")
-    centre = lists.groupBy("token", "band").agg(F.min(F.struct(
-        first.alias("k"), "iy", F.xxhash64("y").alias("h"), "y", "ny", "my", "ry")).alias("c")).select("token", "band", "c.*")
-    return _meet(lookups, centre.drop("k", "h"))
+    first = F.lit(0) if turn == 0 else F.xxhash64("turn", "ry")
+    turns = F.lit(turn) if stars == 1 else F.explode(F.sequence(F.lit(turn), F.lit(turn + stars - 1)))
+    key = ["token", "band"] + (["turn"] if stars > 1 else [])
+    centre = lists.withColumn("turn", turns).groupBy(*key).agg(F.min(F.struct(
+        first.alias("k"), "iy", F.xxhash64("y").alias("h"), "y", "ny", "my", "ry")).alias("c")).select("token", "band", "c.*").drop("k", "h")
+    return _meet(lookups, centre if stars == 1 else centre.distinct())
 
 
-def _rest(postings: DataFrame) -> tuple[int, DataFrame]:
-    """How many meetings there are between different components, and their candidates.
-    The largest component of a (token, band) stands on one side of a join only."""
+def _cells(postings: DataFrame) -> DataFrame:
+    """token, band, left, size, top: the meetings between different components, the postings
+    and the largest component of each (token, band) that has such meetings."""
     lookups, lists = _sides(postings)
     key = ["token", "band"]
     cells = (lookups.select(*key, F.col("rx").alias("root"), F.lit(1).alias("p"), F.lit(0).alias("q"))
              .unionAll(lists.select(*key, F.col("ry").alias("root"), F.lit(0).alias("p"), F.lit(1).alias("q")))
              .groupBy(*key, "root").agg(F.sum("p").alias("p"), F.sum("q").alias("q")))
     number = F.col("p").cast("double") * F.col("q")
-    tops = stored(cells.groupBy(*key).agg(
-        (F.sum("p").cast("double") * F.sum("q") - F.sum(number)).alias("left"),
+    return stored(cells.groupBy(*key).agg(
+        (F.sum("p").cast("double") * F.sum("q") - F.sum(number)).alias("left"), F.sum(F.col("p") + F.col("q")).alias("size"),
         F.max(F.struct((F.col("p") + F.col("q")).alias("k"), "root")).alias("top")).filter("left > 0").select(
-        *key, "left", F.col("top.root").alias("top")))
-    left = tops.agg(F.sum("left")).first()[0] or 0
-    x, y = lookups.join(tops.select(*key, "top"), key), lists.join(tops.select(*key, "top"), key)
+        *key, "left", "size", F.col("top.root").alias("top")))
+
+
+def _meetings(cells: DataFrame) -> int:
+    return int(cells.agg(F.sum("left")).first()[0] or 0)
+
+
+def _rest(postings: DataFrame, cells: DataFrame) -> DataFrame:
+    """The candidates among the meetings between different components.  The largest
+    component of a (token, band) stands on one side of a join only; `cells` may be of
+    earlier roots, for any component may be that one."""
+    lookups, lists = _sides(postings)
+    key = ["token", "band"]
+    x, y = lookups.join(cells.select(*key, "top"), key), lists.join(cells.select(*key, "top"), key)
     minor = _meet(x.filter("rx <> top").drop("top"), y.drop("top"))
     major = _meet(x.filter("rx = top").drop("top"), y.filter("ry <> top").drop("top"))
-    return int(left), minor.unionAll(major).distinct()
+    return minor.unionAll(major).distinct()
+
+
+class _Search:
+    """The links found so far and the components that they make."""
+
+    def __init__(self, postings: DataFrame, known: DataFrame):
+        self.postings, self.known = postings, known
+        self.edges, self.roots = None, None
+
+    def rooted(self, rows: DataFrame, column: str = "node") -> DataFrame:
+        """rows with the component of a column's node as `root`."""
+        if self.roots is None:
+            return rows.withColumn("root", F.col(column))
+        found = self.roots.select(F.col("node").alias(column), "root")
+        return rows.join(found, column, "left").withColumn("root", F.coalesce("root", column))
+
+    def add(self, pairs: DataFrame, docs: DataFrame) -> None:
+        found = stored(_verify(pairs, docs, self.known))
+        if not found.isEmpty():
+            self.edges = found if self.edges is None else self.edges.unionAll(found)
+            self.roots = stored(components(self.edges))
+
+    def crowds(self, tokens: DataFrame, docs: DataFrame, turn: int) -> int:
+        """Rounds of several stars on the postings of these tokens only, while they halve
+        the meetings; how many are left."""
+        few = stored(self.postings.join(tokens, "token", "left_semi"))
+        size = few.count()
+        texts = stored(rows_with_bits(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
+                                      "doc_id", key_bits(few.select("node"), "node")))
+        before = float("inf")
+        while True:
+            marked = stored(self.rooted(few))
+            left = _meetings(_cells(marked))
+            if left <= size or 2 * left > before:
+                return left
+            self.add(_star(marked, turn, STARS), texts)
+            before, turn = left, turn + STARS
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -303,27 +358,30 @@ def _linked(docs: DataFrame, first: DataFrame) -> DataFrame:
         "k > 1 and listed").select("token")
     postings = stored(spread.join(several, "token").select("token", "node", "n", "i"))
     size = postings.count()
-    edges, roots = None, None
+    roots = None
     if size:
         known = stored(nodes.select("node", F.col("n").cast("int").alias("n"), "parts").join(
             postings.select("node"), "node", "left_semi"))
-        marked = postings.withColumn("root", F.col("node"))
-        pairs, turn, last, before = _star(marked, 0), 0, False, float("inf")
+        search = _Search(postings, known)
+        pairs, turn, last, before = _star(search.rooted(postings), 0), 0, False, float("inf")
         while True:
-            found = stored(_verify(pairs, docs, known))
-            if not found.isEmpty():
-                edges = found if edges is None else edges.unionAll(found)
-                roots = stored(components(edges))
-                marked = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            search.add(pairs, docs)
             if last:
                 break
-            left, pairs = _rest(marked)
+            cells = _cells(search.rooted(postings))
+            left = _meetings(cells)
+            tokens = stored(cells.filter(F.col("left") > float(CROWD) * F.col("size")).select("token").distinct())
+            if not tokens.isEmpty():
+                left -= _meetings(cells.join(tokens, "token", "left_semi"))
+                left += search.crowds(tokens, docs, 1 + turn * (STARS + 1) * 64)
+                cells = search.rooted(cells.withColumnRenamed("top", "was"), "was").withColumnRenamed("root", "top")
             if not left:
                 break
             last = left <= LEFT_PER_POSTING * size or 2 * left > before
             before, turn = left, turn + 1
-            if not last:
-                pairs = _star(marked, turn)
+            marked = search.rooted(postings)
+            pairs = _rest(marked, cells) if last else _star(marked, turn)
+        roots = search.roots
     out = marks.join(classes, ["mark1", "mark2", "n"], "left")
     out = out.join(roots, "node", "left") if roots is not None else out.withColumn("root", F.lit(None).cast("long"))
     return out.select("doc_id", F.col("n").alias("n_shingles"),
