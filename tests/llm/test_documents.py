@@ -65,30 +65,16 @@ def test_join_chain_without_centre(make_docs):
     assert len(set(root.values())) < len(rows)
 
 
-def test_join_crowd(make_docs, monkeypatch):
-    """Near copies around the threshold: rounds of stars join most of them, and few of the pairs
-    that meet are left for the end."""
-    rng = random.Random(5)
-    rows = []
-    for i in range(240):
-        w = [f"c{k}" for k in range(200)]
-        for k in rng.sample(range(200), 3):
-            w[k] = f"edit{i}"
-        rows.append((i, " ".join(w), "a"))
-    rest, left = ngram_join._rest, []
-
-    def seen(*args):
-        pairs = rest(*args)
-        left.append(pairs.count())
-        return pairs
-
-    monkeypatch.setattr(ngram_join, "_rest", seen)
-    got = {r.doc_id: r.component_id for r in ngram_join.link(make_docs(rows)).collect()}
-    want = components({i: shingles(t) for i, t, _ in rows})
-    assert got == want
-    monkeypatch.setattr(ngram_join, "CROWD", float("inf"))
-    assert {r.doc_id: r.component_id for r in ngram_join.link(make_docs(rows)).collect()} == want
-    assert 2 * left[0] < left[1], left
+def test_join_crowd(spark):
+    """A crowd on one shingle: several centres a round, far fewer meetings than pairs; and cells
+    of earlier roots still give every pair of different components."""
+    rows = spark.range(50).selectExpr("1L AS token", "id AS node", "100 AS n", "0 AS i", "id AS root")
+    one, several = ngram_join._star(rows, 1).count(), ngram_join._star(rows, 1, 8).count()
+    assert one == 49 and 4 * one < several < 50 * 49 // 2 // 2
+    cells = ngram_join._cells(rows)
+    later = rows.withColumn("root", F.expr("CASE WHEN node < 30 THEN 0 ELSE node END"))
+    got = {(r.a, r.b) for r in ngram_join._rest(later, cells).collect()}
+    assert got == {(a, b) for a in range(50) for b in range(a) if a >= 30}
 
 
 def test_join_odd_rows(odd_docs, no_docs):
