@@ -130,3 +130,49 @@ def test_ranked_pairs_of_ties_nulls_and_partitions(spark):
         assert {r.total for r in got if r.feature == c} == {len(kept)}
     assert len(pdf) == 3030
     assert Q.ranked_pairs(df.limit(0), ["a"], "y").count() == 0
+
+
+def test_values_of_all_runs_reach_the_rows_of_the_bijection(spark, monkeypatch):
+    """Blocks of 64 rows and pieces of 100, with nulls and NaNs; every row scores the value that it is given."""
+    monkeypatch.setattr(Q, "BLOCK", 64)
+    monkeypatch.setattr(Q, "DEALT", 100)
+    monkeypatch.setattr(Q, "RANKED", 150)
+    n, seen = 777, []
+    x = [None if i % 50 == 3 else float("nan") if i % 50 == 4 else i / n for i in range(n)]
+    df = spark.createDataFrame([(i, x[i], i * 31 % 97 / 97, i % 3 % 2) for i in range(n)], "id long, a double, b double, y int").repartition(5)
+
+    def model(rows):
+        seen.append(rows)
+        return F.coalesce(F.nanvl("a", F.lit(2.0)), F.lit(3.0)) / 4
+
+    got = {r.feature: r.importance for r in Q.permutation_importance(model, df, ["a", "b"], ["id"], "y", "auc", repeats=2, seed=9).collect()}
+    rows = {(r._run, r.id): r for r in next(d for d in seen if "_r" in d.columns).collect()}
+    assert len(rows) == 4 * n
+    p = lambda v: (3.0 if v is None else 2.0 if v != v else v) / 4      # noqa: E731
+
+    def area(a):
+        up, down = ([p(v) for i, v in enumerate(a) if (i % 3 % 2 == 1) == side] for side in (True, False))
+        return sum((u > d) + (u == d) / 2 for u in up for d in down) / len(up) / len(down)
+
+    drops = []
+    for k in range(2):
+        to = Q.shuffled_places(np.arange(n), n, Q.shuffle_keys(9, f"a:{k}", n))
+        after = [None] * n
+        for i in range(n):
+            after[to[i]] = x[i]
+        assert [str(rows[k, i].a) for i in range(n)] == [str(v) for v in after]
+        drops.append(area(x) - area(after))
+    assert got["a"] == pytest.approx(np.mean(drops)) and got["b"] == 0
+
+
+def test_permuted_values_move_packed(spark, tmp_path):
+    """One exchange of a row per piece and block, not of a row per run and row, and no exchange of scores a row each."""
+    import json
+    rows = [(i, (i * 37 % 101) / 101, (i * 53 % 97) / 97) for i in range(5000)]
+    df = spark.createDataFrame(rows, "id long, a double, b double").withColumn("y", (F.col("a") > 0.5).cast("int"))
+    plan = Q.permutation_importance(lambda d: F.col("a") + F.col("b") / 7, df, ["a", "b"], ["id"], "y", "auc", repeats=3)._jdf.queryExecution()
+    plan.executedPlan().execute().count()
+    text = plan.executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in text and "data#" in text
+    assert "hashpartitioning(_at" not in text and "hashpartitioning(run_id" in text and "prob#" not in "".join(
+        line for line in text.splitlines() if "hashpartitioning" in line)

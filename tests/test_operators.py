@@ -30,6 +30,20 @@ def brute_pairs(pdf, fn):
     return np.mean(fn(pos[:, None], neg[None, :]))
 
 
+@pytest.mark.parametrize("cuts", [[], [0.5], [-2.0, 0.2, 0.37, 0.4, 0.41, 0.9]])
+def test_auc_in_pieces_is_the_same(spark, pred, cuts, monkeypatch):
+    """Between any cuts, with scores packed from 50 rows at a time, below 0 and missing, and a run without a name."""
+    monkeypatch.setattr(E, "PACKED", 50)
+    odd = [("odd", i, (i % 7 - 3) / 5 if i % 9 else None, i % 2 if i % 11 else None) for i in range(200)]
+    more = spark.createDataFrame(odd + [(None, i, i % 13 / 13, i % 3 % 2) for i in range(90)], pred.schema)
+    rows = pred.unionByName(more).repartition(6)
+    want, got = (sorted(map(tuple, d.collect()), key=str) for d in (E.roc_auc(rows), E.roc_auc(rows, cuts)))
+    assert E.roc_auc(rows).schema == E.roc_auc(rows, cuts).schema
+    assert [w[:3] for w in want] == [g[:3] for g in got]
+    assert [w[3] for w in want] == pytest.approx([g[3] for g in got], abs=1e-12)
+    assert E.roc_auc(rows.limit(0), cuts).count() == 0
+
+
 def test_auc_with_ties(pred):
     got = {r["run_id"]: r["auc"] for r in E.roc_auc(pred).collect()}
     pdf = pred.toPandas()

@@ -10,6 +10,8 @@ from __future__ import annotations
 from math import comb
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,11 +88,88 @@ def _levels(counts: DataFrame):
     return [(counts, [RUN, "_d1", "_d2"], PROB), (mid, [RUN, "_d1"], "_d2"), (top, [RUN], "_d1")]
 
 
-def roc_auc(pred: DataFrame) -> DataFrame:
+#: Rows whose scores a task packs together.
+PACKED = 1 << 20
+
+
+def _scores_packed(cuts: np.ndarray):
+    """Scores, labels and runs, as ``run_id, piece, size, data``: the different scores of a run
+    between two cuts, in order, with their positives and negatives.  A score that many rows
+    share is one entry, so one that holds most rows meets no single task."""
+    def told(rows: pa.Table):
+        code = pc.dictionary_encode(rows.column(0).combine_chunks(), null_encoding="encode")
+        prob, label = rows.column(1).to_numpy() + 0.0, rows.column(2)
+        bits = np.where(np.isnan(prob), np.nan, prob).view(np.int64)
+        key = np.where(bits < 0, bits ^ np.iinfo(np.int64).max, bits)
+        key[rows.column(1).is_null().to_numpy()] = np.iinfo(np.int64).min
+        known, pos = label.is_valid().to_numpy(), pc.fill_null(label, 0).to_numpy()
+        run = code.indices.to_numpy()
+        order = np.lexsort((key, run))
+        run, key, pos, neg = run[order], key[order], pos[order], (known * 1 - pos)[order]
+        piece = np.searchsorted(cuts, key, "right")
+        new = np.r_[True, (run[1:] != run[:-1]) | (key[1:] != key[:-1])]
+        starts = np.flatnonzero(new)
+        run, key, piece = run[starts], key[starts], piece[starts]
+        pos, neg = np.add.reduceat(pos, starts), np.add.reduceat(neg, starts)
+        edges = np.r_[0, np.flatnonzero((run[1:] != run[:-1]) | (piece[1:] != piece[:-1])) + 1, len(run)]
+        data, head = [], edges[:-1]
+        for a, b in zip(edges[:-1], edges[1:]):
+            cells = np.concatenate((key[a:a + 1], np.diff(key[a:b]), pos[a:b], neg[a:b])).astype(np.int64)
+            data.append(pa.compress(cells.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True))
+        return pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(run[head])), pa.array(piece[head].astype(np.int64)),
+                                           pa.array(np.diff(edges).astype(np.int64)), pa.array(data, pa.binary())], names=[RUN, "piece", "size", "data"])
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= PACKED:
+                yield told(pa.Table.from_batches(held))
+                held = []
+        if held:
+            yield told(pa.Table.from_batches(held))
+
+    return run
+
+
+def _won(table: pa.Table) -> pa.Table:
+    """Of a run's scores between two cuts: positives, negatives, and pairs won among them."""
+    cells = []
+    for data, size in zip(table.column("data").to_pylist(), table.column("size").to_pylist()):
+        got = pa.decompress(data, decompressed_size=24 * size, codec="zstd", asbytes=True)
+        got = np.ascontiguousarray(np.frombuffer(got, np.uint8).reshape(8, 3 * size).T).view(np.int64).reshape(3, size)
+        cells.append(np.stack((np.cumsum(got[0]), got[1], got[2])))
+    key, pos, neg = np.concatenate(cells, axis=1)
+    order = np.argsort(key, kind="stable")
+    key, pos, neg = key[order], pos[order], neg[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    pos, neg = np.add.reduceat(pos, starts), np.add.reduceat(neg, starts)
+    won = float((pos * (np.cumsum(neg) - neg + 0.5 * neg)).sum())
+    return table.slice(0, 1).select([RUN, "piece"]).append_column("pos", pa.array([int(pos.sum())])).append_column(
+        "neg", pa.array([int(neg.sum())])).append_column("won", pa.array([won]))
+
+
+def _auc_in_pieces(pred: DataFrame, cuts: list[float]) -> DataFrame:
+    """Pairs are counted between the pieces of a run and inside each one."""
+    bits = (np.array(sorted({*cuts}), float) + 0.0).view(np.int64)
+    kind = pred.schema[RUN].dataType.simpleString()
+    rows = pred.select(RUN, F.col(PROB).cast("double"), F.col(LABEL).cast("long"))
+    packed = rows.mapInArrow(_scores_packed(np.where(bits < 0, bits ^ np.iinfo(np.int64).max, bits)), f"{RUN} {kind}, piece long, size long, data binary")
+    parts = packed.groupBy(RUN, "piece").applyInArrow(_won, f"{RUN} {kind}, piece long, pos long, neg long, won double")
+    below = F.coalesce(F.sum("neg").over(_before([RUN], "piece")), F.lit(0))      # a row per run and piece
+    return parts.select(RUN, "pos", "neg", (F.col("won") + F.col("pos").cast("double") * below).alias("won"))
+
+
+def roc_auc(pred: DataFrame, cuts: list[float] | None = None) -> DataFrame:
     """Exact tie-aware area under the ROC curve; null for a one-class run.
 
     Pairs (positive above negative) are counted once at the level where the two
-    scores part: first digit, second digit, or score."""
+    scores part: first digit, second digit, or score.  `cuts`, for runs of many different
+    scores, are scores that part the rows of a run into pieces that a task can hold; the
+    scores then move once, packed.  The result is the same whatever they are."""
+    if cuts is not None:
+        return _area(_auc_in_pieces(pred, cuts))
     parts = []
     for i, (df, group, order) in enumerate(_levels(score_counts(pred))):
         below = F.coalesce(F.sum("neg").over(_before(group, order)), F.lit(0))
@@ -100,7 +179,10 @@ def roc_auc(pred: DataFrame) -> DataFrame:
         theirs = F.col("neg") if i == 0 else F.lit(0)
         parts.append(df.select(RUN, won.cast("double").alias("won"), mine.cast("long").alias("pos"),
                                theirs.cast("long").alias("neg")))
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _area(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+def _area(rows: DataFrame) -> DataFrame:
     s = rows.groupBy(RUN).agg(F.sum("won").alias("won"), F.sum("pos").alias("n_pos"),
                               F.sum("neg").alias("n_neg"))
     pairs = F.col("n_pos").cast("double") * F.col("n_neg")

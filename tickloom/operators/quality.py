@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions.totals import running_totals
 from tickloom.sources.tables import stored
@@ -293,16 +294,109 @@ def shuffled(position: Column, n: int, keys: Column) -> Column:
     return F.aggregate(keys, position.cast("long"), step)
 
 
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """x % PRIME of numbers from 0 on; the prime is a power of two less one."""
+    x = (x & PRIME) + (x >> 31)
+    x = (x & PRIME) + (x >> 31)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
 def shuffled_places(position: np.ndarray, n: int, keys: list[tuple[int, int, int]]) -> np.ndarray:
-    """The same bijection for the positions of a batch."""
-    p = position.astype(np.int64)
-    for mirror, a, b in keys:
-        other = mirror - p
-        other = np.where(other < 0, other + n, other)
-        x = (np.maximum(p, other) % PRIME * a + b) % PRIME
-        x = (x * x + b) % PRIME
-        p = np.where((x >> 16) & 1, other, p)
-    return p
+    """The same bijection for the positions of a batch.  A round undoes itself, so the keys
+    in reverse order lead back."""
+    out = np.empty(len(position), np.int64)
+    for at in range(0, len(position), SLICE):
+        p = position[at:at + SLICE].astype(np.int64)
+        for mirror, a, b in keys:
+            other = mirror - p
+            other += n * (other < 0)
+            x = _modulo(_modulo(np.maximum(p, other)) * a + b)
+            x = _modulo(x * x + b)
+            p = np.where((x >> 16) & 1, other, p)
+        out[at:at + SLICE] = p
+    return out
+
+
+#: Positions that are filled together, and rows that are dealt out together.
+BLOCK, DEALT = 1 << 16, 1 << 18
+#: Scores of a run that are ranked together.
+RANKED = 1 << 19
+#: The bits of a missing value; a NaN has others.
+MISSING = 0x7FF8000000000001
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side: those of the exponents take next to nothing."""
+    return pa.compress(values.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    got = pa.decompress(data, decompressed_size=8 * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(got, np.uint8).reshape(8, size).T).view(np.int64).ravel()
+
+
+def _dealt(n: int, runs: list[tuple[int, list]]):
+    """Rows in the order of their positions, as ``block, start, rows, size, data``: the values
+    that ``rows`` positions from ``start`` on give to a block, run after run in the order of the
+    positions.  A run is the number of its column and its keys.  The places need not be told:
+    the block finds who gives to it."""
+    blocks = -(-n // BLOCK)
+    kind = np.uint16 if blocks <= 1 << 16 else np.int64
+
+    def told(start: int, columns: list[np.ndarray]):
+        at = np.arange(start, start + len(columns[0]))
+        dealt = []
+        for i, keys in runs:
+            to = (shuffled_places(at, n, keys) // BLOCK).astype(kind)
+            dealt.append((columns[i][np.argsort(to, kind="stable")], np.r_[0, np.cumsum(np.bincount(to, minlength=blocks))]))
+        out = []
+        for b in range(blocks):
+            values = np.concatenate([v[e[b]:e[b + 1]] for v, e in dealt])
+            if len(values):
+                out.append((b, start, len(at), len(values), _packed(values)))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (*[pa.int64()] * 4, pa.binary()))], names=["block", "start", "rows", "size", "data"])
+
+    def run(batches):
+        start, held = 0, []
+        for batch in batches:
+            at, columns = batch.column(0).to_numpy(zero_copy_only=False), []
+            for column in batch.columns[1:]:
+                x = column.to_numpy(zero_copy_only=False).astype(float)
+                bits = np.where(np.isnan(x), np.nan, x).view(np.int64)
+                columns.append(np.where(column.is_null().to_numpy(zero_copy_only=False), MISSING, bits))
+            for rows in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) != 1) + 1):
+                if not len(rows):
+                    continue
+                have = sum(len(h[0]) for h in held)
+                if held and (at[rows[0]] != start + have or have >= DEALT):
+                    yield told(start, [np.concatenate(c) for c in zip(*held)])
+                    held = []
+                start = start if held else int(at[rows[0]])
+                held.append([c[rows[0]:rows[-1] + 1] for c in columns])
+        if held:
+            yield told(start, [np.concatenate(c) for c in zip(*held)])
+
+    return run
+
+
+def _given(n: int, runs: list[tuple[int, list]]):
+    """The rows of a block with ``_given``, the value that every run gives to a row."""
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        at, told = rows.column("_at").to_numpy(), told.sort_by("start")
+        starts = told.column("start").to_numpy()
+        ends = starts + told.column("rows").to_numpy()
+        data = [_unpacked(d, s) for d, s in zip(told.column("data").to_pylist(), told.column("size").to_pylist())]
+        used, out = np.zeros(len(data), np.int64), np.empty((len(at), len(runs)), np.int64)
+        for r, (_, keys) in enumerate(runs):
+            giver = shuffled_places(at, n, keys[::-1])
+            order = np.argsort(giver)
+            got = np.searchsorted(giver, ends, sorter=order) - np.searchsorted(giver, starts, sorter=order)
+            out[order, r] = np.concatenate([d[u:u + g] for d, u, g in zip(data, used, got)])
+            used += got
+        values = pa.array(out.view(float).ravel(), pa.float64(), mask=(out == MISSING).ravel())
+        return rows.drop_columns(["_block"]).append_column("_given", pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * len(runs), pa.int32()), values))
+
+    return run
 
 
 def permutation_importance(model, df: DataFrame, columns: list[str], row_id: list[str], target: str,
@@ -312,8 +406,8 @@ def permutation_importance(model, df: DataFrame, columns: list[str], row_id: lis
     `model` is a fitted model with a probability column, or a function of a table that
     gives the column of the probability.  Rows get one position by their identity; a
     keyed bijection of the positions says which row gives its value to which, for every
-    feature and repeat.  Only those values are shuffled per run, and the table once.  The places of a
-    batch are computed together."""
+    feature and repeat.  Only those values move, packed by blocks of positions, in one
+    exchange for all runs; the rows move once."""
     from pyspark.ml.functions import vector_to_array
 
     from tickloom.operators import evaluate as E
@@ -321,35 +415,37 @@ def permutation_importance(model, df: DataFrame, columns: list[str], row_id: lis
     if metric not in ("precision", "auc"):
         raise ValueError("metric must be precision or auc")
 
-    def score(rows: DataFrame, by: str) -> DataFrame:
+    def scored(rows: DataFrame, by: str) -> DataFrame:
         if callable(getattr(model, "transform", None)):
             rows, prob = model.transform(rows), vector_to_array("probability")[1]
         else:
             prob = model(rows)
-        p = rows.select(F.col(by).alias("run_id"), F.col(target).alias("label"), prob.alias("prob"))
-        if metric == "auc":
-            return E.roc_auc(p).select("run_id", F.col("auc").alias("score"))
-        return E.with_rates(E.confusion(p)).select("run_id", F.col("precision").alias("score"))
+        return rows.select(F.col(by).alias("run_id"), F.col(target).alias("label"), prob.alias("prob"))
 
-    df = stored(df)
-    placed = stored(running_totals(df, [], [F.col(i) for i in row_id], {"_at": F.lit(1)}))
+    placed = running_totals(df, [], [F.col(i) for i in row_id], {"_at": F.lit(1)})
     n = placed.count()
-    runs = [(f"{c}:{k}", i, shuffle_keys(seed, f"{c}:{k}", n)) for i, c in enumerate(columns) for k in range(repeats)] if n else []
+    runs = [(i, shuffle_keys(seed, f"{c}:{k}", n)) for i, c in enumerate(columns) for k in range(repeats)] if n else []
+    before = scored(placed.withColumn("_run", F.lit("all")), "_run")
+    parts = -(-n // RANKED)
+    # one row; the scores of the runs are about as the first ones
+    cuts = before.agg(F.percentile_approx("prob", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if metric == "auc" and parts > 1 else []
 
-    def dealt(batches):
-        for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False)
-            for r, (_, i, keys) in enumerate(runs):
-                yield pa.RecordBatch.from_arrays([pa.array(shuffled_places(at, n, keys)), pa.array(np.full(len(at), r, np.int32)), batch.column(i + 1)],
-                                                 names=["_at", "_r", "_x"])
-
-    given = placed.select("_at", *[F.col(c).cast("double") for c in columns]).mapInArrow(dealt, "_at long, _r int, _x double")
-    at, no = F.array(*[F.lit(i) for _, i, _ in runs] or [F.lit(0)]), F.array(*[F.lit(name) for name, _, _ in runs] or [F.lit("")])
-    rows = placed.join(given, "_at").withColumns({"_run": F.col("_r"), **{
-        c: F.when(at[F.col("_r")] == i, F.col("_x")).otherwise(F.col(c)) for i, c in enumerate(columns)}})
-    baseline = score(df.withColumn("_run", F.lit("all")), "_run").select(F.col("score").alias("baseline"))
-    got = score(rows, "_run").join(F.broadcast(baseline))       # one row
-    return got.groupBy(F.split(no[F.col("run_id")], ":")[0].alias("feature")).agg(
+    def score(p: DataFrame) -> DataFrame:
+        if metric == "auc":
+            return E.roc_auc(p, cuts or []).select("run_id", F.col("auc").alias("score"))
+        return E.with_rates(E.confusion(p)).select("run_id", F.col("precision").alias("score"))
+
+    told = placed.select("_at", *[F.col(c).cast("double") for c in columns]).mapInArrow(
+        _dealt(n, runs), "block long, start long, rows long, size long, data binary")
+    blocks = placed.withColumn("_block", F.floor(F.col("_at") / BLOCK))
+    given = blocks.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(
+        _given(n, runs), T.StructType([*placed.schema.fields, T.StructField("_given", T.ArrayType(T.DoubleType()))]))
+    rows = given.select(*placed.columns, F.posexplode("_given").alias("_r", "_x")).withColumns({"_run": F.col("_r"), **{
+        c: F.when(F.floor(F.col("_r") / repeats) == i, F.col("_x")).otherwise(F.col(c)) for i, c in enumerate(columns)}})
+    baseline = score(before).select(F.col("score").alias("baseline"))
+    got = score(scored(rows, "_run")).join(F.broadcast(baseline))       # one row
+    names = F.array(*[F.lit(c) for c in columns])
+    return got.groupBy(names[F.floor(F.col("run_id") / repeats).cast("int")].alias("feature")).agg(
         F.avg(F.col("baseline") - F.col("score")).alias("importance"))
 
 
