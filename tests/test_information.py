@@ -176,3 +176,31 @@ def test_permuted_values_move_packed(spark, tmp_path):
     assert "FlatMapCoGroupsInArrow" in text and "data#" in text
     assert "hashpartitioning(_at" not in text and "hashpartitioning(run_id" in text and "prob#" not in "".join(
         line for line in text.splitlines() if "hashpartitioning" in line)
+
+
+@pytest.mark.parametrize("block", [40, 700, 100_000])
+def test_rare_classes_and_ties_across_blocks(spark, block, monkeypatch):
+    """Blocks smaller than a cell's ties; a class of three rows far apart, one of two, ties of several classes."""
+    from tickloom.operators import information as I
+    monkeypatch.setattr(I, "CELL", 16)
+    r = np.random.default_rng(8)
+    n = 4000
+    y = np.where(np.arange(n) % 1000 == 7, "rare", np.where(np.arange(n) % 1999 == 5, "two", r.choice(["u", "v", "w"], n)))
+    cols = {"a": np.round(r.normal(size=n) + (y == "u"), 2), "b": r.normal(size=n), "c": r.integers(0, 3, n).astype(float)}
+    df = spark.createDataFrame([(str(y[i]), *(float(v[i]) for v in cols.values())) for i in range(n)], "y string, a double, b double, c double").repartition(5)
+    got = {x.feature: x.mutual_information for x in neighbour_information(df, list(cols), "y", block=block).collect()}
+    for name, x in cols.items():
+        assert got[name] == pytest.approx(brute(x, y), abs=1e-7)
+
+
+def test_only_values_at_the_edges_of_blocks_are_counted_across(spark, monkeypatch):
+    """Running totals, which sort their rows once more, got every value and two questions for each."""
+    from tickloom.operators import information as I
+    counted = []
+    plain = I.running_totals
+    monkeypatch.setattr(I, "running_totals", lambda df, *a, **b: (counted.append(df.count()), plain(df, *a, **b))[1])
+    r = np.random.default_rng(4)
+    y = r.integers(0, 2, 20_000)
+    df = spark.createDataFrame([(int(v), float(x)) for v, x in zip(y, y + r.normal(size=len(y)))], "y int, a double")
+    got = neighbour_information(df, ["a"], "y").first()
+    assert sum(counted) < 2000 and got.mutual_information > 0.05
