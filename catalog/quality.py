@@ -119,7 +119,7 @@ def queries() -> dict:
     reg("Q04_redundancy")(lambda s, sf: Q.redundancy(rows(s, sf), COLS))
     reg("Q05_max_redundancy")(lambda s, sf: Q.max_redundancy(Q.redundancy(rows(s, sf), COLS)))
     reg("Q03_neighbour_information")(lambda s, sf: neighbour_information(stored(rows(s, sf).select(*COLS, "y")), COLS, "y"))
-    reg("Q03_neighbour_information_gaps", 5)(lambda s, sf: neighbour_information(gaps(s, sf), COLS, "y"))
+    reg("Q03_neighbour_information_gaps", 5)(lambda s, sf: neighbour_information(stored(gaps(s, sf).select(*COLS, "y")), COLS, "y"))
     reg("Q04_redundancy_gaps")(lambda s, sf: Q.redundancy(gaps(s, sf), COLS))
     reg("Q06_scaled")(lambda s, sf: Q.scaled_01(Q.target_correlation(rows(s, sf), COLS, "y"), ["correlation", "n"]))
     reg("Q07_combined_scores", 5)(lambda s, sf: Q.combined_scores(Q.metrics_table(rows(s, sf), COLS, "y")))
