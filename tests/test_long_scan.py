@@ -93,3 +93,14 @@ def test_running_totals_of_hot_and_null_groups(spark):
     whole = running_totals(df, [], [F.col("i")], {"at": F.lit(1)}, 5).toPandas()
     assert (whole["at"] == whole["i"]).all()
     assert running_totals(df.limit(0), ["g"], [F.col("i")], {"at": F.lit(1)}).count() == 0
+
+
+def test_rounds_store_a_row_per_chunk(spark, monkeypatch):
+    """Every round stored all rows with all columns again."""
+    from tickloom.functions import long_scan
+    plain, kept = long_scan.stored, []
+    monkeypatch.setattr(long_scan, "stored", lambda df: kept.append(plain(df)) or kept[-1])
+    df = spark.createDataFrame(pd.concat([series("a", 1000, 0, 0.05), series(None, 300)]))
+    got = scan_long(df, STEPS, chunk=100)
+    assert got.count() == 1300 and len(kept) >= 3
+    assert all(k.columns == ["key", "__chunk", "start"] and k.count() == 13 for k in kept)

@@ -303,14 +303,31 @@ def _arrays(table: pa.Table, names: Iterable[str]) -> dict[str, np.ndarray]:
     return {n: table.column(n).to_numpy().astype(float) for n in dict.fromkeys(names)}
 
 
-def _told(steps: list[tuple]):
+def _filled_in(table: pa.Table, have: dict[str, np.ndarray], steps: list[tuple], states: dict) -> None:
+    """The columns of `steps` from the states before the chunk, added to `have`."""
+    for name, kernel, inputs, params in steps:
+        x = [have[i] for i in inputs]
+        have[name] = POINTWISE[kernel](*x, **params) if kernel in POINTWISE else recursion(kernel, params).run(states[name], *x)[0]
+
+
+def _inputs(table: pa.Table, steps: list[tuple]) -> dict[str, np.ndarray]:
+    made = {s[0] for s in steps}
+    return _arrays(table, [i for s in steps for i in s[2] if i not in made])
+
+
+def _states(start: pa.Table) -> dict:
+    return {name: st for told in start.column("start").to_pylist() for name, st in cloudpickle.loads(told).items()}
+
+
+def _told(done: list[tuple], steps: list[tuple]):
     """One row per chunk: of every recursion the state after the chunk as the first one,
-    its first rows, and the map of the others."""
-    def run(table: pa.Table) -> pa.Table:
+    its first rows, and the map of the others.  The steps in `done` are computed again from
+    the states that they start with."""
+    def run(table: pa.Table, start: pa.Table | None = None) -> pa.Table:
         table = table.sort_by("__row")
-        have = _arrays(table, [i for s in steps for i in s[2]])
-        out = {}
+        have, out = _inputs(table, [*done, *steps]), {}
         with np.errstate(all="ignore"):
+            _filled_in(table, have, done, _states(start) if start is not None else {})
             for name, kernel, inputs, params in steps:
                 r, x = recursion(kernel, params), [have[i] for i in inputs]
                 head, rest = [a[:r.reach] for a in x], [a[r.reach:] for a in x]
@@ -321,7 +338,7 @@ def _told(steps: list[tuple]):
         return pa.table({"key": table.column("key").slice(0, 1), "__chunk": table.column("__chunk").slice(0, 1),
                          "told": pa.array([cloudpickle.dumps(out)], pa.binary())})
 
-    return run
+    return run if any(s[1] not in POINTWISE for s in done) else lambda table: run(table)
 
 
 def _started(steps: list[tuple]):
@@ -351,14 +368,11 @@ def _started(steps: list[tuple]):
 def _filled(steps: list[tuple]):
     def run(rows: pa.Table, start: pa.Table) -> pa.Table:
         rows = rows.sort_by("__row")
-        states = cloudpickle.loads(start.column("start")[0].as_py())
-        made = {s[0] for s in steps}
-        have = _arrays(rows, [i for s in steps for i in s[2] if i not in made])
+        have = _inputs(rows, steps)
         with np.errstate(all="ignore"):
-            for name, kernel, inputs, params in steps:
-                x = [have[i] for i in inputs]
-                have[name] = POINTWISE[kernel](*x, **params) if kernel in POINTWISE else recursion(kernel, params).run(states[name], *x)[0]
-                rows = rows.append_column(name, pa.array(have[name], pa.float64(), from_pandas=True))
+            _filled_in(rows, have, steps, _states(start))
+        for name, *_ in steps:
+            rows = rows.append_column(name, pa.array(have[name], pa.float64(), from_pandas=True))
         return rows
 
     return run
@@ -376,21 +390,25 @@ def scan_long(df: DataFrame, steps: list[tuple[str, str, tuple, dict]], order: t
     reach = max([recursion(k, p).reach for _, k, _, p in steps if k not in POINTWISE], default=0)
     if chunk <= reach:
         raise ValueError(f"a chunk needs more than {reach} rows")
-    wanted = [c for c in df.columns]
     rows = running_totals(df, ["key"], [F.col(c) for c in order], {"__row": F.lit(1)})
     rows = rows.withColumn("__chunk", F.floor(F.col("__row") / chunk))
+    key, done, starts = rows.schema["key"], [], None
+    small = T.StructType([key, T.StructField("__chunk", T.LongType()), T.StructField("told", T.BinaryType())])
+    ends = T.StructType([key, T.StructField("__chunk", T.LongType()), T.StructField("start", T.BinaryType())])
+    # a round moves its inputs only; what earlier rounds made is made again from a state per chunk
     for plain in filter(None, rounds):
-        work = [s for s in plain if s[1] not in POINTWISE]
-        rows = stored(rows)
-        schema = T.StructType(rows.schema.fields + [T.StructField(s[0], T.DoubleType()) for s in plain])
-        key = rows.schema["key"]
-        if work:
-            small = T.StructType([key, T.StructField("__chunk", T.LongType()), T.StructField("told", T.BinaryType())])
-            needed = list(dict.fromkeys(i for s in work for i in s[2]))
-            told = rows.select("key", "__chunk", "__row", *needed).groupBy("key", "__chunk").applyInArrow(_told(work), small)
-            ends = T.StructType([key, T.StructField("__chunk", T.LongType()), T.StructField("start", T.BinaryType())])
-            starts = told.groupBy("key").applyInArrow(_started(work), ends)
-        else:
-            starts = rows.select("key", "__chunk").distinct().withColumn("start", F.lit(cloudpickle.dumps({})))
-        rows = rows.groupBy("key", "__chunk").cogroup(starts.groupBy("key", "__chunk")).applyInArrow(_filled(plain), schema)
-    return rows.select(*wanted, *asked)
+        if work := [s for s in plain if s[1] not in POINTWISE]:
+            made = {s[0] for s in done}
+            needed = list(dict.fromkeys(i for s in [*done, *work] for i in s[2] if i not in made))
+            chunks = rows.select("key", "__chunk", "__row", *needed).groupBy("key", "__chunk")
+            told = chunks.applyInArrow(_told(done, work), small) if starts is None else \
+                chunks.cogroup(starts.groupBy("key", "__chunk")).applyInArrow(_told(done, work), small)
+            # one row per chunk
+            new = stored(told.groupBy("key").applyInArrow(_started(work), ends))
+            starts = new if starts is None else starts.unionAll(new)
+        done += plain
+    if starts is None:
+        starts = rows.select("key", "__chunk").distinct().withColumn("start", F.lit(cloudpickle.dumps({})))
+    schema = T.StructType(rows.schema.fields + [T.StructField(s[0], T.DoubleType()) for s in done])
+    rows = rows.groupBy("key", "__chunk").cogroup(starts.groupBy("key", "__chunk")).applyInArrow(_filled(done), schema)
+    return rows.select(*df.columns, *asked)
