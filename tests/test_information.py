@@ -204,3 +204,28 @@ def test_only_values_at_the_edges_of_blocks_are_counted_across(spark, monkeypatc
     df = spark.createDataFrame([(int(v), float(x)) for v, x in zip(y, y + r.normal(size=len(y)))], "y int, a double")
     got = neighbour_information(df, ["a"], "y").first()
     assert sum(counted) < 2000 and got.mutual_information > 0.05
+
+
+def test_rank_correlation_moves_ranks_once(spark, monkeypatch):
+    """Ties, nulls, NaN and many different y, over partitions; ranks were moved by y, moved again in order and stored."""
+    import pandas as pd
+    monkeypatch.setattr(Q, "running_totals", lambda *a, **b: pytest.fail("rows in the order of y are stored"))
+    r = np.random.default_rng(11)
+    n = 5000
+    pdf = pd.DataFrame({"a": np.round(r.normal(size=n), 1), "b": r.normal(size=n), "c": np.where(r.random(n) < 0.9, 0.0, r.normal(size=n))})
+    pdf["y"] = pdf.b + r.normal(size=n)
+    pdf["z"] = (pdf.a > 0) * 1.0
+    pdf.loc[r.random(n) < 0.1, "a"] = None
+    pdf.loc[r.random(n) < 0.1, "y"] = None
+    df = spark.createDataFrame([tuple(None if v != v else float(v) for v in row) for row in pdf.itertuples(index=False)],
+                               "a double, b double, c double, y double, z double").repartition(6)
+    for target in ("y", "z"):
+        got = {x.feature: (x.n, x.correlation) for x in Q.rank_correlation(df, ["a", "b", "c"], target).collect()}
+        for c in "abc":
+            kept = pdf[[c, target]].dropna()
+            assert got[c] == (len(kept), pytest.approx(kept[c].rank().corr(kept[target].rank()), abs=1e-12))
+    nan = spark.createDataFrame([(float(i % 7), float("nan") if i % 5 == 0 else float(i)) for i in range(100)], "a double, y double")
+    top = pd.Series([1e9 if i % 5 == 0 else float(i) for i in range(100)])
+    want = pd.Series([i % 7 for i in range(100)]).rank().corr(top.rank())
+    assert Q.rank_correlation(nan, ["a"], "y").first().correlation == pytest.approx(want, abs=1e-12)
+    assert Q.rank_correlation(df.limit(0), ["a"], "y").count() == 0

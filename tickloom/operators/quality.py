@@ -123,25 +123,80 @@ def ranked_pairs(df: DataFrame, columns: list[str], target: str) -> DataFrame:
         names[F.col("f")].alias("feature"), "y", "n", (F.col("below") + F.col("before")).alias("below"), "ties", "total")
 
 
+def _added(batches):
+    """Batches of f, y, n and the rank of x, as ``f, y, n, sx, sxx``: rows, ranks and squares of a
+    value of y, which is one row however many rows of the batch have it."""
+    for batch in batches:
+        n, rx = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (2, 3))
+        t = pa.table({"f": batch.column(0), "y": pa.array(batch.column(1).to_numpy(zero_copy_only=False) + 0.0), "n": batch.column(2), "sx": n * rx, "sxx": n * rx * rx})
+        t = t.group_by(["f", "y"], use_threads=False).aggregate([("n", "sum"), ("sx", "sum"), ("sxx", "sum")])
+        yield from pa.table([t[c].combine_chunks() for c in ("f", "y", "n_sum", "sx_sum", "sxx_sum")], names=["f", "y", "n", "sx", "sxx"]).to_batches()
+
+
+RANKS = ("rows", "sx", "sxx", "sy", "syy", "sxy")
+
+
+def _ranked_in_part(batches):
+    """Rows in the order of f and y, as one row per feature: sums over the ranks of x and over the
+    ranks of y that the rows have in this partition.  The rows of the last y wait for the next batch."""
+    part, sums, held = TaskContext.get().partitionId(), {}, None
+
+    def told(f, y, n, sx, sxx):
+        starts = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | ~((y[1:] == y[:-1]) | (np.isnan(y[1:]) & np.isnan(y[:-1])))])
+        f, (n, sx, sxx) = f[starts], (np.add.reduceat(v, starts) for v in (n, sx, sxx))
+        for feature in np.unique(f):
+            rows, x, xx = (v[f == feature] for v in (n, sx, sxx))
+            had = sums.setdefault(feature, [0, 0.0, 0.0, 0.0, 0.0, 0.0])
+            ry = had[0] + np.cumsum(rows) - rows + (rows + 1) / 2.0
+            for i, v in enumerate((rows, x, xx, rows * ry, rows * ry * ry, x * ry)):
+                had[i] += v.sum()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        rows = rows if held is None else [np.concatenate(c) for c in zip(held, rows)]
+        f, y = rows[:2]
+        last = np.flatnonzero((f != f[-1]) | ~((y == y[-1]) | (np.isnan(y) & np.isnan(y[-1]))))
+        cut = last[-1] + 1 if len(last) else 0
+        if cut:
+            told(*[c[:cut] for c in rows])
+        held = [c[cut:] for c in rows]
+    if held is not None:
+        told(*held)
+    for f, (rows, *rest) in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([int(f)], pa.int32()), pa.array([part], pa.int32()), pa.array([int(rows)], pa.int64()),
+                                          *[pa.array([float(v)]) for v in rest]], names=["f", "part", *RANKS])
+
+
 def rank_correlation(df: DataFrame, columns: list[str], target: str, ranked: DataFrame | None = None) -> DataFrame:
     """Spearman correlation with average ranks on ties.
 
     Ranks of x come from ``ranked_pairs``, or from `ranked` where a caller has them, and are
-    added up per value of y; ranks of y are totals over those values."""
+    added up per value of y.  One range-partitioned sort by y follows; a partition needs no more
+    than its own sums, since all its ranks of y grow alike by the rows of the partitions before."""
     ranked = ranked_pairs(df, columns, target) if ranked is None else ranked
+    spark = ranked.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("feature")).cast("int") - 1
     rx = F.col("below") + (F.col("ties") + 1) / 2.0
-    by_y = ranked.groupBy("feature", "y").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * rx).alias("sx"), F.sum(F.col("n") * rx * rx).alias("sxx"))
-    j = running_totals(by_y, ["feature"], [F.col("y")], {"below": F.col("n")})
-    ry = F.col("below") + (F.col("n") + 1) / 2.0
-    n = F.sum("n")
-    mx, my = F.sum("sx") / n, F.sum(F.col("n") * ry) / n
-    cov = F.sum(F.col("sx") * ry) / n - mx * my
+    by_y = ranked.select(place.alias("f"), "y", "n", rx.alias("rx")).mapInArrow(_added, "f int, y double, n long, sx double, sxx double")
+    parts = by_y.repartitionByRange(n, "f", "y").sortWithinPartitions("f", "y").mapInArrow(
+        _ranked_in_part, "f int, part int, rows long, " + ", ".join(f"{c} double" for c in RANKS[1:]))
+    # one row per partition and feature that it holds
+    b = F.coalesce(F.sum("rows").over(Window.partitionBy("f").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    j = parts.select("f", "rows", "sx", "sxx", (F.col("sy") + b * F.col("rows")).alias("sy"), (F.col("sxy") + b * F.col("sx")).alias("sxy"),
+                     (F.col("syy") + 2.0 * b * F.col("sy") + 1.0 * b * b * F.col("rows")).alias("syy"))
+    n = F.sum("rows")
+    mx, my = F.sum("sx") / n, F.sum("sy") / n
+    cov = F.sum("sxy") / n - mx * my
     vx = F.sum("sxx") / n - mx * mx
-    vy = F.sum(F.col("n") * ry * ry) / n - my * my
+    vy = F.sum("syy") / n - my * my
     both = F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0))
     rho = F.coalesce(cov / F.sqrt(F.when(both > 0, both)), F.lit(0.0))
-    return j.groupBy("feature").agg(n.alias("n"), F.when(n >= 10, rho).otherwise(0.0).alias("correlation"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return j.groupBy("f").agg(n.alias("n"), F.when(n >= 10, rho).otherwise(0.0).alias("correlation")).select(
+        names[F.col("f")].alias("feature"), "n", "correlation")
 
 
 def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int = 10, ranked: DataFrame | None = None) -> DataFrame:
