@@ -185,3 +185,45 @@ def test_dimensions_of_a_straight_line():
     assert K.katz(x)[0] == pytest.approx(1.0)
     assert K.petrosian(x)[0] == pytest.approx(1.0)
     assert np.isnan(K.crossover_scale(np.zeros((1, 40)))[0])
+
+
+def test_weekly_match_of_odd_rows_equals_the_join(spark):
+    """Rows that come twice, null keys and days, weeks without a Monday; one exchange of the days, where a join took another one."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from tickloom.functions import frames as W
+    from tickloom.operators.align import weekly_to_daily
+    from tickloom.operators.bars import BAR_SCHEMA, resample_week_start
+    rows = []
+    for key in ("A", "B", None):
+        for i in range(120):
+            day = dt.date(2024, 1, 1) + dt.timedelta(i)
+            if key == "B" and i % 21 == 0 or i % 17 == 5:
+                continue
+            rows += [(key, day, 10.0 + i % 13, 11.0 + i % 13, 9.0, 10.0 + i % 7, 100 + i)] * (2 if i % 14 == 0 else 1)
+    rows.append(("A", None, 1.0, 2.0, 0.5, 1.5, 7))
+    bars = spark.createDataFrame(rows, BAR_SCHEMA)
+    weeks = feature_table(resample_week_start(bars), ["sma_5"], warm_up="keep")
+    late = weeks.select("key", "ts", W.lag("sma_5").alias("wk"))
+    got = weekly_to_daily(bars, {"wk": "sma_5"})
+    want = bars.join(late, ["key", "ts"], "left").select(*bars.columns, "wk")
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.filter("wk is not null").count() > 20
+    plan = feature_table(bars, ["sma_12", "rsi_daily", "rsi_weekly"], warm_up="keep")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and not any("hashpartitioning" in line and "ts#" in line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines())
+
+
+def test_windows_come_before_the_recursive_pass(spark, make_bars, walk):
+    """Nothing after the pass needs the rows by key again."""
+    bars = make_bars(walk)
+    table = feature_table(bars, ["sma_12", "rsi_daily", "macd_line", "days_above_sma_9"], warm_up="keep")
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and plan.count("Exchange hashpartitioning") == 1
+    apart = [feature_table(bars, [n], warm_up="keep") for n in ("sma_12", "rsi_daily", "macd_line", "days_above_sma_9")]
+    want = apart[0]
+    for d in apart[1:]:
+        want = want.join(d, ["key", "ts"])
+    assert sorted(map(str, table.collect())) == sorted(map(str, want.select(*table.columns).collect()))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import frames as W
@@ -39,9 +39,17 @@ def weekly_to_daily(bars: DataFrame, wanted: dict[str, str]) -> DataFrame:
     matched value on.  A week whose Monday has no bar therefore never matches."""
     from tickloom.plans.registry import build
 
-    weeks = build(resample_week_start(bars), sorted(set(wanted.values())))
-    late = weeks.select("key", "ts", *[W.lag(src).alias(name) for name, src in wanted.items()])
-    return bars.join(late, ["key", "ts"], "left")
+    # one exchange by key for the weeks, the match and the windows that follow: a join by key
+    # and day would deal the days out by both, and the windows by key again
+    days = bars.repartition("key")
+    weeks = build(resample_week_start(days), sorted(set(wanted.values())))
+    late = weeks.select("key", "ts", F.struct(F.col("ts").alias("_week"), *[W.lag(src).alias(name) for name, src in wanted.items()]).alias("_late"))
+    late = late.filter(F.col("key").isNotNull() & F.col("ts").isNotNull()).withColumn("_day", F.lit(False))
+    both = days.withColumns({"_late": F.lit(None).cast(late.schema["_late"].dataType), "_day": F.lit(True)}).unionByName(late, allowMissingColumns=True)
+    # the latest week that has begun; the day takes it if it is the week's Monday
+    last = F.last("_late", ignorenulls=True).over(Window.partitionBy("key").orderBy("ts", "_day").rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("_late", last).filter("_day")
+    return both.select(*bars.columns, *[F.when(F.col("_late._week") == F.col("ts"), F.col("_late")[name]).alias(name) for name in wanted])
 
 
 def asof_weekly_to_daily(bars: DataFrame, wanted: dict[str, str]) -> DataFrame:

@@ -106,13 +106,21 @@ def lookahead_check(bars: DataFrame, compute: Callable[[DataFrame], DataFrame],
     short = bars.withColumn("_cut", dates).filter(F.col("ts") <= F.col("_cut"))
     short = short.withColumn("key", F.concat_ws("|", F.col("key").cast("string"), F.col("_cut").cast("string"))).drop("_cut")
     last = short.groupBy("key").agg(F.max("ts").alias("ts"))
-    cut = compute(short).join(last, ["key", "ts"], "left_semi")
+    # few of the rows can be last ones: those whose day is the last one of any key and cut
+    last = stored(last)
+
+    def of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+        """The rows with a key and day of `wanted`."""
+        days = F.broadcast(last.select("ts").distinct())         # one row per calendar day
+        return rows.join(days, "ts", "left_semi").join(wanted, ["key", "ts"], "left_semi")
+
+    cut = of(compute(short), last)
     cut = cut.withColumn("key", F.regexp_replace("key", r"\|[^|]*$", ""))
     full = compute(bars).withColumn("key", F.col("key").cast("string"))
     # two cuts may end on the same row; it is compared once
     # and read twice: one row per key and cut
     cut = stored(cut.dropDuplicates(["key", "ts"]))
-    full = full.join(cut.select("key", "ts"), ["key", "ts"], "left_semi")
+    full = of(full, cut.select("key", "ts"))
     return recompute_check(full, cut, ["key", "ts"], columns, tolerance)
 
 

@@ -162,6 +162,15 @@ def _feeding(nodes: dict[str, Node], steps: dict[str, Node]) -> dict[str, Node]:
     return {n: node for n, node in nodes.items() if n in wanted}
 
 
+def _following(nodes: dict[str, Node], steps: dict[str, Node]) -> set[str]:
+    """Plain columns that read the recursive pass, directly or not; nodes come dependencies first."""
+    out: set[str] = set()
+    for n, node in nodes.items():
+        if n not in steps and any(d in steps or d in out for d in node.deps):
+            out.add(n)
+    return out
+
+
 def build(bars: DataFrame, names: Iterable[str], vix: DataFrame | None = None, chunk_rows: int | None = None) -> DataFrame:
     """Bars -> ``key, ts`` and the named columns, one row per bar.
 
@@ -184,9 +193,18 @@ def build(bars: DataFrame, names: Iterable[str], vix: DataFrame | None = None, c
     df = df.withColumn(W.ROW, W.row_index())
 
     steps = {n: node for n, node in nodes.items() if node.feature.step}
+    plain = {n: node for n, node in nodes.items() if node.column is not None}
     if steps:
-        df = _emit(df, _feeding(nodes, steps), windows)
+        feeding, after = _feeding(nodes, steps), _following(nodes, steps)
+        if any(plain[n].windows for n in after):
+            df = _emit(df, feeding, windows)
+        else:
+            # all windows come before the pass, so nothing after it needs the rows by key again
+            df = _emit(df, {n: node for n, node in plain.items() if n not in after}, windows)
+            read = {"key", "ts", *names, *(i for node in steps.values() for i in node.deps), *(d for n in after for d in plain[n].deps)}
+            df = df.select(*[c for c in df.columns if c in read])
+            plain = {n: plain[n] for n in plain if n in after}
         todo = [(n, *node.feature.step) for n, node in steps.items()]
         df = scan_long(df, todo, chunk=chunk_rows) if chunk_rows else scan(df, todo)
-    df = _emit(df, {n: node for n, node in nodes.items() if node.column is not None}, windows)
+    df = _emit(df, plain, windows)
     return df.select("key", "ts", *names)
