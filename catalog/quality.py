@@ -16,9 +16,12 @@ from tickloom.sources.tables import stored
 COLS = ["ret", "gap", "body", "span", "volume", "dist"]
 
 
-def rows(spark, sf) -> DataFrame:
-    """Six simple features per bar and whether the next high gains 5%."""
+def rows(spark, sf, in_order: bool = False) -> DataFrame:
+    """Six simple features per bar and whether the next high gains 5%.  With `in_order` keys are
+    dealt out by range, so the partitions are in the order of key and day, as their rows are."""
     b = daily_bars(spark, sf)
+    if in_order:
+        b = b.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "ts")
     prev = W.lag("close")
     return b.select(
         "key", "ts", (F.col("close") / prev - 1).alias("ret"), (F.col("open") / prev - 1).alias("gap"),
@@ -134,7 +137,7 @@ def queries() -> dict:
     reg("Q08_importance_report_neighbours", 5)(lambda s, sf: Q.importance_report(rows(s, sf), COLS, "y", neighbour_information))
     for metric in ("auc", "precision"):
         reg(f"Q09_permutation_{metric}")(lambda s, sf, m=metric: Q.permutation_importance(
-            fixed_logit, rows(s, sf), COLS, ["key", "ts"], "y", m, repeats=3))
+            fixed_logit, rows(s, sf, in_order=True), COLS, ["key", "ts"], "y", m, repeats=3, in_order=True))
     reg("Q10_stability")(lambda s, sf: Q.stability(_by_part(s, sf)))
     reg("Q11_grades")(lambda s, sf: Q.assess(feature_metrics(s, sf)).select(
         "feature", *[f"{m}_grade" for m in Q.LIMITS]))

@@ -229,3 +229,21 @@ def test_rank_correlation_moves_ranks_once(spark, monkeypatch):
     want = pd.Series([i % 7 for i in range(100)]).rank().corr(top.rank())
     assert Q.rank_correlation(nan, ["a"], "y").first().correlation == pytest.approx(want, abs=1e-12)
     assert Q.rank_correlation(df.limit(0), ["a"], "y").count() == 0
+
+
+def test_rows_in_order_keep_their_positions(spark, tmp_path):
+    """Keys dealt out by range: the windows need no other exchange, and positions are those of a sort by key and day."""
+    import datetime as dt
+
+    from catalog.quality import COLS, fixed_logit, rows
+    lines = [(i, i % 11, None if i % 13 == 0 else i % 7, i % 4, 1.0 + i % 5, 900.0 + i * 37 % 1000, i % 3 / 100, i % 2 / 100, "R", "F",
+              dt.datetime(1998, 1, 1) + dt.timedelta(i // 8)) for i in range(2000)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                          "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plain, ordered = rows(spark, str(tmp_path)), rows(spark, str(tmp_path), in_order=True)
+    assert [tuple(r) for r in ordered.collect()] == [tuple(r) for r in plain.orderBy("key", "ts").collect()]
+    assert "hashpartitioning(key" in plain._jdf.queryExecution().executedPlan().toString()
+    assert ordered._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == 2
+    want, got = ({r.feature: r.importance for r in Q.permutation_importance(fixed_logit, d, COLS, ["key", "ts"], "y", "precision", 2, in_order=o).collect()}
+                 for d, o in ((plain, False), (ordered, True)))
+    assert want == pytest.approx(got, abs=1e-12) and any(want.values())

@@ -455,14 +455,15 @@ def _given(n: int, runs: list[tuple[int, list]]):
 
 
 def permutation_importance(model, df: DataFrame, columns: list[str], row_id: list[str], target: str,
-                           metric: str = "precision", repeats: int = 5, seed: int = 42) -> DataFrame:
+                           metric: str = "precision", repeats: int = 5, seed: int = 42, in_order: bool = False) -> DataFrame:
     """Mean drop of the metric when one feature is shuffled over all rows.
 
     `model` is a fitted model with a probability column, or a function of a table that
     gives the column of the probability.  Rows get one position by their identity; a
     keyed bijection of the positions says which row gives its value to which, for every
     feature and repeat.  Only those values move, packed by blocks of positions, in one
-    exchange for all runs; the rows move once."""
+    exchange for all runs; the rows move once for their positions, not at all if the caller has
+    them `in_order` of `row_id` over all partitions, and once by blocks."""
     from pyspark.ml.functions import vector_to_array
 
     from tickloom.operators import evaluate as E
@@ -477,7 +478,7 @@ def permutation_importance(model, df: DataFrame, columns: list[str], row_id: lis
             prob = model(rows)
         return rows.select(F.col(by).alias("run_id"), F.col(target).alias("label"), prob.alias("prob"))
 
-    placed = running_totals(df, [], [F.col(i) for i in row_id], {"_at": F.lit(1)})
+    placed = running_totals(df, [], [] if in_order else [F.col(i) for i in row_id], {"_at": F.lit(1)})
     n = placed.count()
     runs = [(i, shuffle_keys(seed, f"{c}:{k}", n)) for i, c in enumerate(columns) for k in range(repeats)] if n else []
     before = scored(placed.withColumn("_run", F.lit("all")), "_run")
